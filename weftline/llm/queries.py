@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import encodings as en
+from . import leakage as lk
 from . import repeated_lines as rl
 from . import splitting as sp
 
@@ -36,6 +38,18 @@ def p2_text_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sp.split_oversized(_t(spark, d, "extracted_texts"), "ext_id").withColumnRenamed("id", "ext_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return en.mended(_t(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return en.mended(_t(spark, d, "documents")).select(F.col("id").alias("doc_id"), "restored", "how")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
