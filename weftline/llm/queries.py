@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import encodings as en
 from . import leakage as lk
 from . import repeated_lines as rl
+from . import residue as rs
 from . import splitting as sp
 
 
@@ -38,6 +39,10 @@ def p2_text_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sp.split_oversized(_t(spark, d, "extracted_texts"), "ext_id").withColumnRenamed("id", "ext_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return rs.found(_t(spark, d, "extracted_texts"), _t(spark, d, "chunks"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
