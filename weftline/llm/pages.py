@@ -11,6 +11,8 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
+
 from .common import fold, hash64
 
 # Words of page furniture, on folded text without white space. Each group is one attribute token.
@@ -27,12 +29,20 @@ FURNITURE = {
     "source": r"資料來源:|最後更新:|lastupdated|^\W*source:",
     "byline": r"瀏覽人次|點閱數|發布單位:|編輯小組|供稿\(第|postedby|views:|editors-[\d,]+reads|[\d,]+reads$|contributedby.{1,40}\(item",
     "contact": r"服務專線[\d,]+|hotline[\d,]+|^\W*地址:.{1,20}電話:|^\W*address:.{1,40}tel",
-    "print": r"列印日期|printed\d|\d{1,4}/[\d,]+$",
+    "print": r"列印日期|printed\d{2,4}[-/.]",
     "pageno": r"第[\d,]+頁,共|^\W*page[\d,]+of|^[-‐-―－]\d+[-‐-―－]",
     "related": r"^\W*(?:延伸閱讀|相關連結|熱門文章|您可能也想看|猜你喜歡|furtherreading|relatedpages|mostread|youmayalsolike|relatedlinks)\W*$",
     "step": r"^\W*(?:前一篇|後一篇|上一則|下一則|上一篇|下一篇|previous:|next:)|^[‹›«»←→<>](?=[^\d])",
     "path": r"^\W*(?:首頁|home|startseite|accueil|inicio)[>/»›:]",
 }
+#: Of each alternative above, letters without which it cannot match.
+_KEYS = """
+跳到主要 到主內容 主要內容區 skipto jumptocontent tojumpto zuminhalt alleraucontenu saltaral 回頁首 回到頂端 回最上 ▲top backtotop topofpage nachoben hautdepage 回上一頁 goback 返回 zurück retour
+版權所有 copyright © (c) allrightsreserved 著作權 僅供參考 不得轉載 保有修改 終止本頁 隱私權政策 forreferenceonly nopartofthispage reproducedwithout thispageisreservedby privacypolicy cookie 瀏覽偏好 接受全部 僅限必要
+yourpreferences acceptall onlynecessary 訂閱 newsletter 每週掌握 weeklyupdates 分享本頁 分享給朋友 轉寄 複製連結 shareonyour sharethis copylink passitonto likethisarticle 喜歡這篇 瀏覽解析度 資訊小組維護 bestviewedat webteam
+資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: reads contributedby 服務專線 hotline 地址: address: 列印日期 printed 頁,共 page - ‐ ‑ ‒ – — ― −
+延伸閱讀 相關連結 熱門文章 可能也想看 猜你喜歡 furtherreading relatedpages mostread youmayalsolike relatedlinks 前一篇 後一篇 上一則 下一則 上一篇 下一篇 previous: next: ‹ › « » ← → < > 首頁 home startseite accueil inicio
+""".split()
 _PARTS = {k: re.compile(v) for k, v in FURNITURE.items()}
 _ANY = re.compile("|".join(f"(?:{v})" for v in FURNITURE.values()))
 GROUPS = tuple(FURNITURE)
@@ -47,6 +57,19 @@ _BULLET = re.compile(r"^\s*[›．•·‧▪※●○◆■*‣»>【\[]")
 LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4}|[一二三四五六七八九十]{1,3})[)）]|\d{1,3}[.．、](?!\d)|[a-z]\.(?= )|[一二三四五六七八九十]{1,3}[、．.])\s*")
 
 
+#: No line of furniture is longer, spaced out or not.
+LONGEST = 160
+
+
+@lru_cache(None)
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for k in _KEYS:
+        a.add_word(k, k)
+    a.make_automaton()
+    return a
+
+
 @lru_cache(200_000)
 def squash(line: str) -> str:
     """Folded, without white space."""
@@ -56,8 +79,10 @@ def squash(line: str) -> str:
 @lru_cache(200_000)
 def tokens(line: str) -> tuple[str, ...]:
     """Attribute tokens of a line."""
+    if len(line) > LONGEST:
+        return ()
     s = squash(line)
-    if not _ANY.search(s):
+    if next(_automaton().iter(s), None) is None or not _ANY.search(s):
         return ()
     return tuple(k for k, p in _PARTS.items() if p.search(s))
 

@@ -11,6 +11,7 @@ from . import encodings as en
 from . import leakage as lk
 from . import repeated_lines as rl
 from . import residue as rs
+from . import sentences as sn
 from . import splitting as sp
 
 
@@ -43,6 +44,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rs.found(_t(spark, d, "extracted_texts"), _t(spark, d, "chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sn.sentence_units(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "start").distinct()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
