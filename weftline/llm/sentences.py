@@ -39,6 +39,8 @@ _TOKEN_BEFORE = re.compile(rf"(?:[^\W{_D}]|[.'’/:-](?=[^\W{_D}]))+$|[^\s]$")
 _TOKEN_AFTER = re.compile(rf"[“‘\"'「『《(（¿¡]*(?P<w>[{_D}]{{1,2}}|[^\W{_D}]+|[^\s])")
 _THAI = re.compile("[ก-๛]")
 _DIGITS = re.compile(r"\d+")
+_CODE = re.compile(r"[A-Z]+\d+")
+_LETTERED = re.compile(r"[a-z][)] ")
 
 # Abbreviations before which or after which a sentence rarely ends.
 ABBREVIATIONS = frozenset("""
@@ -70,13 +72,19 @@ def _dense_around(text: str, a: int, b: int) -> bool:
 
 
 def _before(s: str, at: int) -> str:
-    m = _TOKEN_BEFORE.search(s[max(0, at - 24) : at].replace(WRAP, ""))
+    near = s[max(0, at - 24) : at].replace(WRAP, "")
+    if _THAI.match(near[-1:]):
+        return near.rpartition(" ")[2][-6:]  # words of Thai are not parted
+    m = _TOKEN_BEFORE.search(near)
     return m[0].lower() if m else ""
 
 
 def _after(s: str, at: int) -> str:
-    m = _TOKEN_AFTER.match(s[at : at + 24].replace(WRAP, ""))
-    return m["w"] if m else ""
+    near = s[at : at + 24].replace(WRAP, "")
+    m = _TOKEN_AFTER.match(near)
+    if m and _THAI.match(m["w"]):
+        return near.partition(" ")[0][:6]
+    return _CODE.sub("CODE", m["w"]) if m else ""
 
 
 def _shape(t: str) -> str:
@@ -135,6 +143,8 @@ class Splitter:
         if mark[-1] in "。！？｡":
             return not nxt.islower() or mark[-1] == "。"
         word = nxt if nxt not in _OPEN and nxt not in "\"'“‘" else s[m.end() + 1 : m.end() + 2]
+        if free and _before(s, m.start()) not in ABBREVIATIONS and _LETTERED.match(s, m.end()):
+            return True  # the next row of a list
         if word.islower():
             return False
         if mark[-1] in "!?":
