@@ -30,7 +30,7 @@ FURNITURE = {
     "byline": r"瀏覽人次|點閱數|發布單位:|編輯小組|供稿\(第|postedby|views:|editors-[\d,]+reads|[\d,]+reads$|contributedby.{1,40}\(item",
     "contact": r"服務專線[\d,]+|hotline[\d,]+|^\W*地址:.{1,20}電話:|^\W*address:.{1,40}tel",
     "print": r"列印日期|printed\d{2,4}[-/.]",
-    "pageno": r"第[\d,]+頁,共|^\W*page[\d,]+of|^[-‐-―－]\d+[-‐-―－]",
+    "pageno": r"第[\d,]+頁,共|^\W*page[\d,]+of[\d,]+\W*$|^[-‐-―－]\d+[-‐-―－]",
     "related": r"^\W*(?:延伸閱讀|相關連結|熱門文章|您可能也想看|猜你喜歡|furtherreading|relatedpages|mostread|youmayalsolike|relatedlinks)\W*$",
     "step": r"^\W*(?:前一篇|後一篇|上一則|下一則|上一篇|下一篇|previous:|next:)|^[‹›«»←→<>](?=[^\d])",
     "path": r"^\W*(?:首頁|home|startseite|accueil|inicio)[>/»›:]",
@@ -146,11 +146,29 @@ def ends_sentence(line: str) -> bool:
     return _END.search(line) is not None
 
 
+_THAI = re.compile("[ก-๛]")
+_SOLID = re.compile("[぀-ヿ㐀-鿿]")
+
+
+def sentence_like(line: str) -> bool:
+    """Ends as a sentence, or is long enough for one in a script that may do without end marks."""
+    return ends_sentence(line) or len(_THAI.findall(line[:200])) >= 15 or (len(line) >= 36 and 2 * len(_SOLID.findall(line[:200])) > min(len(line), 200) and len(entries(line)) < 5)
+
+
 def entries(line: str) -> list[str]:
     """Entries of a menu or path on one line; a line without bars is one entry."""
     return [p for p in _BARS.split(line) if p and _LETTER.search(p)]
 
 
+_RUNS = re.compile(r"[^\W\d_]+(?:[\s'’.-]*[^\W\d_]+)*")
+
+
+def shape(line: str) -> str:
+    """Punctuation of a line, with words as ``a`` and numbers as ``0``; a bullet before it is left out."""
+    s = _RUNS.sub("a", re.sub(r"\d+", "0", _BULLET.sub("", line)))
+    return _SPACE.sub("", s)
+
+
 def joined(lines: list[Line]) -> str:
     """Wrapped lines as one."""
     return " ".join(x.text for x in lines) if lines and lines[0].text.isascii() else "".join(x.text for x in lines)

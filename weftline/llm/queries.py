@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boilerplate as bp
 from . import encodings as en
 from . import leakage as lk
 from . import repeated_lines as rl
@@ -48,6 +49,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sn.sentence_units(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "start").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return bp.furniture_lines(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "line_no").distinct()
+
+
+def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return bp.main_bodies(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "body")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
