@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import boilerplate as bp
 from . import encodings as en
+from . import languages as lg
 from . import leakage as lk
 from . import repeated_lines as rl
 from . import residue as rs
@@ -45,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rs.found(_t(spark, d, "extracted_texts"), _t(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lg.unstated(lg.segments(_t(spark, d, "extracted_texts"))).withColumnRenamed("id", "ext_id")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return lg.segments(_t(spark, d, "extracted_texts")).drop("url").withColumnRenamed("id", "ext_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sn.sentence_units(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "start").distinct()
 
