@@ -39,7 +39,7 @@ def fold(text: str) -> str:
     """Compatibility forms and letter case made equal."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return unicodedata.normalize("NFKC", text).casefold()
 
 
 def letters(text: str) -> str:

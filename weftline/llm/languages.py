@@ -152,16 +152,24 @@ def body_sentences(text: str, kind: str | None, page: bp.Page, keep: np.ndarray,
     return out
 
 
+def fit_body(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
+    """Body and sentence models; the network is left untrained."""
+    return _fit(df, id_col, text_col, type_col)[0]
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
+    model, rows = _fit(df, id_col, text_col, type_col)
+    good = [(t, k) for t, k in rows if t and not is_residue(t, k)]
+    model.net = fit_network(training_sentences(good, model.sentences(good)))
+    return model
+
+
+def _fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> tuple[LanguageModel, list[tuple[str, str | None]]]:
     known = bp.known_wordings(df, text_col)
     rows = [(r[1], r[2]) for r in sample(df.where(F.col(text_col).isNotNull()), id_col, SAMPLE, text_col, type_col)]
     titles = bp.title_shapes(rows[: bp.SAMPLE])
     body = bp.BodyModel(known, titles, bp.train(rows[: bp.SAMPLE], known, titles))
-    splitter = train(rows)
-    model = LanguageModel(body, splitter, BiGru(len(LANGUAGES)))
-    good = [(t, k) for t, k in rows if t and not is_residue(t, k)]
-    model.net = fit_network(training_sentences(good, model.sentences(good)))
-    return model
+    return LanguageModel(body, train(rows), BiGru(len(LANGUAGES))), rows
 
 
 def training_sentences(records: list[tuple[str, str | None]], spans: list[list[tuple[int, int]]]) -> list[tuple[str, str]]:

@@ -40,14 +40,16 @@ _KEYS = """
 跳到主要 到主內容 主要內容區 skipto jumptocontent tojumpto zuminhalt alleraucontenu saltaral 回頁首 回到頂端 回最上 ▲top backtotop topofpage nachoben hautdepage 回上一頁 goback 返回 zurück retour
 版權所有 copyright © (c) allrightsreserved 著作權 僅供參考 不得轉載 保有修改 終止本頁 隱私權政策 forreferenceonly nopartofthispage reproducedwithout thispageisreservedby privacypolicy cookie 瀏覽偏好 接受全部 僅限必要
 yourpreferences acceptall onlynecessary 訂閱 newsletter 每週掌握 weeklyupdates 分享本頁 分享給朋友 轉寄 複製連結 shareonyour sharethis copylink passitonto likethisarticle 喜歡這篇 瀏覽解析度 資訊小組維護 bestviewedat webteam
-資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: reads contributedby 服務專線 hotline 地址: address: 列印日期 printed 頁,共 page - ‐ ‑ ‒ – — ― −
-延伸閱讀 相關連結 熱門文章 可能也想看 猜你喜歡 furtherreading relatedpages mostread youmayalsolike relatedlinks 前一篇 後一篇 上一則 下一則 上一篇 下一篇 previous: next: ‹ › « » ← → < > 首頁 home startseite accueil inicio
+資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: editors- contributedby 服務專線 hotline 地址: address: 列印日期 printed 頁,共
+延伸閱讀 相關連結 熱門文章 可能也想看 猜你喜歡 furtherreading relatedpages mostread youmayalsolike relatedlinks 前一篇 後一篇 上一則 下一則 上一篇 下一篇 previous: next: 首頁 home> home/ home» home› home: startseite accueil inicio
 """.split()
 _PARTS = {k: re.compile(v) for k, v in FURNITURE.items()}
-_ANY = re.compile("|".join(f"(?:{v})" for v in FURNITURE.values()))
+#: Beginnings and ends that no key stands for.
+_HEAD = re.compile(r"\W*(?:page\d|[-‐-―－]\d|[‹›«»←→<>][^\d])")
 GROUPS = tuple(FURNITURE)
 
 _SPACE = re.compile(r"\s+")
+_WHITE = re.compile(r"[^\S\n]+")
 _END = re.compile(r"[.!?。！？．…؟][\"'”’」』）)\]】》]*\s*$")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: What parts the entries of a menu or a path on one line.
@@ -70,36 +72,50 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-@lru_cache(200_000)
+class Folded:
+    """A text's lines, folded once, without white space."""
+
+    __slots__ = ("all", "squashed")
+
+    def __init__(self, text: str):
+        self.all = _WHITE.sub("", fold(text))
+        self.squashed = self.all.split("\n")
+
+
 def squash(line: str) -> str:
     """Folded, without white space."""
     return _SPACE.sub("", fold(line))
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def tokens(line: str) -> tuple[str, ...]:
     """Attribute tokens of a line."""
-    if len(line) > LONGEST:
-        return ()
-    s = squash(line)
-    if next(_automaton().iter(s), None) is None or not _ANY.search(s):
+    return () if len(line) > LONGEST else squashed_tokens(squash(line))
+
+
+def squashed_tokens(s: str) -> tuple[str, ...]:
+    """Attribute tokens of a squashed line."""
+    if next(_automaton().iter(s), None) is None and not _HEAD.match(s) and not s.endswith("reads"):
         return ()
     return tuple(k for k, p in _PARTS.items() if p.search(s))
 
 
 _LETTER = re.compile(r"[^\W\d_]")
-_DIGIT = re.compile(r"\d")
+_NUMBERS = re.compile(r"\d+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-@lru_cache(400_000)
 def wording(text: str) -> str:
     """The letters of a piece of a line, folded."""
     return _NOT_LETTERS.sub("", fold(text))
 
 
-def word_hash(text: str) -> int:
-    w = wording(text)
+_EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "※●○•·‧▪■◆»«›‹…。、，．「」『』【】（）《》〈〉→←▲▼★☆–—“”‘’"
+
+
+def word_hash(squashed: str) -> int:
+    """Hash of what a squashed line says, numbers and marks at its ends left aside; 0 if nothing."""
+    w = _NUMBERS.sub("", squashed).strip(_EDGES)
     return hash64(w) if w else 0
 
 

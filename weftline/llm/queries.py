@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as al
 from . import boilerplate as bp
 from . import encodings as en
 from . import languages as lg
@@ -42,6 +43,11 @@ def p2_text_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sp.split_oversized(_t(spark, d, "extracted_texts"), "ext_id").withColumnRenamed("id", "ext_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = al.aligned(_t(spark, d, "extracted_texts"))
+    return found.withColumnsRenamed({"id_1": "ext_id_1", "id_2": "ext_id_2"})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rs.found(_t(spark, d, "extracted_texts"), _t(spark, d, "chunks"))
 
