@@ -12,6 +12,7 @@ from . import boilerplate as bp
 from . import encodings as en
 from . import languages as lg
 from . import leakage as lk
+from . import packing as pk
 from . import repeated_lines as rl
 from . import residue as rs
 from . import sentences as sn
@@ -72,6 +73,10 @@ def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
     return bp.main_bodies(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "body")
 
 
+def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return pk.pack(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
