@@ -62,13 +62,19 @@ class Boosted:
         """Log-odds of each row."""
         if not len(x):
             return np.zeros(0)
-        b = self._bin(x, self.edges).astype(np.int64)
-        rows = np.arange(len(b))
-        total = np.full(len(b), self.prior)
+        b = np.ascontiguousarray(self._bin(x, self.edges).T)
+        total = np.full(len(x), self.prior)
         for feature, cut, leaf in self.trees:
-            node = np.zeros(len(b), dtype=np.int64)
-            for level in range(self.depth):
-                at = 2**level - 1 + node
-                node = 2 * node + (b[rows, feature[at]] > cut[at])
-            total += leaf[node]
+            # which leaf, from the bottom up: every node is a comparison of one column
+            value = [leaf[k] for k in range(len(leaf))]
+            for level in range(self.depth - 1, -1, -1):
+                base = 2**level - 1
+                value = [self._pick(b, int(feature[base + k]), int(cut[base + k]), value[2 * k], value[2 * k + 1]) for k in range(2**level)]
+            total += value[0]
         return total
+
+    @staticmethod
+    def _pick(b: np.ndarray, feature: int, cut: int, low: np.ndarray | float, high: np.ndarray | float) -> np.ndarray | float:
+        if cut == 255:
+            return low
+        return np.where(b[feature] > cut, high, low)

@@ -3,7 +3,7 @@
 A bidirectional gated recurrent network over bytes labels every position; a sentence pools its positions' log-
 probabilities, a segment its sentences', the record all of them. The network is trained in numpy, by backpropagation
 through time, on sentences of a bounded sample whose language is beyond doubt: by script, by letters that only one of
-the languages has, or by function words of only one. Pairs of sentences joined teach it to change its mind.
+the languages has, or by function words of only one. Sentences set between two of another language teach it to change its mind, and back.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def sure_language(sentence: str) -> str | None:
 
 
 def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 10) -> BiGru:
-    """A network trained on ``(sentence, language)``, with as many joined pairs."""
+    """A network trained on ``(sentence, language)``, and on as many sentences set between two of another language."""
     net = BiGru(len(LANGUAGES), seed=seed)
     if not sentences:
         return net
@@ -93,11 +93,14 @@ def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 1
         raw = s.encode()[:400]  # a longer one teaches nothing more
         texts.append(raw)
         labels.append(np.full(-(-len(raw) // STRIDE), code[lang]))
+    of: dict[str, list[int]] = {}
+    for i, (_, lang) in enumerate(sentences):
+        of.setdefault(lang, []).append(i)
     for i, j in zip(rng.permutation(len(sentences)), rng.permutation(len(sentences)), strict=True):
-        a, b = texts[i] + b" ", texts[j]
-        y = np.r_[np.full(len(a), labels[i][0]), np.full(len(b), labels[j][0])]
-        texts.append(a + b)
-        labels.append(y[::STRIDE])
+        k = int(rng.choice(of[sentences[i][1]]))
+        parts = [(texts[i] + b" ", labels[i][0]), (texts[j] + b" ", labels[j][0]), (texts[k], labels[k][0])]
+        texts.append(b"".join(t for t, _ in parts))
+        labels.append(np.concatenate([np.full(len(t), y) for t, y in parts])[::STRIDE])
     net.fit(texts, labels, rounds=rounds, seed=seed)
     return net
 
@@ -129,7 +132,7 @@ class LanguageModel:
 
     def sentences(self, some: list[tuple[str, str | None]]) -> list[list[tuple[int, int]]]:
         """Full sentences of the main body of each record, as positions."""
-        read = [(bp.read_page(t, k, self.body.known, self.body.titles), k) for t, k in some]
+        read = list(zip(bp.read_pages([(t, k, pages.Folded(t)) for t, k in some], self.body.known, self.body.titles), (k for _, k in some), strict=True))
         out = []
         for (text, kind), (page, _), keep in zip(some, read, self.body.decide(read), strict=True):
             out.append(body_sentences(text, kind, page, keep, self.splitter))
@@ -203,7 +206,7 @@ def _latin(text: str) -> bool:
 
 
 #: What it costs to change the language between two sentences, and what the positions of a sentence count, in nats.
-CHANGE, WEIGHT = 4.0, 0.5
+CHANGE, WEIGHT = 3.0, 0.5
 
 
 def smooth(score: np.ndarray) -> np.ndarray:
@@ -231,30 +234,85 @@ def segments(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [(i, u, t, k) for i, u, t, k in zip(b["id"], b["url"], b["text"], b["kind"], strict=True) if not is_residue(t, k)]
-            spans = model.sentences([(t, k) for _, _, t, k in good])
-            flat = [t[a:z].replace("\n", "" if WRAP in t else " ") for (_, _, t, _), s in zip(good, spans, strict=True) for a, z in s]
-            score, steps = classify(model.net, flat) if flat else (np.zeros((0, len(LANGUAGES))), np.zeros(0))
-            rows, at = [], 0
-            for (i, u, _, _), s in zip(good, spans, strict=True):
-                sc, st = score[at : at + len(s)], steps[at : at + len(s)]
-                at += len(s)
-                if not len(s):
-                    continue
-                best = smooth(sc)
-                whole = sc.sum(axis=0)
-                doc = int(np.bincount(best, weights=st, minlength=len(LANGUAGES)).argmax())
-                start = 0
-                for j in range(1, len(s) + 1):
-                    if j == len(s) or best[j] != best[start]:
-                        n = st[start:j].sum()
-                        rows.append((i, u, s[start][0], s[j - 1][1], LANGUAGES[best[start]], float(np.exp(sc[start:j, best[start]].sum() / n)), LANGUAGES[doc], float(np.exp(whole[doc] / st.sum()))))
-                        start = j
+            rows: list[tuple] = []
+            good = [(i, u, t, k, f) for i, u, t, k in zip(b["id"], b["url"], b["text"], b["kind"], strict=True) if not is_residue(t, k, f := pages.Folded(t))]
+            read = bp.read_pages([g[2:] for g in good], model.body.known, model.body.titles)
+            kept = model.body.decide([(p, g[3]) for p, g in zip(read, good, strict=True)])
+            units, spans = [], []
+            for g, p, keep in zip(good, read, kept, strict=True):
+                mine = [(x.start, x.end) for x in p.blocks if keep[x.first]] if (g[3] or "").lower() == "pdf" else [(x.start, x.start + len(x.text)) for x, ok in zip(p.lines, keep.tolist(), strict=True) if ok]
+                spans.append(mine)
+                units += [g[2][s:e] for s, e in mine]
+            cut = [_PART.findall(u) for u in units]
+            score, steps = pooled(model.net, units, cut)
+            at = line = 0
+            for g, mine in zip(good, spans, strict=True):
+                parts = [(s, t) for (s, _), ts in zip(mine, cut[line : line + len(mine)], strict=True) for s, t in _placed(s, ts)]
+                line += len(mine)
+                sc, st = score[at : at + len(parts)], steps[at : at + len(parts)]
+                at += len(parts)
+                rows += [(g[0], g[1], *x) for x in _runs(parts, sc, st)]
             yield pd.DataFrame(rows, columns=["id", "url", "start", "end", "lang", "confidence", "record_lang", "record_confidence"])
 
     return picked.mapInPandas(label, "id long, url string, start int, end int, lang string, confidence double, record_lang string, record_confidence double")
 
 
+#: Parts of a line that are pooled: up to an end mark, or a gap between characters of a script without spaces.
+_PART = re.compile(r"(?:[^.!?。！？．]|[.!?．](?=[^\s\"”’」』)]))+(?:[.!?。！？．]+[”’\"'」』）)\]]*\s*|$)|[.!?。！？．]+\s*", re.S)
+
+
+def _placed(start: int, parts: list[str]) -> Iterator[tuple[int, str]]:
+    for t in parts:
+        yield start, t
+        start += len(t)
+
+
+def pooled(net: BiGru, units: list[str], cut: list[list[str]], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of each part of each unit, summed over its positions, and its positions.
+
+    The network reads whole units, so a part is judged in its context.
+    """
+    raw = [u.encode("utf-8", "replace") or b" " for u in units]
+    counts = np.array([len(c) for c in cut], dtype=np.int64)
+    offset = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    score, steps = np.zeros((int(offset[-1]), len(LANGUAGES))), np.ones(int(offset[-1]), dtype=np.int64)
+    order = np.argsort([len(r) for r in raw], kind="stable")
+    at = 0
+    while at < len(order):
+        longest = len(raw[order[min(len(order) - 1, at + size - 1)]])
+        ids = order[at : at + max(1, min(size, 4_000_000 // max(1, longest)))]
+        lp, n = net.log_probs([raw[i] for i in ids])
+        for j, i in enumerate(ids):
+            if not counts[i]:
+                continue
+            if counts[i] == 1:
+                score[offset[i]], steps[offset[i]] = lp[: n[j], j].sum(axis=0), n[j]
+                continue
+            ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in cut[i]])
+            first = np.minimum(np.concatenate([[0], ends[:-1]]) // STRIDE, n[j] - 1)
+            score[offset[i] : offset[i + 1]] = np.add.reduceat(lp[: n[j], j], first)
+            steps[offset[i] : offset[i + 1]] = np.maximum(1, np.diff(np.append(first, n[j])))
+        at += len(ids)
+    return score, steps
+
+
+def _runs(parts: list[tuple[int, str]], sc: np.ndarray, st: np.ndarray) -> Iterator[tuple[int, int, str, float, str, float]]:
+    """Runs of parts in one language that hold a full sentence."""
+    if not parts:
+        return
+    best = smooth(sc)
+    doc = int(np.bincount(best, weights=st, minlength=len(LANGUAGES)).argmax())
+    sure = float(np.exp(sc[:, doc].sum() / st.sum()))
+    start = 0
+    for j in range(1, len(parts) + 1):
+        if j == len(parts) or best[j] != best[start]:
+            texts = [t.strip() for _, t in parts[start:j]]
+            if any(len(t) >= LEAST and pages.sentence_like(t.replace("\n", "")) for t in texts):
+                end = parts[j - 1][0] + len(parts[j - 1][1].rstrip())
+                yield parts[start][0], end, LANGUAGES[best[start]], float(np.exp(sc[start:j, best[start]].sum() / st[start:j].sum())), LANGUAGES[doc], sure
+            start = j
+
+
 #: A segment below this confidence proves no language.
 CONFIDENT = 0.5
 

@@ -54,6 +54,7 @@ _END = re.compile(r"[.!?。！？．…؟][\"'”’」』）)\]】》]*\s*$")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: What parts the entries of a menu or a path on one line.
 _BARS = re.compile(r"[|｜/／·‧•›»>＞　]|\s{2,}| - ")
+_BAR_CHARS = frozenset("|｜/／·‧•›»>＞　\t\xa0")
 _BULLET = re.compile(r"^\s*[›．•·‧▪※●○◆■*‣»>【\[]")
 #: List marks; they belong to their line's unit.
 LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4}|[一二三四五六七八九十]{1,3})[)）]|\d{1,3}[.．、](?!\d)|[a-z]\.(?= )|[一二三四五六七八九十]{1,3}[、．.])\s*")
@@ -73,11 +74,13 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 class Folded:
-    """A text's lines, folded once, without white space."""
+    """A text's lines, folded once, without white space; empty where a line is too long for furniture and not ASCII."""
 
     __slots__ = ("all", "squashed")
 
     def __init__(self, text: str):
+        if len(text) > LONGEST:
+            text = "\n".join([x if len(x) <= LONGEST or x.isascii() else "" for x in text.split("\n")])
         self.all = _WHITE.sub("", fold(text))
         self.squashed = self.all.split("\n")
 
@@ -115,10 +118,19 @@ _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *rang
 
 def word_hash(squashed: str) -> int:
     """Hash of what a squashed line says, numbers and marks at its ends left aside; 0 if nothing."""
-    w = _NUMBERS.sub("", squashed).strip(_EDGES)
+    return said_hash(_NUMBERS.sub("", squashed))
+
+
+def said_hash(said: str) -> int:
+    """The same, of a squashed line without its numbers."""
+    w = said.strip(_EDGES)
     return hash64(w) if w else 0
 
 
+def without_numbers(squashed: str) -> str:
+    return _NUMBERS.sub("", squashed)
+
+
 @dataclass(slots=True)
 class Line:
     """A non-blank line: number, first position, text without outer white space, block."""
@@ -173,6 +185,8 @@ def sentence_like(line: str) -> bool:
 
 def entries(line: str) -> list[str]:
     """Entries of a menu or path on one line; a line without bars is one entry."""
+    if _BAR_CHARS.isdisjoint(line) and "  " not in line and " - " not in line:
+        return [line]
     return [p for p in _BARS.split(line) if p and _LETTER.search(p)]
 
 
