@@ -26,7 +26,7 @@ from .sentences import SAMPLE, WRAP, Splitter, sample, train
 
 LANGUAGES = ("zh", "en", "ja", "ko", "fr", "de", "es", "vi", "th")
 #: Sentences of one language the network is trained on, at most.
-PER_LANGUAGE = 160
+PER_LANGUAGE = 320
 #: Of these, with one wording.
 PER_WORDING = 12
 #: Shorter units say too little to be a sentence.

@@ -61,7 +61,7 @@ LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-
 
 
 #: No line of furniture is longer, spaced out or not.
-LONGEST = 160
+LONGEST = 120
 
 
 @lru_cache(None)

@@ -24,6 +24,8 @@ from .maxent import MaxEnt
 
 #: Records the model is fitted on: the first by a hash of their id.
 SAMPLE = 2000
+#: Characters on either side of a gap without which it parts no sentences.
+LEAST = 6
 WRAP = "\x1f"  # a wrapped line end between characters that take no space
 
 _D = "぀-ヿ㐀-鿿ก-๛"
@@ -116,8 +118,8 @@ class Splitter:
         a, b = self.starts.get(nxt, (0, 0)), self.ends.get(prev, (0, 0))
         rate = lambda x: "new" if sum(x) == 0 else "never" if x[0] == 0 else "seldom" if x[0] < 0.1 * x[1] else "often"
         return (
-            kind, f"{kind} {prev}", f"{kind} {nxt}", f"{kind} {_shape(prev)} {_shape(nxt)}", f"{prev} {_shape(nxt)}", f"{_shape(prev)} {nxt}", f"{kind} {tail}",
-            f"{kind} {prev in ABBREVIATIONS} {_shape(nxt)}", f"{kind} {rate(a)}", f"{kind} {rate(b)}", f"{rate(a)} {rate(b)} {min(len(prev), 4)}", f"{kind} {marked}", f"{len(prev) == 1} {prev in ABBREVIATIONS} {rate(a)}",
+            kind, f"{kind} {prev}", f"{kind} {nxt}", f"{kind} {_shape(prev)} {_shape(nxt)}", f"{kind} {prev} {_shape(nxt)}", f"{kind} {_shape(prev)} {nxt}", f"{kind} {tail}",
+            f"{kind} {prev in ABBREVIATIONS} {_shape(nxt)}", f"{kind} {rate(a)}", f"{kind} {rate(b)}", f"{kind} {rate(a)} {rate(b)} {min(len(prev), 4)}", f"{kind} {marked}", f"{kind} {len(prev) == 1} {prev in ABBREVIATIONS} {rate(a)}",
         )
 
     def decide(self, s: str, m: re.Match, depth: int, marked: bool) -> bool | None:
@@ -165,7 +167,7 @@ class Splitter:
         depth = at = 0
         marked = "。" in s or bool(_SENTENCE_END.search(s))
         for m in _CANDIDATE.finditer(s):
-            if m.start() < skip:
+            if m.start() < skip or (m["space"] is not None and (m.start() - out[-1] < LEAST or len(s) - m.end() < LEAST)):
                 continue
             inner = s[at : m.start()] if m["space"] is not None else s[at : m.start("gap")]
             for c in inner:
@@ -279,7 +281,10 @@ def train(records: list[tuple[str, str | None]]) -> Splitter:
         nxt, prev = _DIGITS.sub("0", _after(s, m.end())), _DIGITS.sub("0", _before(s, m.start()))
         (i, n), (e, k) = splitter.starts[nxt], splitter.ends[prev]
         small = _after(s, m.end())[:1].islower()
-        if small or (i == 0 and n >= 4) or (e == 0 and k >= 8) or (m["space"] is None and prev in ABBREVIATIONS and i < 3):
+        by_form = m["space"] is None and bool(m["gap"]) and prev.isalpha() and len(prev) > 2 and prev not in ABBREVIATIONS and s[m.end()].isupper()
+        if by_form:
+            label = 1  # a word before the stop, a capital after the gap
+        elif small or (i == 0 and n >= 4) or (e == 0 and k >= 8) or (m["space"] is None and prev in ABBREVIATIONS and i < 3):
             label = 0
         elif i >= 2 and (e >= 1 or len(prev) > 3):
             label = 1
