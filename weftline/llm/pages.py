@@ -61,7 +61,7 @@ LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-
 
 
 #: No line of furniture is longer, spaced out or not.
-LONGEST = 120
+LONGEST = 160
 
 
 @lru_cache(None)
@@ -74,12 +74,14 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 class Folded:
-    """A text's lines, folded once, without white space; empty where a line is too long for furniture and not ASCII."""
+    """A text's lines, folded once, without white space; empty where a line is too long for furniture and not ASCII, or longer than ``longest``."""
 
     __slots__ = ("all", "squashed")
 
-    def __init__(self, text: str):
-        if len(text) > LONGEST:
+    def __init__(self, text: str, longest: int = 0):
+        if longest:
+            text = "\n".join([x if len(x) <= longest else "" for x in text.split("\n")])
+        elif len(text) > LONGEST:
             text = "\n".join([x if len(x) <= LONGEST or x.isascii() else "" for x in text.split("\n")])
         self.all = _WHITE.sub("", fold(text))
         self.squashed = self.all.split("\n")

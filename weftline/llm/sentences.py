@@ -35,7 +35,7 @@ _OPEN = set("“「『（《(【[〈")
 _SHUT = set("”」』）》)】]〉")
 _CANDIDATE = re.compile(
     rf"(?P<mark>[.!?。！？．｡…]+)(?P<close>[{_CLOSE}{WRAP}]*)(?P<gap>[\s{WRAP}]*)(?=[^\s{WRAP}])"
-    rf"|(?<=[{_D}0-9A-Za-z%％）)」])(?P<space>[ 　\t]+)(?=[{_D}A-Z《「(（])"
+    rf"|(?P<space>(?<=[{_D}])[ 　\t]+(?=[{_D}A-Z《「(（])|(?<=[0-9A-Za-z%％）)」])[ 　\t]+(?=[{_D}]))"
 )
 _TOKEN_BEFORE = re.compile(rf"(?:[^\W{_D}]|[.'’/:-](?=[^\W{_D}]))+$|[^\s]$")
 _TOKEN_AFTER = re.compile(rf"[“‘\"'「『《(（¿¡]*(?P<w>[{_D}]{{1,2}}|[^\W{_D}]+|[^\s])")
