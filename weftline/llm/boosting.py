@@ -18,7 +18,7 @@ class Boosted:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 32, depth: int = 4, rate: float = 0.35, least: float = 8.0, ridge: float = 1.0) -> Boosted:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 28, depth: int = 4, rate: float = 0.4, least: float = 8.0, ridge: float = 1.0) -> Boosted:
         """Newton boosting of the logistic loss; splits by histogram."""
         edges = []
         for j in range(x.shape[1]):
