@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 NOT_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session, else (tests) a temporary one, set once."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
+        where = _OWN[0]
     return where.rstrip("/")
 
 
