@@ -52,16 +52,17 @@ class BiGru:
         state = np.zeros((n, h), dtype=np.float32)
         out = np.empty((steps, n, h), dtype=np.float32)
         saved = []
+        whole = int(mask.all(axis=1).sum())  # steps that all texts have
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = state @ u
             zr = _sigmoid(g[t, :, : 2 * h] + a[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             c = np.tanh(g[t, :, 2 * h :] + r * a[:, 2 * h :])
             new = c + z * (state - c)
-            m = mask[t][:, None]
             if keep:
                 saved.append((t, state, z, r, c, a[:, 2 * h :]))
-            state = new * m if d == "b" else np.where(m > 0, new, state)
+            # what follows a text's end is never read; from behind, a text begins with a state of zeros
+            state = new * mask[t][:, None] if d == "b" and t >= whole else new
             out[t] = state
         return out, saved
 

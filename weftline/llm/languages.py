@@ -101,10 +101,17 @@ def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 1
         parts = [(texts[i] + b" ", labels[i][0]), (texts[j] + b" ", labels[j][0]), (texts[k], labels[k][0])]
         texts.append(b"".join(t for t, _ in parts))
         labels.append(np.concatenate([np.full(len(t), y) for t, y in parts])[::STRIDE])
-    net.fit(texts, labels, rounds=rounds, seed=seed)
+    for turn in range(3):  # a start that does not come down is left for another
+        if net.fit(texts, labels, rounds=rounds, seed=seed + turn)[-1] < GOOD:
+            break
+        net = BiGru(len(LANGUAGES), seed=seed + turn + 1) if turn < 2 else net
     return net
 
 
+#: Mean loss of a position below which training has succeeded.
+GOOD = 0.25
+
+
 def classify(net: BiGru, texts: list[str], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Pooled log-probabilities ``(text, label)`` (sums over steps) and steps of each text. Texts of any length are read whole."""
     raw = [t.encode("utf-8", "replace") or b" " for t in texts]
@@ -211,6 +218,9 @@ CHANGE, WEIGHT = 3.0, 0.5
 
 def smooth(score: np.ndarray) -> np.ndarray:
     """The likeliest sequence of languages of a record's sentences, by dynamic programming."""
+    best = score.argmax(axis=1)
+    if (best == best[0]).all():
+        return best  # no other sequence can be likelier
     total, back = score[0] * WEIGHT, []
     for row in score[1:]:
         stay = total.argmax()
@@ -258,7 +268,7 @@ def segments(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type
 
 
 #: Parts of a line that are pooled: up to an end mark, or a gap between characters of a script without spaces.
-_PART = re.compile(r"(?:[^.!?。！？．]|[.!?．](?=[^\s\"”’」』)]))+(?:[.!?。！？．]+[”’\"'」』）)\]]*\s*|$)|[.!?。！？．]+\s*", re.S)
+_PART = re.compile(r"(?:[^.!?。！？．]++|[.!?．](?=[^\s\"”’」』)]))++(?:[.!?。！？．]+[”’\"'」』）)\]]*\s*|$)|[.!?。！？．]+\s*", re.S)
 
 
 def _placed(start: int, parts: list[str]) -> Iterator[tuple[int, str]]:
@@ -267,7 +277,7 @@ def _placed(start: int, parts: list[str]) -> Iterator[tuple[int, str]]:
         start += len(t)
 
 
-def pooled(net: BiGru, units: list[str], cut: list[list[str]], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def pooled(net: BiGru, units: list[str], cut: list[list[str]], size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of each part of each unit, summed over its positions, and its positions.
 
     The network reads whole units, so a part is judged in its context.
