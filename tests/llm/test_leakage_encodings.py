@@ -85,3 +85,17 @@ def test_table(spark):
     got = en.mended(df).collect()
     assert sorted(r.id for r in got) == [100, 100, 101] and all("申請日期" in r.restored for r in got)
     assert en.mended(df.limit(0)).count() == 0
+
+
+def test_transformations_outside_the_lists_are_learned_from_twins(spark):
+    thai, czech = "ประกาศรับสมัครนักศึกษาใหม่", "Příští přednáška začíná v říjnu"
+    clean = [(i, f"2024-{i:04d} {thai}", 1) for i in range(1200)] + [(i, f"2025-{i:04d} {czech}", 1) for i in range(1200, 2400)]
+    as_latin = lambda t: t.encode("cp874").decode("latin-1")
+    as_western = lambda t: t.encode("cp1250").decode("cp1252")
+    garbled = [(3000 + i, as_latin(clean[i][1]), 1) for i in range(3)] + [(4000 + i, as_western(clean[1200 + i][1]), 1) for i in range(3)]
+    alone = [(5000, as_latin("ข่าว ประกาศ"), 1), (5001, as_western("v říjnu"), 1)]  # without a twin
+    df = spark.createDataFrame(clean + garbled + alone, "doc_id long, text string, n int").repartition(3)
+    got = {r.id: r.restored for r in en.mended(df).collect()}
+    want = {3000 + i: clean[i][1] for i in range(3)} | {4000 + i: clean[1200 + i][1] for i in range(3)} | {5001: "v říjnu"}
+    assert set(got) == {*want, 5000}
+    assert {k: got[k] for k in want} == want
