@@ -168,3 +168,18 @@ def test_boosting_separates():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     b = Boosted.fit(x[:400], y[:400], least=1)
     assert ((b.score(x[400:]) > 0) == y[400:]).mean() > 0.9
+
+
+def test_boosting_fits_all_its_trees_and_scores_as_they_say():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=(600, 5)), rng.integers(0, 2, 600), rng.integers(0, 4, 600)]).astype(np.float32)
+    b = Boosted.fit(x, (x[:, 0] + x[:, 5] * x[:, 1] > 0).astype(float))
+    assert len(b.trees) == 50
+    bins, want = Boosted._bin(x, b.edges), np.full(len(x), b.prior)
+    for feature, cut, leaf in b.trees:
+        node = np.zeros(len(x), dtype=int)
+        for level in range(b.depth):
+            at = 2**level - 1 + node
+            node = 2 * node + ((bins[np.arange(len(x)), feature[at]] > cut[at]) & (cut[at] != 255))
+        want += leaf[node]
+    assert np.allclose(b.score(x), want)

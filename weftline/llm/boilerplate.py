@@ -254,8 +254,8 @@ def sure(p: Page) -> list[int]:
             elif p.ends[i] and (len(s) >= 24 or size > 1 and p.shares[i] < KNOWN and all(p.ends[j] for j in span)):
                 out[i] = 0
         for i in span:  # a heading over sentences
-            if out[i] == -1 and i < b.last and out[i + 1] == 0 and p.shares[i] < KNOWN:
-                out[i] = 0
+            if out[i] == -1 and i < b.last and out[i + 1] == 0 and (p.shares[i] < KNOWN or i == b.first and all(out[j] == 0 for j in range(i + 1, b.last + 1))):
+                out[i] = 0  # a wording many pages share is one too where the whole rest of its block is sentences
         if size == 1 and out[b.first] == -1 and b.last + 1 < len(p.lines) and out[b.first] == -1 and not pages._BULLET.match(p.lines[b.first].text) and "「" not in p.lines[b.first].text and " – " not in p.lines[b.first].text:
             nxt = p.lines[b.last + 1].text
             if p.ends[b.last + 1] and len(nxt) >= 24 and not p.tokens[b.last + 1] and p.shares[b.first] < KNOWN and len(p.lines[b.first].text) >= 6:

@@ -18,7 +18,7 @@ class Boosted:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 28, depth: int = 4, rate: float = 0.4, least: float = 8.0, ridge: float = 1.0) -> Boosted:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.3, least: float = 8.0, ridge: float = 1.0) -> Boosted:
         """Newton boosting of the logistic loss; splits by histogram."""
         edges = []
         for j in range(x.shape[1]):
@@ -62,19 +62,28 @@ class Boosted:
         """Log-odds of each row."""
         if not len(x):
             return np.zeros(0)
-        b = np.ascontiguousarray(self._bin(x, self.edges).T)
+        # only columns that a tree compares; a few edges are counted, many are searched
+        b = np.zeros((x.shape[1], len(x)), dtype=np.uint8)
+        for j in {int(f) for feature, cut, _ in self.trees for f, c in zip(feature, cut, strict=True) if c != 255}:
+            v, e = np.ascontiguousarray(x[:, j]), self.edges[j]
+            if len(e) > 4:
+                b[j] = np.searchsorted(e, v, side="right")
+            else:
+                for edge in e:
+                    b[j] += v >= edge
         total = np.full(len(x), self.prior)
         for feature, cut, leaf in self.trees:
-            # which leaf, from the bottom up: every node is a comparison of one column
-            value = [leaf[k] for k in range(len(leaf))]
+            # which leaf, from the bottom up: every node is a comparison of one column, and picks one of two leaf numbers bit by bit
+            at: list[np.ndarray | int] = list(range(len(leaf)))
             for level in range(self.depth - 1, -1, -1):
                 base = 2**level - 1
-                value = [self._pick(b, int(feature[base + k]), int(cut[base + k]), value[2 * k], value[2 * k + 1]) for k in range(2**level)]
-            total += value[0]
+                at = [self._pick(b, int(feature[base + k]), int(cut[base + k]), at[2 * k], at[2 * k + 1]) for k in range(2**level)]
+            total += leaf[at[0]]
         return total
 
     @staticmethod
-    def _pick(b: np.ndarray, feature: int, cut: int, low: np.ndarray | float, high: np.ndarray | float) -> np.ndarray | float:
+    def _pick(b: np.ndarray, feature: int, cut: int, low: np.ndarray | int, high: np.ndarray | int) -> np.ndarray | int:
         if cut == 255:
             return low
-        return np.where(b[feature] > cut, high, low)
+        right = (b[feature] > cut).view(np.uint8) * np.uint8(255)
+        return np.bitwise_xor(low, np.bitwise_and(np.bitwise_xor(low, high, dtype=np.uint8), right), dtype=np.uint8)
