@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weftline.llm import queries
 from weftline.llm import repeated_lines as rl
 from weftline.llm import splitting as sp
 
@@ -90,3 +91,11 @@ def test_split_table(spark):
     got = sp.split_oversized(df).collect()
     assert sorted({r.id for r in got}) == [2, 4, 7] and sum(r.id == 2 for r in got) == 4
     assert sp.split_oversized(df.limit(0)).count() == 0
+
+
+def test_clean_keeps_sentences_that_share_a_template(spark, tmp_path):
+    body = "If the page shows {} when you log in, clear the cookies of your browser and then try it again after twelve"
+    rows = [(i, f"u{i}", "a", body.format(x) + "\nSkip to main content") for i, x in enumerate(["nothing", "an error", "old grades", "no courses", "a blank form", "two menus"])]
+    chunks(spark, rows).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: r.text for r in queries.p1_clean(spark, str(tmp_path)).collect()}
+    assert got == {i: text.split("\n")[0] for i, _, _, text in rows}

@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     chunks = _t(spark, d, "chunks")
-    return rl.without_lines(chunks, rl.repeated_lines(chunks)).select(F.col("id").alias("chunk_id"), "text")
+    return rl.without_lines(chunks, rl.repeated_lines(chunks, exact=True)).select(F.col("id").alias("chunk_id"), "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
