@@ -183,3 +183,10 @@ def test_boosting_fits_all_its_trees_and_scores_as_they_say():
             node = 2 * node + ((bins[np.arange(len(x)), feature[at]] > cut[at]) & (cut[at] != 255))
         want += leaf[node]
     assert np.allclose(b.score(x), want)
+
+
+def test_wordings_of_long_lines_are_counted():
+    notice = "This office keeps what you send for the time the rules of the council name and for no longer, whoever asks for it, " * 3
+    assert len(notice) > 300 and len(bp.wordings(notice)) == 1
+    page = bp.read_page(notice, "html", {w: 0.5 for w in bp.wordings(notice)})
+    assert page.shares == [0.5]

@@ -31,8 +31,6 @@ SAMPLE = 1500
 #: A wording is known if this share of the records (and at least three) holds it: at most lines per record / share wordings.
 KNOWN = 0.002
 COMMON = 0.01
-#: Longer lines are not counted: no wording that many pages share is longer.
-SHARED = 110
 MIXED = 3.0
 
 
@@ -40,9 +38,9 @@ _said: dict[str, tuple[int, ...]] = {}
 
 
 def wordings(text: str) -> set[int]:
-    """Hashes of the wordings of a record's short lines and of the entries on them."""
+    """Hashes of the wordings of a record's lines and of the entries on them."""
     out: set[int] = set()
-    for raw, squashed in zip(text.split("\n"), pages.Folded(text, SHARED).squashed, strict=True):
+    for raw, squashed in zip(text.split("\n"), pages.Folded(text).squashed, strict=True):
         if squashed:
             said = _said.get(raw)
             if said is None:
@@ -91,7 +89,6 @@ class Page:
 
 _GROUP = {k: i for i, k in enumerate(pages.GROUPS)}
 _FORM = "「(（:：–/|·,"
-_NO_FORM = (0,) * len(_FORM)
 _PACK = struct.Struct(f"={7 + len(_FORM)}f").pack
 
 
@@ -108,15 +105,12 @@ _seen: dict[str, tuple] = {}
 
 def _own(s: str, squashed: str) -> tuple:
     """What a line says by itself: tokens, whether it is like a sentence, hashes of its wording and entries, features (as bytes)."""
-    if len(s) > pages.LONGEST:
-        features = (400.0 if len(s) > 400 else len(s), 1, len(s), len(s), pages._BULLET.match(s) is not None, pages.LIST_MARK.match(s) is not None, 0.0, *_NO_FORM)
-        return (), pages.sentence_like(s), 0, (), _PACK(*features)
     e = pages.entries(s)
     lens = [len(p) for p in e] or [0]
     count = s.count
     said = pages.without_numbers(squashed)
-    features = (len(s), len(e), max(lens), sum(lens) / len(lens), pages._BULLET.match(s) is not None, pages.LIST_MARK.match(s) is not None, 1 - len(said) / max(1, len(squashed)), *[count(c) for c in _FORM])
-    return pages.squashed_tokens(squashed), pages.sentence_like(s), pages.said_hash(said) if len(s) <= SHARED else 0, tuple(pages.word_hash(pages.squash(p)) for p in e) if len(e) > 2 else (), _PACK(*features)
+    features = (min(len(s), 400), len(e), max(lens), sum(lens) / len(lens), pages._BULLET.match(s) is not None, pages.LIST_MARK.match(s) is not None, 1 - len(said) / max(1, len(squashed)), *[count(c) for c in _FORM])
+    return pages.squashed_tokens(squashed), pages.sentence_like(s), pages.said_hash(said), tuple(pages.word_hash(pages.squash(p)) for p in e) if len(e) > 2 else (), _PACK(*features)
 
 
 def title_shapes(rows: list[tuple[str, str | None]], least: int = 10) -> frozenset[str]:
