@@ -190,3 +190,9 @@ def test_wordings_of_long_lines_are_counted():
     assert len(notice) > 300 and len(bp.wordings(notice)) == 1
     page = bp.read_page(notice, "html", {w: 0.5 for w in bp.wordings(notice)})
     assert page.shares == [0.5]
+
+
+def test_residue_on_one_long_line():
+    text = "404 錯誤，您要找的頁面不存在或已被移除。" * 10
+    assert len(text) > 160 and rs.is_residue(text, "html")
+    assert not rs.is_residue("提醒您，學生停修課程須經授課教師同意，且剩餘學分不得低於九。" * 10, "html")

@@ -121,7 +121,7 @@ def title_shapes(rows: list[tuple[str, str | None]], least: int = 10) -> frozens
         for b in blocks:
             related = False
             for x in lines[b.first : b.last + 1]:
-                if related and not pages.tokens(x.text) and len(x.text) <= pages.LONGEST:
+                if related and not pages.tokens(x.text):
                     seen[pages.shape(x.text)] += 1
                 related = related or "related" in pages.tokens(x.text)
     return frozenset(k for k, n in seen.items() if n >= least and len(set(k) - set("a0")) >= 2)
@@ -160,8 +160,8 @@ def read_pages(records: list[tuple[str, str | None, pages.Folded]], known: dict[
         titled = [False] * len(lines)
         if pdf and titles:  # running titles stand alone
             for b in blocks:
-                if b.first == b.last and len(t := lines[b.first].text) <= pages.LONGEST:
-                    titled[b.first] = pages.shape(t) in titles
+                if b.first == b.last:
+                    titled[b.first] = pages.shape(lines[b.first].text) in titles
         out.append(Page(lines, blocks, _NOTHING, toks, shares, [], ends, titled))
         own += [o[4] for o in mine]
         is_pdf += [pdf] * len(lines)

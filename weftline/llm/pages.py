@@ -60,10 +60,6 @@ _BULLET = re.compile(r"^\s*[›．•·‧▪※●○◆■*‣»>【\[]")
 LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4}|[一二三四五六七八九十]{1,3})[)）]|\d{1,3}[.．、](?!\d)|[a-z]\.(?= )|[一二三四五六七八九十]{1,3}[、．.])\s*")
 
 
-#: No line of furniture is longer, spaced out or not.
-LONGEST = 160
-
-
 @lru_cache(None)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -91,7 +87,7 @@ def squash(line: str) -> str:
 @lru_cache(50_000)
 def tokens(line: str) -> tuple[str, ...]:
     """Attribute tokens of a line."""
-    return () if len(line) > LONGEST else squashed_tokens(squash(line))
+    return squashed_tokens(squash(line))
 
 
 def squashed_tokens(s: str) -> tuple[str, ...]:
