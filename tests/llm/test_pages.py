@@ -10,6 +10,7 @@ from weftline.llm import boilerplate as bp
 from weftline.llm import languages as lg
 from weftline.llm import residue as rs
 from weftline.llm import sentences as sn
+from weftline.llm import queries
 from weftline.llm.boosting import Boosted
 from weftline.llm.gru import STRIDE, BiGru, frames
 
@@ -196,3 +197,9 @@ def test_residue_on_one_long_line():
     text = "404 錯誤，您要找的頁面不存在或已被移除。" * 10
     assert len(text) > 160 and rs.is_residue(text, "html")
     assert not rs.is_residue("提醒您，學生停修課程須經授課教師同意，且剩餘學分不得低於九。" * 10, "html")
+
+
+def test_bodies_of_chunks(spark, table, tmp_path):
+    table.select(table.ext_id.alias("chunk_id"), "url", "text", "source_type").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: r.body for r in queries.queries()["p7_chunk_bodies"](spark, str(tmp_path)).collect()}
+    assert got[2].startswith("Course Guide 2\nReminder") and "Copyright" not in got[2]

@@ -73,6 +73,10 @@ def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
     return bp.main_bodies(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "body")
 
 
+def p7_chunk_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return bp.main_bodies(_t(spark, d, "chunks"), "chunk_id").select(F.col("id").alias("chunk_id"), "body")
+
+
 def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
     return pk.pack(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
