@@ -107,12 +107,13 @@ def test_gradient_is_right():
     net = BiGru(3, hidden=4, seed=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, n = frames([b"abcdefghij", b"xyz"])
-    y = np.zeros(x.shape[:2], dtype=np.int64)
-    y[1, 0] = 2
+    y = np.full((*x.shape[:2], STRIDE), -1)
+    y[0, 0], y[1, 0, : 10 - STRIDE], y[0, 1, :3] = 0, 2, 1  # every byte of both texts has a label of its own
     _, grad = net.gradients(x, n, y)
     rng = np.random.default_rng(0)
-    for k in ("uf", "ub", "kf", "w", "c"):
-        at = tuple(int(rng.integers(0, d)) for d in net.p[k].shape)
+    e = (1, ord("b"), 2)
+    for k in ("e", "if", "ib", "uf", "ub", "kf", "w", "c"):
+        at = e if k == "e" else tuple(int(rng.integers(0, d)) for d in net.p[k].shape)
         old = net.p[k][at]
         net.p[k][at] = old + 1e-3
         up = net.gradients(x, n, y)[0]
@@ -122,14 +123,55 @@ def test_gradient_is_right():
         assert abs((up - down) / 2e-3 - grad[k][at]) < 2e-4, k
 
 
-def test_network_learns():
+WORDS = {"en": "the cat sat on a mat with some milk".split(), "de": "der hund und die katze sind nicht im haus".split(), "ko": "과목 정원은 명입니다 수강 변경은".split()}
+
+
+@pytest.fixture(scope="module")
+def net():
     rng = np.random.default_rng(0)
-    words = {"en": "the cat sat on a mat with some milk".split(), "de": "der hund und die katze sind nicht im haus".split(), "ko": "과목 정원은 명입니다 수강 변경은".split()}
-    make = lambda k: " ".join(rng.choice(words[k], 6))
-    net = lg.fit_network([(make(k), k) for k in words for _ in range(40)], rounds=8)
-    test = [(make(k), k) for k in words for _ in range(30)]
-    score, steps = lg.classify(net, [t for t, _ in test])
-    assert np.mean([lg.LANGUAGES[i] == k for i, (_, k) in zip(score.argmax(axis=1), test, strict=True)]) > 0.95 and (steps >= 1).all() and STRIDE >= 1
+    return lg.fit_network([(" ".join(rng.choice(WORDS[k], 6)) + ".", k) for k in WORDS for _ in range(60)])
+
+
+def test_network_learns(net):
+    rng = np.random.default_rng(5)
+    test = [(" ".join(rng.choice(WORDS[k], 6)) + ".", k) for k in WORDS for _ in range(30)]
+    score, sizes = lg.pooled(net, [t for t, _ in test], [np.array([len(t)]) for t, _ in test])
+    assert np.mean([lg.LANGUAGES[s.argmax()] == k for s, (_, k) in zip(score, test, strict=True)]) > 0.95
+    assert sizes.tolist() == [len(t.encode()) for t, _ in test]
+
+
+def test_every_byte_has_a_label(net):
+    rng = np.random.default_rng(6)
+    right = seen = 0
+    for _ in range(30):
+        keys = list(rng.permutation(list(WORDS))[:2])
+        parts = [" ".join(rng.choice(WORDS[k], 6)) + ". " for k in keys]
+        raw = [p.encode() for p in parts]
+        lp, _ = net.log_probs([b"".join(raw)])
+        by_byte = lp[:, :, :, 0].transpose(2, 0, 1).reshape(-1, len(lg.LANGUAGES))[: len(raw[0]) + len(raw[1])]
+        truth = np.repeat([lg.LANGUAGES.index(k) for k in keys], [len(r) for r in raw])
+        right += int((by_byte.argmax(axis=1) == truth).sum())
+        seen += len(truth)
+    assert right > 0.95 * seen
+
+
+def test_both_ways_to_run_the_network_agree(net):
+    texts = [b"the cat sat", "과목 정원은 명입니다 수강".encode() * 9, b"x"]
+    native, n = net.log_probs(texts)
+    held, net._session = net._session, False
+    plain, _ = net.log_probs(texts)
+    net._session = held
+    inside = np.arange(native.shape[2])[:, None] < n[None, :]
+    assert np.abs(native - plain)[:, :, inside].max() < 1e-4
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [("One two three. Four five!", 2), ("See Prof. Dresk on Dec. 5 for Ph.D. work.", 1), ("先選課。再繳費！好", 3), ("先選課再繳費　之後再來", 2), ("請見說明.下一句", 2), ("v6.1.4 at https://x.y/z", 1), ("", 1)],
+)
+def test_parts(text, parts):
+    ends = lg.parts_of(text)
+    assert len(ends) == parts and ends[-1] == len(text)
 
 
 def test_segments(spark, table):
@@ -190,7 +232,61 @@ def test_wordings_of_long_lines_are_counted():
     notice = "This office keeps what you send for the time the rules of the council name and for no longer, whoever asks for it, " * 3
     assert len(notice) > 300 and len(bp.wordings(notice)) == 1
     page = bp.read_page(notice, "html", {w: 0.5 for w in bp.wordings(notice)})
-    assert page.shares == [0.5]
+    assert page.shares.tolist() == [0.5]
+
+
+@pytest.mark.parametrize("n", [5, 8, 11, 120])
+def test_lines_are_judged_at_any_length(n):
+    notice = "Copyright 2020 Lanhu University, all rights reserved by the office. " * n
+    assert "rights" in bp.read_page(notice, "html", {}).tokens[0]
+    assert rs.is_residue("404 錯誤，您要找的頁面不存在或已被移除。" * n, "html") and rs.is_residue("測試" * (30 * n), "html")
+    thai = "ก" * 14 + "x" * (200 * n)
+    assert not bp.read_page(thai, "html", {}).ends[0] and bp.read_page(thai + "ก", "html", {}).ends[0]
+
+
+def crawl(n=400, seed=0):
+    """Pages with bodies of their own, and furniture of some kinds; gives lines of furniture beside the text."""
+    rng = np.random.default_rng(seed)
+    nouns = [a + b for a in "ka ro mi tu sel dan vor lis".split() for b in "bek nor tal wim gos dra pel fun".split()]
+    some = lambda k: " ".join(rng.choice(nouns, k))
+    notice = "We at the institute keep what visitors send for as long as the rules of the council name and no longer than that, whoever asks for it in writing, and every request of this kind is answered by the office in the order in which it comes to hand, with a note of the day on which it was read and of the person who read it."
+    kinds = [["Rules", "Staff", "Places", "Archive"], [notice], ["Stay with us by choosing yes on the small bar below"], ["Institute of Rivers, house on the hill, no. 12"]]
+    out = []
+    for i in range(n):
+        body = [f"The {some(3)} of {some(2)} was {some(4)}, and {some(3)} came to {some(2)}. " * 1 + f"No {some(2)} went to {some(3)}." for _ in range(rng.integers(2, 5))]
+        head = [f"{some(2).title()}"]
+        blocks = [([*head, *body], False)]
+        for k in kinds:
+            if rng.random() < 0.6:
+                blocks.insert(0 if len(k) > 1 or rng.random() < 0.3 else len(blocks), (k, True))
+        text, lines, at = "\n\n".join("\n".join(b) for b, _ in blocks), set(), 0
+        for b, furniture in blocks:
+            lines |= {at + j for j in range(len(b))} if furniture else set()
+            at += len(b) + 1
+        out.append((text, lines))
+    return out, notice
+
+
+def test_trees_find_furniture_without_any_token(monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(bp.Reading, "_tokens", lambda self: [()] * len(self.forest))
+    pages_, notice = crawl()
+    assert len(notice) > 300
+    counts = Counter(w for t, _ in pages_ for w in bp.wordings(t))
+    known = {w: k / len(pages_) for w, k in counts.items() if k >= 3}
+    model = bp.train([(t, "html") for t, _ in pages_[:200]], known)
+    model = bp.BodyModel(known, model.titles, model.trees)
+    right = found = true = 0
+    for _, r, keep, _ in model.batches([t for t, _ in pages_[200:]], ["html"] * 200):
+        f = r.forest
+        got = {(int(d), int(n)) for d, n in zip(f.doc[~keep], f.no[~keep], strict=True)}
+        want = {(d, n) for d, (_, lines) in enumerate(pages_[200:]) for n in lines}
+        right, found, true = right + len(got & want), found + len(got), true + len(want)
+    assert right >= 0.9 * true and right >= 0.9 * found
+    held = bp.agreement([(t, "html") for t, _ in pages_], known)
+    print(held)
+    assert held["agreement"] > 0.95
 
 
 def test_residue_on_one_long_line():

@@ -1,20 +1,21 @@
 """Problem 7: the main body of a page, without menus, notices, lists of other pages, bylines, footers.
 
-Gradient-boosted trees score every line (node) by its attribute tokens, length, punctuation, place, siblings, the
-density of its block (subtree) and how many records of the whole corpus hold its wording. The trees are fitted on lines
-of a bounded sample whose kind is beyond doubt: lines with attribute tokens, lists under a header for other pages and
-blocks of short entries that very many pages share on one side, sentences and their headings on the other. Decoding is
-hierarchical: a block is furniture, body, or mixed at a price, so a block and its lines cannot contradict each other.
+Gradient-boosted trees score every line (node) by its attribute tokens, length, punctuation, place, siblings and the
+density of its block (subtree). Labels and features come from different sources. The labels of the trees' sample are
+corpus statistics: what very many records say in the same words is furniture, sentences hardly any other record has are
+body, headings go with the sentences below them, a list without sentences goes with its shared lines. No attribute token
+labels a line, and how many records share a line's own wording is no feature of it. That share is evidence of its own,
+added to the trees' log-odds. Decoding is hierarchical: a block is furniture, body, or mixed at a price, so a block
+and its lines cannot contradict each other.
 """
 
 from __future__ import annotations
 
 import math
-import struct
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import pages
 from .boosting import Boosted
-from .residue import is_residue
+from .forest import Forest, forests
+from .residue import SIGN, automaton, flags
 from .sentences import sample
 
 #: Records the trees are fitted on.
@@ -32,28 +34,36 @@ SAMPLE = 1500
 KNOWN = 0.002
 COMMON = 0.01
 MIXED = 3.0
+#: Log-odds that a line is furniture for each tenfold of its share of the records over ``COMMON`` / 3, and at most.
+EVIDENCE, MOST = 2.0, 3.0
 
 
-_said: dict[str, tuple[int, ...]] = {}
+def _said(f: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a batch: of each line's wording, of its lead, and line and hash of the entries on lines with several."""
+    return f.said(), f.leads(), *f.parts_said()
+
+
+def _held(f: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes the texts of a batch hold, and how many of its texts hold each."""
+    if not len(f):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    said, leads, at, parts = _said(f)
+    h = np.concatenate([said, leads, parts])
+    doc = np.concatenate([f.doc, f.doc, f.doc[at]])[h != 0]
+    h = h[h != 0]
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return np.unique(h[new], return_counts=True)
 
 
 def wordings(text: str) -> set[int]:
-    """Hashes of the wordings of a record's lines and of the entries on them."""
-    out: set[int] = set()
-    for raw, squashed in zip(text.split("\n"), pages.Folded(text).squashed, strict=True):
-        if squashed:
-            said = _said.get(raw)
-            if said is None:
-                if len(_said) > 50_000:
-                    _said.clear()
-                parts = pages.entries(raw.strip())
-                said = _said[raw] = (pages.word_hash(squashed), *((pages.word_hash(pages.squash(p)) for p in parts) if len(parts) > 2 else ()))
-            out.update(said)
-    out.discard(0)
-    return out
+    """Hashes of the wordings of a record's lines, of their leads and of the entries on them."""
+    return set(_held(Forest([text], [None]))[0].tolist())
 
 
-def known_wordings(df: DataFrame, text_col: str) -> dict[int, float]:
+def known_wordings(df: DataFrame, text_col: str, total: int | None = None) -> dict[int, float]:
     """Share of all records that hold a wording, for the wordings that are known.
 
     Counted over every record; added up per batch before the shuffle. What reaches the driver is bounded by the mean
@@ -61,213 +71,206 @@ def known_wordings(df: DataFrame, text_col: str) -> dict[int, float]:
     """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            total: Counter = Counter()
-            for t in b["text"]:
-                total.update(wordings(t))
-            yield pd.DataFrame({"w": list(total.keys()), "n": list(total.values())}, dtype="int64")
-
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    n = texts.count()
+            held = [_held(f) for _, f in forests(b["text"].tolist(), [None] * len(b))]
+            w = np.concatenate([h for h, _ in held] or [np.zeros(0, np.int64)])
+            k = np.concatenate([n for _, n in held] or [np.zeros(0, np.int64)])
+            if len(held) > 1:
+                w, inverse = np.unique(w, return_inverse=True)
+                k = np.bincount(inverse, k).astype(np.int64)
+            yield pd.DataFrame({"w": w, "n": k})
+
+    n = df.count() if total is None else total
     least = max(3, math.ceil(KNOWN * n))
+    texts = df.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"))
     rows = texts.mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return {r.w: r.n / n for r in rows.toLocalIterator()}
 
 
-@dataclass
-class Page:
-    """A parsed record with the features of its lines."""
+class Lookup:
+    """Shares of hashes, for whole arrays."""
+
+    def __init__(self, known: dict[int, float]):
+        self.keys = np.array(sorted(known), dtype=np.int64)
+        self.values = np.array([known[k] for k in self.keys.tolist()], dtype=np.float32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where((self.keys[at] == h) & (h != 0), self.values[at], np.float32(0))
+
+
+class Reading:
+    """A batch of texts, what is known of its lines, and their features."""
+
+    def __init__(self, f: Forest, shares: Lookup, titles: frozenset[str] = frozenset(), with_tokens: bool = True):
+        self.forest = f
+        n = len(f)
+        if n:
+            f.read_forms()
+        said, leads, at, parts = _said(f) if n else (np.zeros(0, np.int64),) * 4
+        self.shares = shares(said)
+        # a sentence with numbers of its own may be said anew, however many say it in the same words
+        self.anew = f.like & (f.digits > 0) & (self.shares > 0) if n else np.zeros(0, bool)
+        self.lead_shares = shares(leads)
+        common = np.bincount(at, shares(parts) >= COMMON, minlength=n)
+        self.entry_share = common / np.maximum(1, np.bincount(at, minlength=n)) if n else np.zeros(0)
+        self.said = said
+        self.tokens: list[tuple[str, ...]] = self._tokens() if with_tokens else [()] * n
+        self.ends = f.like.copy() if n else np.zeros(0, bool)
+        self.titled = np.zeros(n, dtype=bool)
+        if n:
+            self._wrapped(titles, with_tokens)
+            self.features = self._features()
+        else:
+            self.features = np.zeros((0, 1), np.float32)
+
+    def _tokens(self) -> list[tuple[str, ...]]:
+        f = self.forest
+        out: list[tuple[str, ...]] = [()] * len(f)
+        if len(f):
+            line, value = f.hits(automaton())
+            bits = np.zeros(len(f), dtype=np.int64)
+            np.bitwise_or.at(bits, line, value)
+            for i, (s, b) in enumerate(zip(f.squashed, (bits & (SIGN - 1)).tolist(), strict=True)):
+                if b := b | pages.hinted(s):
+                    out[i] = pages.found_tokens(s, b)
+        return out
 
-    lines: list[pages.Line]
-    blocks: list[pages.Block]
-    features: np.ndarray
-    tokens: list[tuple[str, ...]]
-    shares: list[float]
-    under: list[bool]
-    ends: list[bool]
-    titled: list[bool]
+    def _wrapped(self, titles: frozenset[str], with_tokens: bool) -> None:
+        """Wrapped lines of a pdf: a notice is known as a whole, a sentence ends with its block; a running title stands alone."""
+        f = self.forest
+        pdf = f.pdf[f.block_doc]
+        some = np.logical_or.reduceat(self.ends, f.first) & pdf & (f.size > 1)
+        self.ends |= some[f.block]
+        if with_tokens:
+            for b in np.flatnonzero(pdf & (f.size > 1) & (f.size <= 3)).tolist():
+                span = range(f.first[b], f.first[b] + f.size[b])
+                whole = tuple(dict.fromkeys(t for i in span for t in self.tokens[i])) or pages.squashed_tokens("".join(f.squashed[i] for i in span))
+                if whole:
+                    for i in span:
+                        self.tokens[i] = whole
+        if titles:
+            for b in np.flatnonzero(pdf & (f.size == 1)).tolist():
+                self.titled[f.first[b]] = pages.shape(f.text(int(f.first[b]))) in titles
+
+    def _features(self) -> np.ndarray:
+        f = self.forest
+        n, nb = len(f), len(f.first)
+        flags_ = np.zeros((n, len(pages.GROUPS)), dtype=np.float32)
+        tokened = np.zeros(n, dtype=np.float32)
+        for i, t in enumerate(self.tokens):
+            if t:
+                tokened[i] = 1
+                for k in t:
+                    flags_[i, _GROUP[k]] = 1
+        first, size, block = f.first, f.size, f.block
+        per_line = size[block]
+        total = lambda v: np.add.reduceat(v.astype(np.float32), first)[block]
+        mean = lambda v: total(v) / per_line
+        end = self.ends.astype(np.float32)
+        shared = (self.shares >= COMMON).astype(np.float32)
+        siblings = (total(shared) - shared) / np.maximum(1, per_line - 1)
+        blocks_of = np.bincount(f.block_doc, minlength=len(f.texts))
+        block_at = np.cumsum(blocks_of) - blocks_of
+        nth_block = np.arange(nb) - block_at[f.block_doc]
+        body = np.logical_or.reduceat((end > 0) & (f.length > 24) & (tokened == 0), first)
+        first_body, last_body = blocks_of.copy(), np.full(len(f.texts), -1)
+        np.minimum.at(first_body, f.block_doc[body], nth_block[body])
+        np.maximum.at(last_body, f.block_doc[body], nth_block[body])
+        pageno = np.logical_or.reduceat((flags_[:, _GROUP["pageno"]] + flags_[:, _GROUP["print"]]) > 0, first)
+        same = f.block_doc[1:] == f.block_doc[:-1]
+        near_no = np.zeros(nb, dtype=bool)
+        near_no[1:] |= pageno[:-1] & same
+        near_no[:-1] |= pageno[1:] & same
+        opens = flags_[:, _GROUP["related"]]
+        run = np.cumsum(opens) - opens
+        self.under = run - run[first][block] > 0
+        at = np.arange(n) - first[block]
+        left = per_line - 1 - at
+        nth, doc = nth_block[block], f.doc
+        key = np.stack([doc, self.said])
+        order = np.lexsort(key)
+        again = (np.diff(key[0][order]) == 0) & (np.diff(key[1][order]) == 0)
+        repeated = np.zeros(n, dtype=bool)
+        repeated[order[1:]] |= again
+        repeated[order[:-1]] |= again
+        repeated &= self.said != 0
+        return np.column_stack([
+            np.minimum(f.length, 400), f.n_parts, f.longest, f.mean_part, f.bullet, f.listed, f.digits, f.forms, flags_, end, siblings, self.lead_shares >= 2 * COMMON, per_line, np.minimum(mean(f.length), 400), mean(end), mean(tokened), mean(f.length < 28),
+            self.under, nth, blocks_of[doc] - 1 - nth, at, left, first_body[doc] - nth, nth - last_body[doc], (at > 0) & (np.roll(end, 1) > 0), (left > 0) & (np.roll(end, -1) > 0), (left > 0) & (np.roll(f.length, -1) > 30), f.pdf[doc], near_no[block], repeated, (per_line == 1) & self.titled,
+        ]).astype(np.float32)
 
 
 _GROUP = {k: i for i, k in enumerate(pages.GROUPS)}
-_FORM = "「(（:：–/|·,"
-_PACK = struct.Struct(f"={7 + len(_FORM)}f").pack
 
 
-@lru_cache(4096)
-def _flags(tokens: tuple[str, ...]) -> bytes:
-    out = np.zeros(len(_GROUP), dtype=np.float32)
-    for k in tokens:
-        out[_GROUP[k]] = 1.0
-    return out.tobytes()
+def read_page(text: str, kind: str | None, known: dict[int, float], titles: frozenset[str] = frozenset()) -> Reading:
+    """One record and its lines' features."""
+    return Reading(Forest([text], [kind]), Lookup(known), titles)
 
 
-_seen: dict[str, tuple] = {}
+def labels(r: Reading) -> np.ndarray:
+    """1 for lines that corpus statistics show to be furniture, 0 for lines they show to be body, -1 for the others. No token is read.
 
+    A sentence no other records share is body, as are several on one line with numbers of their own, and so are what stands right above it and long blocks none of whose lines
+    is shared. A wording that ``COMMON`` of the records share is furniture, a rarer shared one if it stands apart from
+    sentences of the body; entries and leads count like wordings, and running titles by the shape of listed ones. A block
+    without sentences of the body goes with its shared lines.
+    """
+    f = r.forest
+    n = len(f)
+    out = np.full(n, -1)
+    if not n:
+        return out
+    first, block, size = f.first, f.block, f.size
+    entries = r.entry_share >= 0.5
+    lead = ~r.ends & (r.lead_shares >= 2 * COMMON)
+    several = np.array([x and len(_INNER.findall(f.text(i))) >= 2 for i, x in enumerate(r.anew.tolist())], dtype=bool)
+    sentence = r.ends & ((f.length >= 24) | (size[block] > 1)) & ((r.shares == 0) | several) & ~entries
+    has = np.logical_or.reduceat(sentence | r.anew, first)
+    own = np.logical_and.reduceat((r.shares == 0) & ~entries & ~lead & ~r.titled, first) & (np.add.reduceat(f.length, first) >= LONG)
+    out[own[block]] = 0
+    out[sentence] = 0
+    above = np.zeros(n, dtype=bool)  # right above a sentence, in one block or as a block of its own
+    above[:-1] = sentence[1:] & (f.doc[1:] == f.doc[:-1]) & ((block[1:] == block[:-1]) | (size[block[:-1]] == 1))
+    above &= ~sentence & ~r.titled & ~entries
+    rest = np.add.reduceat(sentence, first) == size - 1  # all of the block but one line
+    heads = above & ~r.ends & ((r.shares == 0) | rest[block] & (np.arange(n) == first[block]) & (size[block] > 1))
+    out[heads & (~lead | (size[block] > 1))] = 0
+    furniture = (out < 0) & ~above & ~r.anew & ((r.shares >= COMMON) | entries | ~has[block] & ((r.shares > 0) | lead)) | r.titled
+    out[furniture] = 1
+    out[(np.logical_or.reduceat(furniture, first) & ~has)[block] & (out < 0) & ~above & ~r.ends] = 1
+    return out
 
-def _own(s: str, squashed: str) -> tuple:
-    """What a line says by itself: tokens, whether it is like a sentence, hashes of its wording and entries, features (as bytes)."""
-    e = pages.entries(s)
-    lens = [len(p) for p in e] or [0]
-    count = s.count
-    said = pages.without_numbers(squashed)
-    features = (min(len(s), 400), len(e), max(lens), sum(lens) / len(lens), pages._BULLET.match(s) is not None, pages.LIST_MARK.match(s) is not None, 1 - len(said) / max(1, len(squashed)), *[count(c) for c in _FORM])
-    return pages.squashed_tokens(squashed), pages.sentence_like(s), pages.said_hash(said), tuple(pages.word_hash(pages.squash(p)) for p in e) if len(e) > 2 else (), _PACK(*features)
 
+#: Between sentences of one line.
+_INNER = re.compile(r"[.!?] +(?=[^\s\d])|[。！？](?=[^\s」』）)”’])")
+#: Characters of a block that is the body's by its own words alone.
+LONG = 80
 
-def title_shapes(rows: list[tuple[str, str | None]], least: int = 10) -> frozenset[str]:
+
+def title_shapes(readings: list[Reading], least: int = 10) -> frozenset[str]:
     """Shapes of page titles, as lists of other pages show them: no shape of plain words."""
     seen: Counter = Counter()
-    for text, _ in rows:
-        lines, blocks = pages.parse(text)
-        for b in blocks:
-            related = False
-            for x in lines[b.first : b.last + 1]:
-                if related and not pages.tokens(x.text):
-                    seen[pages.shape(x.text)] += 1
-                related = related or "related" in pages.tokens(x.text)
+    for r in readings:
+        f = r.forest
+        apart = (labels(r) == 1) & (r.shares == 0) & ~r.ends & (f.size[f.block] > 1)
+        seen.update(pages.shape(f.text(i)) for i in np.flatnonzero(apart).tolist())
     return frozenset(k for k, n in seen.items() if n >= least and len(set(k) - set("a0")) >= 2)
 
 
-def read_page(text: str, kind: str | None, known: dict[int, float], titles: frozenset[str] = frozenset(), folded: pages.Folded | None = None) -> Page:
-    """The tree of a record and its lines' features."""
-    return read_pages([(text, kind, folded or pages.Folded(text))], known, titles)[0]
-
-
-def read_pages(records: list[tuple[str, str | None, pages.Folded]], known: dict[int, float], titles: frozenset[str] = frozenset()) -> list[Page]:
-    """The trees of many records; the features of all their lines are computed together."""
-    out: list[Page] = []
-    own, is_pdf, repeated = [], [], []
-    for text, kind, folded in records:
-        lines, blocks = pages.parse(text)
-        pdf = (kind or "").lower() == "pdf"
-        mine = []
-        squashed = folded.squashed
-        for x in lines:
-            o = _seen.get(x.text)
-            if o is None:
-                if len(_seen) > 50_000:
-                    _seen.clear()
-                o = _seen[x.text] = _own(x.text, squashed[x.no])
-            mine.append(o)
-        toks, ends, shares = [o[0] for o in mine], [o[1] for o in mine], []
-        for _, _, word, parts, _ in mine:
-            s = known.get(word, 0.0) if word else 0.0
-            if not s and parts:
-                s = sum(known.get(w, 0.0) >= COMMON for w in parts) / len(parts) * COMMON * 2
-            shares.append(s)
-        if pdf:
-            _wrapped(lines, blocks, toks, ends)
-        seen = Counter(x.text for x in lines)
-        titled = [False] * len(lines)
-        if pdf and titles:  # running titles stand alone
-            for b in blocks:
-                if b.first == b.last:
-                    titled[b.first] = pages.shape(lines[b.first].text) in titles
-        out.append(Page(lines, blocks, _NOTHING, toks, shares, [], ends, titled))
-        own += [o[4] for o in mine]
-        is_pdf += [pdf] * len(lines)
-        repeated += [seen[x.text] > 1 for x in lines]
-    if own:
-        _features(out, own, is_pdf, repeated)
-    return out
-
-
-_NOTHING = np.zeros((0, 1), np.float32)
-
-
-def _wrapped(lines: list[pages.Line], blocks: list[pages.Block], toks: list[tuple[str, ...]], ends: list[bool]) -> None:
-    """Wrapped lines of a pdf: a notice is known as a whole, a sentence ends with its block."""
-    for b in blocks:
-        span = range(b.first, b.last + 1)
-        if 0 < b.last - b.first <= 2:
-            if any(toks[i] for i in span):
-                whole = tuple(dict.fromkeys(t for i in span for t in toks[i]))
-            else:
-                whole = pages.tokens(pages.joined(lines[b.first : b.last + 1]))
-            for i in span:
-                toks[i] = whole
-        if b.last > b.first and any(ends[b.first : b.last + 1]):
-            ends[b.first : b.last + 1] = [True] * len(span)
-
-
-def _features(some: list[Page], own: list[bytes], is_pdf: list[bool], repeated: list[bool]) -> None:
-    """Sets the features, and the lines under a header for other pages, of all pages."""
-    n_lines = np.array([len(p.lines) for p in some])
-    n_blocks = np.array([len(p.blocks) for p in some])
-    line_at = np.concatenate([[0], np.cumsum(n_lines)])
-    block_at = np.concatenate([[0], np.cumsum(n_blocks)])
-    first = np.array([b.first + line_at[i] for i, p in enumerate(some) for b in p.blocks])
-    total = int(line_at[-1])
-    sizes = np.diff(np.append(first, total))
-    page_of_block = np.repeat(np.arange(len(some)), n_blocks)
-    block = np.repeat(np.arange(len(first)), sizes)
-    page = page_of_block[block]
-    toks = [t for p in some for t in p.tokens]
-    length = np.array([len(x.text) for p in some for x in p.lines], dtype=np.float32)
-    end, share = np.array([e for p in some for e in p.ends], dtype=np.float32), np.array([s for p in some for s in p.shares], dtype=np.float32)
-    tokened = np.array([bool(t) for t in toks], dtype=np.float32)
-    titled = np.array([t for p in some for t in p.titled])
-    mean = lambda v: (np.add.reduceat(v, first) / sizes)[block]
-    n = np.arange(len(first)) - block_at[page_of_block]
-    has_body = np.add.reduceat(((end > 0) & (length > 24) & (tokened == 0)).astype(np.int64), first) > 0
-    first_body, last_body = n_blocks.copy(), np.full(len(some), -1)
-    np.minimum.at(first_body, page_of_block[has_body], n[has_body])
-    np.maximum.at(last_body, page_of_block[has_body], n[has_body])
-    pageno = np.logical_or.reduceat(np.array(["pageno" in t or "print" in t for t in toks]), first)
-    same = np.append(page_of_block[1:] == page_of_block[:-1], False)
-    near_no = np.zeros(len(first), dtype=bool)
-    near_no[1:] |= pageno[:-1] & same[:-1]
-    near_no[:-1] |= pageno[1:] & same[:-1]
-    opens = np.array(["related" in t for t in toks], dtype=np.int64)
-    run = np.cumsum(opens) - opens
-    under = run - run[first][block] > 0
-    at = np.arange(total) - first[block]
-    left = sizes[block] - 1 - at
-    follows, leads = at > 0, left > 0
-    nth = n[block]
-    rows = np.column_stack([
-        np.frombuffer(b"".join(own), dtype=np.float32).reshape(total, -1), np.frombuffer(b"".join(map(_flags, toks)), dtype=np.float32).reshape(total, -1), end, np.log(share + 1e-4), sizes[block], np.minimum(mean(length), 400), mean(end), mean((share >= COMMON).astype(np.float32)),
-        mean(tokened), mean((length < 28).astype(np.float32)), under, nth, n_blocks[page] - 1 - nth, at, left, first_body[page] - nth, nth - last_body[page], follows & (np.roll(end, 1) > 0), leads & (np.roll(end, -1) > 0),
-        leads & (np.roll(length, -1) > 30), np.array(is_pdf), near_no[block], np.array(repeated), (sizes[block] == 1) & titled,
-    ]).astype(np.float32)
-    for i, p in enumerate(some):
-        p.features = rows[line_at[i] : line_at[i + 1]]
-        p.under = under[line_at[i] : line_at[i + 1]].tolist()
-
-
-def sure(p: Page) -> list[int]:
-    """1 for lines that are furniture beyond doubt, 0 for body lines, -1 else."""
-    out = [-1] * len(p.lines)
-    for b in p.blocks:
-        span = range(b.first, b.last + 1)
-        size = len(span)
-        menu = size >= 3 and all(len(p.lines[i].text) < 30 for i in span) and 2 * sum(p.shares[i] >= COMMON for i in span) >= size
-        for i in span:
-            s = p.lines[i].text
-            if p.tokens[i] or p.under[i] or menu or (size == 1 and p.titled[i]) or (len(pages.entries(s)) > 2 and p.shares[i] >= COMMON):
-                out[i] = 1
-            elif p.ends[i] and (len(s) >= 24 or size > 1 and p.shares[i] < KNOWN and all(p.ends[j] for j in span)):
-                out[i] = 0
-        for i in span:  # a heading over sentences
-            if out[i] == -1 and i < b.last and out[i + 1] == 0 and (p.shares[i] < KNOWN or i == b.first and all(out[j] == 0 for j in range(i + 1, b.last + 1))):
-                out[i] = 0  # a wording many pages share is one too where the whole rest of its block is sentences
-        if size == 1 and out[b.first] == -1 and b.last + 1 < len(p.lines) and out[b.first] == -1 and not pages._BULLET.match(p.lines[b.first].text) and "「" not in p.lines[b.first].text and " – " not in p.lines[b.first].text:
-            nxt = p.lines[b.last + 1].text
-            if p.ends[b.last + 1] and len(nxt) >= 24 and not p.tokens[b.last + 1] and p.shares[b.first] < KNOWN and len(p.lines[b.first].text) >= 6:
-                out[b.first] = 0
-    return out
-
-
-def decode(p: Page, score: np.ndarray, pdf: bool) -> np.ndarray:
+def decode(r: Reading, score: np.ndarray) -> np.ndarray:
     """True for the lines of the body. A block is all furniture, all body, or mixed at a price."""
-    if not len(p.lines):
+    f = r.forest
+    if not len(f):
         return np.zeros(0, dtype=bool)
-    s = np.clip(score, -12, 12)
+    evidence = np.where((r.shares > 0) & ~r.anew, EVIDENCE * np.log10(np.maximum(r.shares, 1e-9) * 3 / COMMON), 0)
+    s = np.clip(score + np.clip(evidence, 0, MOST), -12, 12)
     furniture, body = -np.logaddexp(0, -s), -np.logaddexp(0, s)
-    first = np.array([b.first for b in p.blocks])
-    sizes = np.diff(np.append(first, len(s)))
-    f, k = np.add.reduceat(furniture, first), np.add.reduceat(body, first)
-    mixed = np.add.reduceat(np.maximum(furniture, body), first) - np.where(sizes > 1, MIXED, 0) - (3 * MIXED if pdf else 0)
-    return np.where(np.repeat(mixed > np.maximum(f, k), sizes), body > furniture, np.repeat(k > f, sizes))
+    a, b = np.add.reduceat(furniture, f.first), np.add.reduceat(body, f.first)
+    mixed = np.add.reduceat(np.maximum(furniture, body), f.first) - np.where(f.size > 1, MIXED, 0) - np.where(f.pdf[f.block_doc], 3 * MIXED, 0)
+    return np.where((mixed > np.maximum(a, b))[f.block], body > furniture, (b > a)[f.block])
 
 
 @dataclass
@@ -278,37 +281,65 @@ class BodyModel:
     titles: frozenset[str]
     trees: Boosted | None
 
-    def decide(self, some: list[tuple[Page, str | None]]) -> list[np.ndarray]:
-        """Body flags of many pages; their lines are scored together."""
-        full = [p for p, _ in some if len(p.lines)]
-        score = self.trees.score(np.concatenate([p.features for p in full])) if full and self.trees else np.zeros(sum(len(p.lines) for p in full))
-        out, at = [], 0
-        for p, kind in some:
-            n = len(p.lines)
-            out.append(decode(p, score[at : at + n], (kind or "").lower() == "pdf"))
-            at += n
-        return out
+    def __post_init__(self) -> None:
+        self.shares = Lookup(self.known)
 
+    def read(self, f: Forest) -> tuple[Reading, np.ndarray]:
+        """A batch, and which of its lines belong to main bodies."""
+        r = Reading(f, self.shares, self.titles)
+        return r, decode(r, self.trees.score(r.features) if len(f) and self.trees else np.zeros(len(f)))
 
-def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> BodyModel:
-    """Wordings counted over all records, trees fitted on lines of ``SAMPLE`` records."""
-    known = known_wordings(df, text_col)
-    rows = [(r[1], r[2]) for r in sample(df.where(F.col(text_col).isNotNull()), id_col, SAMPLE, text_col, type_col)]
-    titles = title_shapes(rows)
-    return BodyModel(known, titles, train(rows, known, titles))
+    def batches(self, texts: list[str], kinds: list[str | None]) -> Iterator[tuple[int, Reading, np.ndarray, np.ndarray]]:
+        """For batches of texts: place of the first, the batch, which lines are body, which texts are residue."""
+        for at, f in forests(texts, kinds):
+            yield at, *self.read(f), flags(f)
 
 
-def train(rows: list[tuple[str, str | None]], known: dict[int, float], titles: frozenset[str] = frozenset()) -> Boosted | None:
-    good = [(t, k, f) for t, k in rows if t and not is_residue(t, k, f := pages.Folded(t))]
-    xs, ys = [], []
-    for p in read_pages(good, known, titles):
-        label = np.array(sure(p))
-        if (label >= 0).any():
-            xs.append(p.features[label >= 0])
-            ys.append(label[label >= 0])
-    if not xs or len(set(np.concatenate(ys).tolist())) < 2:
-        return None
-    return Boosted.fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> BodyModel:
+    """Wordings counted over all records, trees fitted on lines of ``SAMPLE`` records."""
+    total = df.count()
+    known = known_wordings(df, text_col, total)
+    rows = [(r[0], r[1]) for r in sample(df, id_col, SAMPLE, text_col, type_col, total=total)]
+    return train(rows, known)
+
+
+def readings(rows: list[tuple[str, str | None]], shares: Lookup, titles: frozenset[str] = frozenset()) -> list[Reading]:
+    """The records of a sample that are no residue, read in batches."""
+    texts, kinds = [t for t, _ in rows if t], [k for t, k in rows if t]
+    keep = [not x for _, f in forests(texts, kinds) for x in flags(f)]
+    some = [i for i, ok in enumerate(keep) if ok]
+    return [Reading(f, shares, titles) for _, f in forests([texts[i] for i in some], [kinds[i] for i in some])]
+
+
+def train(rows: list[tuple[str, str | None]], known: dict[int, float], part: float = 1.0) -> BodyModel:
+    """A model whose trees are fitted on the labelled lines of the first ``part`` of the records."""
+    shares = Lookup(known)
+    rows = rows[: math.ceil(part * len(rows))]
+    titles = title_shapes(readings(rows, shares))
+    read = readings(rows, shares, titles)
+    y = [labels(r) for r in read]
+    xs = [r.features[v >= 0] for r, v in zip(read, y, strict=True)]
+    ys = np.concatenate([v[v >= 0] for v in y] or [np.zeros(0)])
+    if len(set(ys.tolist())) < 2:
+        return BodyModel(known, titles, None)
+    return BodyModel(known, titles, Boosted.fit(np.concatenate(xs), ys.astype(float)))
+
+
+def agreement(rows: list[tuple[str, str | None]], known: dict[int, float], part: float = 0.8) -> dict[str, float]:
+    """How well trees fitted on a part of the records agree with the labels of the others, and how many lines no statistic labels."""
+    model = train(rows, known, part)
+    right = seen = lines = 0
+    for r in readings(rows[math.ceil(part * len(rows)) :], model.shares, model.titles):
+        y = labels(r)
+        keep = decode(r, model.trees.score(r.features) if model.trees else np.zeros(len(y)))
+        right += int((keep == (y == 0))[y >= 0].sum())
+        seen += int((y >= 0).sum())
+        lines += len(y)
+    return {"agreement": right / max(1, seen), "unlabelled": 1 - seen / max(1, lines)}
+
+
+def _picked(df: DataFrame, id_col: str, text_col: str, type_col: str) -> DataFrame:
+    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(type_col).alias("kind"))
 
 
 def furniture_lines(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_col: str = "source_type", model: BodyModel | None = None) -> DataFrame:
@@ -318,32 +349,32 @@ def furniture_lines(df: DataFrame, id_col: str = "ext_id", text_col: str = "text
     One narrow stage after the model is fitted.
     """
     model = model or fit(df, id_col, text_col, type_col)
-    picked = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(type_col).alias("kind"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [(i, t, k, f) for i, t, k in zip(b["id"], b["text"], b["kind"], strict=True) if not is_residue(t, k, f := pages.Folded(t))]
-            read = read_pages([g[1:] for g in good], model.known, model.titles)
-            kept = model.decide([(p, g[2]) for p, g in zip(read, good, strict=True)])
-            rows = [(g[0], x.no) for g, p, keep in zip(good, read, kept, strict=True) for x, ok in zip(p.lines, keep.tolist(), strict=True) if not ok]
-            yield pd.DataFrame(rows, columns=["id", "line_no"])
+            ids = b["id"].to_numpy()
+            for at, r, keep, bad in model.batches(b["text"].tolist(), b["kind"].tolist()):
+                f = r.forest
+                out = np.flatnonzero(~keep & ~bad[f.doc]) if len(f) else np.zeros(0, np.int64)
+                yield pd.DataFrame({"id": ids[at + f.doc[out]], "line_no": f.no[out].astype(np.int32)})
 
-    return picked.mapInPandas(judge, "id long, line_no int")
+    return _picked(df, id_col, text_col, type_col).mapInPandas(judge, "id long, line_no int")
 
 
 def main_bodies(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_col: str = "source_type", model: BodyModel | None = None) -> DataFrame:
     """``id, body`` of each record: its text without furniture lines, blank lines between blocks kept. Residue records have none."""
     model = model or fit(df, id_col, text_col, type_col)
-    picked = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(type_col).alias("kind"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [(i, t, k, f) for i, t, k in zip(b["id"], b["text"], b["kind"], strict=True) if not is_residue(t, k, f := pages.Folded(t))]
-            read = read_pages([g[1:] for g in good], model.known, model.titles)
-            rows = []
-            for g, p, keep in zip(good, read, model.decide([(p, g[2]) for p, g in zip(read, good, strict=True)]), strict=True):
-                parts = ["\n".join(p.lines[j].text for j in range(x.first, x.last + 1) if keep[j]) for x in p.blocks]
-                rows.append((g[0], "\n\n".join(x for x in parts if x)))
+            ids, rows = b["id"].tolist(), []
+            for at, r, keep, bad in model.batches(b["text"].tolist(), b["kind"].tolist()):
+                f = r.forest
+                blocks: list[list[str]] = [[] for _ in f.texts]
+                for a, n, d in zip(f.first.tolist(), f.size.tolist(), f.block_doc.tolist(), strict=True):
+                    if lines := [f.text(i) for i in range(a, a + n) if keep[i]]:
+                        blocks[d].append("\n".join(lines))
+                rows += [(ids[at + d], "\n\n".join(x)) for d, x in enumerate(blocks) if not bad[d]]
             yield pd.DataFrame(rows, columns=["id", "body"])
 
-    return picked.mapInPandas(strip, "id long, body string")
+    return _picked(df, id_col, text_col, type_col).mapInPandas(strip, "id long, body string")

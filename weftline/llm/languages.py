@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from . import boilerplate as bp
 from . import pages
-from .gru import STRIDE, BiGru
-from .residue import is_residue
-from .sentences import SAMPLE, WRAP, Splitter, sample, train
+from .gru import BiGru
+from .sentences import ABBREVIATIONS, SAMPLE, Splitter, sample, train
 
 LANGUAGES = ("zh", "en", "ja", "ko", "fr", "de", "es", "vi", "th")
 #: Sentences of one language the network is trained on, at most.
@@ -32,13 +31,7 @@ PER_WORDING = 12
 #: Shorter units say too little to be a sentence.
 LEAST = 6
 
-# Frequent function words of the languages in Latin script.
-WORDS = {
-    "en": "the of and to in is for by on at with from are be should no not each when if or an was as has have must may will this that",
-    "fr": "le la les des du est sont une dans pour au aux après avant cette sur par avec qui que il elle nous vous leur ne pas être",
-    "de": "der die das den dem ist sind nicht mit für und von zu zum zur im ein eine bis gibt es nach wird werden auf auch oder bei wann muss",
-    "es": "el los las del una está en por para con después antes que se no son al esta este más como su sus dónde fecha desde",
-}
+WORDS = pages.WORDS
 _WORDS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 _SCRIPTS = [("ko", re.compile("[가-힣]")), ("ja", re.compile("[ぁ-ヿ]")), ("th", re.compile("[ก-๛]")), ("vi", re.compile("[ơưđăẠ-ỹ]", re.I)), ("zh", re.compile("[㐀-鿿]"))]
 _CODE = {"zh": "zh", "en": "en", "ja": "ja", "jp": "ja", "ko": "ko", "kr": "ko", "fr": "fr", "de": "de", "es": "es", "vi": "vi", "vn": "vi", "th": "th"}
@@ -81,7 +74,7 @@ def sure_language(sentence: str) -> str | None:
     return hits[0][1] if hits[0][0] >= 2 and hits[0][0] >= 2 * hits[1][0] + 1 else None
 
 
-def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 10) -> BiGru:
+def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 14) -> BiGru:
     """A network trained on ``(sentence, language)``, and on as many sentences set between two of another language."""
     net = BiGru(len(LANGUAGES), seed=seed)
     if not sentences:
@@ -90,17 +83,18 @@ def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 1
     code = {k: i for i, k in enumerate(LANGUAGES)}
     texts, labels = [], []
     for s, lang in sentences:
-        raw = s.encode()[:400]  # a longer one teaches nothing more
+        raw = s.encode("utf-8", "replace")
         texts.append(raw)
-        labels.append(np.full(-(-len(raw) // STRIDE), code[lang]))
+        labels.append(np.full(len(raw), code[lang]))
     of: dict[str, list[int]] = {}
     for i, (_, lang) in enumerate(sentences):
         of.setdefault(lang, []).append(i)
     for i, j in zip(rng.permutation(len(sentences)), rng.permutation(len(sentences)), strict=True):
         k = int(rng.choice(of[sentences[i][1]]))
-        parts = [(texts[i] + b" ", labels[i][0]), (texts[j] + b" ", labels[j][0]), (texts[k], labels[k][0])]
+        gap = b" " if rng.random() < 0.5 else b""
+        parts = [(texts[i] + gap, labels[i][0]), (texts[j] + gap, labels[j][0]), (texts[k], labels[k][0])]
         texts.append(b"".join(t for t, _ in parts))
-        labels.append(np.concatenate([np.full(len(t), y) for t, y in parts])[::STRIDE])
+        labels.append(np.concatenate([np.full(len(t), y) for t, y in parts]))
     for turn in range(3):  # a start that does not come down is left for another
         if net.fit(texts, labels, rounds=rounds, seed=seed + turn)[-1] < GOOD:
             break
@@ -108,27 +102,10 @@ def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 1
     return net
 
 
-#: Mean loss of a position below which training has succeeded.
+#: Mean loss of a byte below which training has succeeded.
 GOOD = 0.25
 
 
-def classify(net: BiGru, texts: list[str], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled log-probabilities ``(text, label)`` (sums over steps) and steps of each text. Texts of any length are read whole."""
-    raw = [t.encode("utf-8", "replace") or b" " for t in texts]
-    order = np.argsort([len(r) for r in raw], kind="stable")
-    out, steps = np.zeros((len(raw), len(LANGUAGES))), np.zeros(len(raw), dtype=np.int64)
-    at = 0
-    while at < len(order):
-        longest = len(raw[order[min(len(order) - 1, at + size - 1)]])
-        k = max(1, min(size, 4_000_000 // max(1, longest)))
-        ids = order[at : at + k]
-        lp, n = net.log_probs([raw[i] for i in ids])
-        lp[np.arange(len(lp))[:, None] >= n[None, :]] = 0
-        out[ids], steps[ids] = lp.sum(axis=0), n
-        at += k
-    return out, steps
-
-
 @dataclass
 class LanguageModel:
     """What the body is, where sentences end, and how languages look."""
@@ -138,24 +115,34 @@ class LanguageModel:
     net: BiGru
 
     def sentences(self, some: list[tuple[str, str | None]]) -> list[list[tuple[int, int]]]:
-        """Full sentences of the main body of each record, as positions."""
-        read = list(zip(bp.read_pages([(t, k, pages.Folded(t)) for t, k in some], self.body.known, self.body.titles), (k for _, k in some), strict=True))
-        out = []
-        for (text, kind), (page, _), keep in zip(some, read, self.body.decide(read), strict=True):
-            out.append(body_sentences(text, kind, page, keep, self.splitter))
+        """Full sentences of the main body of each record, as positions; none where the record is residue."""
+        out: list[list[tuple[int, int]]] = []
+        for _, r, keep, bad in self.body.batches([t for t, _ in some], [k for _, k in some]):
+            for d, spans in enumerate(body_spans(r, keep)):
+                out.append([] if bad[d] else body_sentences(r.forest.texts[d], bool(r.forest.pdf[d]), spans, self.splitter))
         return out
 
 
-def body_sentences(text: str, kind: str | None, page: bp.Page, keep: np.ndarray, splitter: Splitter) -> list[tuple[int, int]]:
-    """Units of the kept lines that are sentences."""
-    pdf = (kind or "").lower() == "pdf"
+def body_spans(r: bp.Reading, keep: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Start and end of each kept line of the texts of a batch; of each block with a kept line where the text is a pdf."""
+    f = r.forest
+    out: list[list[tuple[int, int]]] = [[] for _ in f.texts]
+    if not len(f):
+        return out
+    line = np.flatnonzero(keep & ~f.pdf[f.doc])
+    block = np.flatnonzero(np.logical_or.reduceat(keep, f.first) & f.pdf[f.block_doc])
+    for d, a, z in zip(f.doc[line].tolist(), f.start[line].tolist(), f.end[line].tolist(), strict=True):
+        out[d].append((a, z))
+    for d, a, z in zip(f.block_doc[block].tolist(), f.start[f.first[block]].tolist(), f.block_end[block].tolist(), strict=True):
+        out[d].append((a, z))
+    return out
+
+
+def body_sentences(text: str, pdf: bool, spans: list[tuple[int, int]], splitter: Splitter) -> list[tuple[int, int]]:
+    """Units of the kept spans that are sentences."""
     out: list[tuple[int, int]] = []
-    if pdf:
-        spans = [(b.start, b.end) for b in page.blocks if keep[b.first : b.last + 1].any()]
-    else:
-        spans = [(x.start, x.start + len(x.text)) for x, ok in zip(page.lines, keep, strict=True) if ok]
     for a, z in spans:
-        for s, e in splitter.units(text[a:z], kind):
+        for s, e in splitter.units(text[a:z], "pdf" if pdf else None):
             u = text[a + s : a + e]
             if len(u) >= LEAST and pages.sentence_like(u.replace("\n", "")):
                 out.append((a + s, a + e))
@@ -169,17 +156,16 @@ def fit_body(df: DataFrame, id_col: str, text_col: str, type_col: str) -> Langua
 
 def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
     model, rows = _fit(df, id_col, text_col, type_col)
-    good = [(t, k) for t, k in rows if t and not is_residue(t, k)]
-    model.net = fit_network(training_sentences(good, model.sentences(good)))
+    model.net = fit_network(training_sentences(rows, model.sentences(rows)))
     return model
 
 
 def _fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> tuple[LanguageModel, list[tuple[str, str | None]]]:
-    known = bp.known_wordings(df, text_col)
-    rows = [(r[1], r[2]) for r in sample(df.where(F.col(text_col).isNotNull()), id_col, SAMPLE, text_col, type_col)]
-    titles = bp.title_shapes(rows[: bp.SAMPLE])
-    body = bp.BodyModel(known, titles, bp.train(rows[: bp.SAMPLE], known, titles))
-    return LanguageModel(body, train(rows), BiGru(len(LANGUAGES))), rows
+    """Rows are ordered by the hash of their id, so the first ones are a sample at every layout."""
+    total = df.count()
+    known = bp.known_wordings(df, text_col, total)
+    rows = [(r[0], r[1]) for r in sample(df, id_col, SAMPLE, text_col, type_col, total=total) if r[0]]
+    return LanguageModel(bp.train(rows[: bp.SAMPLE], known), train(rows), BiGru(len(LANGUAGES))), rows
 
 
 def training_sentences(records: list[tuple[str, str | None]], spans: list[list[tuple[int, int]]]) -> list[tuple[str, str]]:
@@ -213,7 +199,7 @@ def _latin(text: str) -> bool:
 
 
 #: What it costs to change the language between two sentences, and what the positions of a sentence count, in nats.
-CHANGE, WEIGHT = 3.0, 0.5
+CHANGE, WEIGHT = 3.0, 0.125
 
 
 def smooth(score: np.ndarray) -> np.ndarray:
@@ -244,83 +230,103 @@ def segments(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            ids, urls = b["id"].tolist(), b["url"].tolist()
             rows: list[tuple] = []
-            good = [(i, u, t, k, f) for i, u, t, k in zip(b["id"], b["url"], b["text"], b["kind"], strict=True) if not is_residue(t, k, f := pages.Folded(t))]
-            read = bp.read_pages([g[2:] for g in good], model.body.known, model.body.titles)
-            kept = model.body.decide([(p, g[3]) for p, g in zip(read, good, strict=True)])
-            units, spans = [], []
-            for g, p, keep in zip(good, read, kept, strict=True):
-                mine = [(x.start, x.end) for x in p.blocks if keep[x.first]] if (g[3] or "").lower() == "pdf" else [(x.start, x.start + len(x.text)) for x, ok in zip(p.lines, keep.tolist(), strict=True) if ok]
-                spans.append(mine)
-                units += [g[2][s:e] for s, e in mine]
-            cut = [_PART.findall(u) for u in units]
-            score, steps = pooled(model.net, units, cut)
-            at = line = 0
-            for g, mine in zip(good, spans, strict=True):
-                parts = [(s, t) for (s, _), ts in zip(mine, cut[line : line + len(mine)], strict=True) for s, t in _placed(s, ts)]
-                line += len(mine)
-                sc, st = score[at : at + len(parts)], steps[at : at + len(parts)]
-                at += len(parts)
-                rows += [(g[0], g[1], *x) for x in _runs(parts, sc, st)]
+            for at, r, keep, bad in model.body.batches(b["text"].tolist(), b["kind"].tolist()):
+                spans = body_spans(r, keep)
+                docs = [d for d in range(len(spans)) if spans[d] and not bad[d]]
+                units = [r.forest.texts[d][s:e] for d in docs for s, e in spans[d]]
+                cut = [parts_of(u) for u in units]
+                if units:
+                    score, sizes = pooled(model.net, units, cut)
+                    begin = np.array([s for d in docs for s, _ in spans[d]])
+                    parts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+                    stop = np.concatenate(cut)
+                    start = np.r_[0, stop[:-1]]
+                    start[np.cumsum(parts)[:-1]] = 0
+                    shift = np.repeat(begin, parts)
+                    of_doc = np.add.reduceat(parts, np.cumsum([0, *(len(spans[d]) for d in docs[:-1])]))
+                    for d, x in _runs([r.forest.texts[d] for d in docs], of_doc, start + shift, stop + shift, score, sizes):
+                        rows.append((ids[at + docs[d]], urls[at + docs[d]], *x))
             yield pd.DataFrame(rows, columns=["id", "url", "start", "end", "lang", "confidence", "record_lang", "record_confidence"])
 
     return picked.mapInPandas(label, "id long, url string, start int, end int, lang string, confidence double, record_lang string, record_confidence double")
 
 
-#: Parts of a line that are pooled: up to an end mark, or a gap between characters of a script without spaces.
-_PART = re.compile(r"(?:[^.!?。！？．]++|[.!?．](?=[^\s\"”’」』)]))++(?:[.!?。！？．]+[”’\"'」』）)\]]*\s*|$)|[.!?。！？．]+\s*", re.S)
+_NO_SPACES = "぀-ヿ㐀-鿿ก-๛"
+#: What ends a part of a line that is pooled by itself: an end mark (before a gap, or beside a character of a script without spaces), or a gap in such a script.
+_CUT = re.compile(
+    rf"(?:[。！？．…]|[.!?](?=[.!?。！？．…\"”’」』）)]*(?:\s|$|[{_NO_SPACES}])))[.!?。！？．…]*[”’\"'」』）)\]]*\s*|(?<=[{_NO_SPACES}])\s+(?=[{_NO_SPACES}A-Za-z])|(?<=[A-Za-z])\s+(?=[{_NO_SPACES}])"
+)
+
+
+_SOLID = re.compile(f"[{_NO_SPACES}]")
+#: The same, in a line without a character of such a script.
+_CUT_SPACED = re.compile("[.!?。！？．…]+[”’\"'」』）)\\]]*(?:\\s+|$)|[。！？．…]+[”’\"'」』）)\\]]*")
 
 
-def _placed(start: int, parts: list[str]) -> Iterator[tuple[int, str]]:
-    for t in parts:
-        yield start, t
-        start += len(t)
+def parts_of(unit: str) -> np.ndarray:
+    """Ends of the parts of a line or block."""
+    ends = [m.end() for m in (_CUT if _SOLID.search(unit) else _CUT_SPACED).finditer(unit) if unit[m.start()] != "." or not _goes_on(unit, m.start(), m.end())]
+    return np.array(ends if ends and ends[-1] == len(unit) else [*ends, len(unit)])
 
 
-def pooled(net: BiGru, units: list[str], cut: list[list[str]], size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of each part of each unit, summed over its positions, and its positions.
+def _goes_on(unit: str, at: int, end: int) -> bool:
+    """Whether a sentence goes on after a full stop: before a small letter or a digit, or after an abbreviation."""
+    return unit[end : end + 1].islower() or unit[end : end + 1].isdigit() or unit[max(0, at - 12) : at].rpartition(" ")[2].lower() in ABBREVIATIONS
 
-    The network reads whole units, so a part is judged in its context.
+
+def pooled(net: BiGru, units: list[str], cut: list[np.ndarray], most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of each part of each unit, summed over its bytes, and the number of its bytes.
+
+    The network reads whole units, so a part is judged in its context. Units of like length are read together.
     """
-    raw = [u.encode("utf-8", "replace") or b" " for u in units]
-    counts = np.array([len(c) for c in cut], dtype=np.int64)
-    offset = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    score, steps = np.zeros((int(offset[-1]), len(LANGUAGES))), np.ones(int(offset[-1]), dtype=np.int64)
-    order = np.argsort([len(r) for r in raw], kind="stable")
+    raw = [u.encode("utf-8", "replace") for u in units]
+    bounds = []
+    for u, r, ends in zip(units, raw, cut, strict=True):
+        if len(r) != len(u):  # code points to bytes
+            ends = np.append(np.flatnonzero((np.frombuffer(r, dtype=np.uint8) & 0xC0) != 0x80), len(r))[ends]
+        bounds.append(np.append(0, ends))
+    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    order = np.argsort(lengths, kind="stable")
+    parts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+    first = np.cumsum(parts) - parts
+    score = np.zeros((int(parts.sum()), len(LANGUAGES)))
     at = 0
     while at < len(order):
-        longest = len(raw[order[min(len(order) - 1, at + size - 1)]])
-        ids = order[at : at + max(1, min(size, 4_000_000 // max(1, longest)))]
-        lp, n = net.log_probs([raw[i] for i in ids])
-        for j, i in enumerate(ids):
-            if not counts[i]:
-                continue
-            if counts[i] == 1:
-                score[offset[i]], steps[offset[i]] = lp[: n[j], j].sum(axis=0), n[j]
-                continue
-            ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in cut[i]])
-            first = np.minimum(np.concatenate([[0], ends[:-1]]) // STRIDE, n[j] - 1)
-            score[offset[i] : offset[i + 1]] = np.add.reduceat(lp[: n[j], j], first)
-            steps[offset[i] : offset[i + 1]] = np.maximum(1, np.diff(np.append(first, n[j])))
-        at += len(ids)
-    return score, steps
-
-
-def _runs(parts: list[tuple[int, str]], sc: np.ndarray, st: np.ndarray) -> Iterator[tuple[int, int, str, float, str, float]]:
-    """Runs of parts in one language that hold a full sentence."""
-    if not parts:
-        return
-    best = smooth(sc)
-    doc = int(np.bincount(best, weights=st, minlength=len(LANGUAGES)).argmax())
-    sure = float(np.exp(sc[:, doc].sum() / st.sum()))
-    start = 0
-    for j in range(1, len(parts) + 1):
-        if j == len(parts) or best[j] != best[start]:
-            texts = [t.strip() for _, t in parts[start:j]]
-            if any(len(t) >= LEAST and pages.sentence_like(t.replace("\n", "")) for t in texts):
-                end = parts[j - 1][0] + len(parts[j - 1][1].rstrip())
-                yield parts[start][0], end, LANGUAGES[best[start]], float(np.exp(sc[start:j, best[start]].sum() / st[start:j].sum())), LANGUAGES[doc], sure
-            start = j
+        k = at + 1
+        while k < len(order) and (k + 1 - at) * lengths[order[k]] <= most:
+            k += 1
+        ids = order[at:k]
+        n = parts[ids]
+        where = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        score[where] = net.pooled([raw[i] for i in ids.tolist()], [bounds[i] for i in ids.tolist()])
+        at = k
+    return score, np.concatenate([np.diff(b) for b in bounds])
+
+
+def _runs(texts: list[str], parts: np.ndarray, start: np.ndarray, stop: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, tuple[int, int, str, float, str, float]]]:
+    """Place of a text, and its runs of parts in one language that hold a full sentence. ``parts``: number of parts of each text."""
+    best = score.argmax(axis=1)
+    first = np.cumsum(parts) - parts
+    mixed = np.minimum.reduceat(best, first) < np.maximum.reduceat(best, first)
+    sums, total = np.add.reduceat(score, first), np.add.reduceat(sizes, first)
+    for d, (a, n) in enumerate(zip(first.tolist(), parts.tolist(), strict=True)):
+        mine = best[a : a + n]
+        if mixed[d]:
+            mine = smooth(score[a : a + n])
+        doc = int(np.bincount(mine, weights=sizes[a : a + n], minlength=len(LANGUAGES)).argmax()) if mixed[d] else int(mine[0])
+        sure = float(np.exp(sums[d, doc] / max(1, total[d])))
+        edges = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), n] if mixed[d] else [0, n]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            for k in range(a + i, a + j):
+                t = texts[d][start[k] : stop[k]].strip()
+                if len(t) >= LEAST and pages.sentence_like(t.replace("\n", "")):
+                    k = a + j - 1
+                    end = int(start[k]) + len(texts[d][start[k] : stop[k]].rstrip())
+                    lang = int(mine[i])
+                    yield d, (int(start[a + i]), end, LANGUAGES[lang], float(np.exp(score[a + i : a + j, lang].sum() / max(1, sizes[a + i : a + j].sum()))), LANGUAGES[doc], sure)
+                    break
 
 
 #: A segment below this confidence proves no language.

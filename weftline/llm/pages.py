@@ -8,12 +8,11 @@ subtree density, depth and position, and statistics of siblings.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
 
-from .common import fold, hash64
+from .common import fold
 
 # Words of page furniture, on folded text without white space. Each group is one attribute token.
 FURNITURE = {
@@ -43,13 +42,19 @@ yourpreferences acceptall onlynecessary 訂閱 newsletter 每週掌握 weeklyupd
 資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: editors- contributedby 服務專線 hotline 地址: address: 列印日期 printed 頁,共
 延伸閱讀 相關連結 熱門文章 可能也想看 猜你喜歡 furtherreading relatedpages mostread youmayalsolike relatedlinks 前一篇 後一篇 上一則 下一則 上一篇 下一篇 previous: next: 首頁 home> home/ home» home› home: startseite accueil inicio
 """.split()
+# Frequent function words of the languages in Latin script.
+WORDS = {
+    "en": "the of and to in is for by on at with from are be should no not each when if or an was as has have must may will this that",
+    "fr": "le la les des du est sont une dans pour au aux après avant cette sur par avec qui que il elle nous vous leur ne pas être",
+    "de": "der die das den dem ist sind nicht mit für und von zu zum zur im ein eine bis gibt es nach wird werden auf auch oder bei wann muss",
+    "es": "el los las del una está en por para con después antes que se no son al esta este más como su sus dónde fecha desde",
+}
 _PARTS = {k: re.compile(v) for k, v in FURNITURE.items()}
 #: Beginnings and ends that no key stands for.
 _HEAD = re.compile(r"\W*(?:page\d|[-‐-―－]\d|[‹›«»←→<>][^\d])")
 GROUPS = tuple(FURNITURE)
 
 _SPACE = re.compile(r"\s+")
-_WHITE = re.compile(r"[^\S\n]+")
 _END = re.compile(r"[.!?。！？．…؟][\"'”’」』）)\]】》]*\s*$")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: What parts the entries of a menu or a path on one line.
@@ -61,24 +66,21 @@ LIST_MARK = re.compile(r"\s*(?:[-–•‣▪*·●○]|[(（]?(?:\d{1,3}|[a-zA-
 
 
 @lru_cache(None)
-def _automaton() -> ahocorasick.Automaton:
+def keys() -> dict[str, int]:
+    """Each key with a bit for every group in which it stands."""
+    return {k: sum(1 << n for n, v in enumerate(FURNITURE.values()) if k.strip(">/»›:") in v.replace("\\", "") or k in v.replace("\\", "")) for k in _KEYS}
+
+
+@lru_cache(None)
+def automaton() -> ahocorasick.Automaton:
+    """Finds the keys; the value of each is its groups' bits."""
     a = ahocorasick.Automaton()
-    for k in _KEYS:
-        a.add_word(k, k)
+    for k, bits in keys().items():
+        a.add_word(k, bits)
     a.make_automaton()
     return a
 
 
-class Folded:
-    """A text's lines, folded once, without white space."""
-
-    __slots__ = ("all", "squashed")
-
-    def __init__(self, text: str):
-        self.all = _WHITE.sub("", fold(text))
-        self.squashed = self.all.split("\n")
-
-
 def squash(line: str) -> str:
     """Folded, without white space."""
     return _SPACE.sub("", fold(line))
@@ -90,15 +92,31 @@ def tokens(line: str) -> tuple[str, ...]:
     return squashed_tokens(squash(line))
 
 
+def hinted(s: str) -> int:
+    """Bits of the groups that a squashed line without their keys may belong to."""
+    bits = _READS if s.endswith("reads") else 0
+    c = s[:1]
+    return bits | _HEADS if (c == "p" or not c.isalnum()) and _HEAD.match(s) else bits
+
+
+_READS = 1 << GROUPS.index("byline")
+_HEADS = 1 << GROUPS.index("pageno") | 1 << GROUPS.index("step")
+
+
 def squashed_tokens(s: str) -> tuple[str, ...]:
     """Attribute tokens of a squashed line."""
-    if next(_automaton().iter(s), None) is None and not _HEAD.match(s) and not s.endswith("reads"):
-        return ()
-    return tuple(k for k, p in _PARTS.items() if p.search(s))
+    bits = hinted(s)
+    for _, more in automaton().iter(s):
+        bits |= more
+    return found_tokens(s, bits)
+
+
+def found_tokens(s: str, bits: int) -> tuple[str, ...]:
+    """Attribute tokens of a squashed line among the groups of the bits."""
+    return tuple(k for n, (k, p) in enumerate(_PARTS.items()) if bits >> n & 1 and p.search(s)) if bits else ()
 
 
 _LETTER = re.compile(r"[^\W\d_]")
-_NUMBERS = re.compile(r"\d+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -107,63 +125,11 @@ def wording(text: str) -> str:
     return _NOT_LETTERS.sub("", fold(text))
 
 
+#: Signs counted in a line.
+FORM = "「(（:：–/|·,"
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "※●○•·‧▪■◆»«›‹…。、，．「」『』【】（）《》〈〉→←▲▼★☆–—“”‘’"
 
 
-def word_hash(squashed: str) -> int:
-    """Hash of what a squashed line says, numbers and marks at its ends left aside; 0 if nothing."""
-    return said_hash(_NUMBERS.sub("", squashed))
-
-
-def said_hash(said: str) -> int:
-    """The same, of a squashed line without its numbers."""
-    w = said.strip(_EDGES)
-    return hash64(w) if w else 0
-
-
-def without_numbers(squashed: str) -> str:
-    return _NUMBERS.sub("", squashed)
-
-
-@dataclass(slots=True)
-class Line:
-    """A non-blank line: number, first position, text without outer white space, block."""
-
-    no: int
-    start: int
-    text: str
-    block: int
-
-
-@dataclass(slots=True)
-class Block:
-    """Lines between blank lines: first and last line index, first and last position."""
-
-    first: int
-    last: int
-    start: int
-    end: int
-
-
-def parse(text: str) -> tuple[list[Line], list[Block]]:
-    """The tree of a text, as the list of its non-blank lines and of its blocks."""
-    lines, blocks, at, open_ = [], [], 0, False
-    for no, raw in enumerate(text.split("\n")):
-        s = raw.strip()
-        if s:
-            begin = at + len(raw) - len(raw.lstrip())
-            if not open_:
-                blocks.append(Block(len(lines), len(lines), begin, at + len(raw)))
-                open_ = True
-            lines.append(Line(no, begin, s, len(blocks) - 1))
-            blocks[-1].last = len(lines) - 1
-            blocks[-1].end = at + len(raw)
-        else:
-            open_ = False
-        at += len(raw) + 1
-    return lines, blocks
-
-
 def ends_sentence(line: str) -> bool:
     return _END.search(line) is not None
 
@@ -174,7 +140,7 @@ _SOLID = re.compile("[぀-ヿ㐀-鿿]")
 
 def sentence_like(line: str) -> bool:
     """Ends as a sentence, or is long enough for one in a script that may do without end marks."""
-    return ends_sentence(line) or len(_THAI.findall(line[:200])) >= 15 or (len(line) >= 36 and 2 * len(_SOLID.findall(line[:200])) > min(len(line), 200) and len(entries(line)) < 5)
+    return ends_sentence(line) or len(_THAI.findall(line)) >= 15 or (len(line) >= 36 and 2 * len(_SOLID.findall(line)) > len(line) and len(entries(line)) < 5)
 
 
 def entries(line: str) -> list[str]:
@@ -191,8 +157,3 @@ def shape(line: str) -> str:
     """Punctuation of a line, with words as ``a`` and numbers as ``0``; a bullet before it is left out."""
     s = _RUNS.sub("a", re.sub(r"\d+", "0", _BULLET.sub("", line)))
     return _SPACE.sub("", s)
-
-
-def joined(lines: list[Line]) -> str:
-    """Wrapped lines as one."""
-    return " ".join(x.text for x in lines) if lines and lines[0].text.isascii() else "".join(x.text for x in lines)
