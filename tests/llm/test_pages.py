@@ -135,7 +135,7 @@ def net():
 def test_network_learns(net):
     rng = np.random.default_rng(5)
     test = [(" ".join(rng.choice(WORDS[k], 6)) + ".", k) for k in WORDS for _ in range(30)]
-    score, sizes = lg.pooled(net, [t for t, _ in test], [np.array([len(t)]) for t, _ in test])
+    score, sizes = lg.pooled(net, [t for t, _ in test], [[len(t)] for t, _ in test])
     assert np.mean([lg.LANGUAGES[s.argmax()] == k for s, (_, k) in zip(score, test, strict=True)]) > 0.95
     assert sizes.tolist() == [len(t.encode()) for t, _ in test]
 
@@ -299,3 +299,16 @@ def test_bodies_of_chunks(spark, table, tmp_path):
     table.select(table.ext_id.alias("chunk_id"), "url", "text", "source_type").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.chunk_id: r.body for r in queries.queries()["p7_chunk_bodies"](spark, str(tmp_path)).collect()}
     assert got[2].startswith("Course Guide 2\nReminder") and "Copyright" not in got[2]
+
+
+def test_batches_fold_as_single_texts_do():
+    from weftline.llm.common import codepoints, fold
+    from weftline.llm.forest import Forest, hashes_of
+
+    texts = ["Ａｂ①… x", "", "plain ASCII 12", "ก็ำน้ำ\nสระ", "가나 각", "é é ǅ ß", "中文：（全形）\n\n　", "\U00020001𠀀 😀", "tail\n"]
+    f = Forest(texts, [None] * len(texts))
+    assert f.folded_codes.tolist() == codepoints("\n".join(map(fold, texts)) + "\n").tolist()
+    assert [f.text(i) for i in range(len(f))] == [x.strip() for t in texts for x in t.split("\n") if x.strip()]
+    assert [texts[d][a:z] for d, a, z in zip(f.doc, f.start, f.end, strict=True)] == [f.text(i) for i in range(len(f))]
+    assert f.said().tolist() == hashes_of([f.text(i) for i in range(len(f))]).tolist()
+    assert hashes_of(["© 2020 Office!", "Office 17", "12", ""])[0] == hashes_of(["office"])[0] and hashes_of(["12"])[0] == 0

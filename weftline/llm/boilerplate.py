@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import pages
 from .boosting import Boosted
-from .forest import Forest, forests
+from .forest import WORD, Forest, classes, forests
 from .residue import SIGN, automaton, flags
 from .sentences import sample
 
@@ -132,9 +132,12 @@ class Reading:
             line, value = f.hits(automaton())
             bits = np.zeros(len(f), dtype=np.int64)
             np.bitwise_or.at(bits, line, value)
-            for i, (s, b) in enumerate(zip(f.squashed, (bits & (SIGN - 1)).tolist(), strict=True)):
-                if b := b | pages.hinted(s):
-                    out[i] = pages.found_tokens(s, b)
+            heads = f.heads()
+            for i in np.flatnonzero(((classes()[heads] & WORD) == 0) | (heads == 112) | (f.raw[f._hi] == 115)).tolist():
+                bits[i] |= pages.hinted(f.squashed[i])
+            bits &= SIGN - 1
+            for i in np.flatnonzero(bits).tolist():
+                out[i] = pages.found_tokens(f.squashed[i], int(bits[i]))
         return out
 
     def _wrapped(self, titles: frozenset[str], with_tokens: bool) -> None:

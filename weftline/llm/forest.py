@@ -7,6 +7,7 @@ length are read whole. A batch holds about ``CHARS`` characters, or one longer t
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -18,7 +19,7 @@ from .common import codepoints, fold, mixed
 
 #: Characters of a batch.
 CHARS = 1_000_000
-WS, DIGIT, EDGE, THAI, SOLID, MARK, CLOSE, BAR, BULLET, AFTER = (1 << k for k in range(10))
+WS, DIGIT, EDGE, THAI, SOLID, MARK, CLOSE, BAR, BULLET, AFTER, WORD = (1 << k for k in range(11))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LEAD = np.uint64(0x5851F42D4C957F2D)
@@ -28,21 +29,41 @@ _LEAD = np.uint64(0x5851F42D4C957F2D)
 def classes() -> np.ndarray:
     """Class bits of every code point."""
     t = np.zeros(0x110000, dtype=np.uint16)
-    for c in range(0x20000):  # no white space and no decimal digit lies above
+    for c in range(0x20000):  # no white space and no decimal digit lies above; letters there are ideographs
         s = chr(c)
         if s.isspace():
             t[c] |= WS
         elif s.isdecimal():
             t[c] |= DIGIT
+        if s.isalnum():
+            t[c] |= WORD
     for bit, chars in ((EDGE, pages._EDGES), (MARK, ".!?。！？．…؟"), (CLOSE, "\"'”’」』）)]】》"), (BAR, pages._BAR_CHARS), (BULLET, "›．•·‧▪※●○◆■*‣»>【["), (AFTER, ")）.．、")):
         for s in chars:
             t[ord(s)] |= bit
+    t[0x20000:0x3FFFE] |= WORD
     t[0x0E01:0x0E5C] |= THAI
     t[0x3040:0x3100] |= SOLID
     t[0x3400:0xA000] |= SOLID
     return t
 
 
+@lru_cache(None)
+def _folded_codes() -> np.ndarray:
+    """What ``fold`` makes of a code point alone; 0 where it makes several of it, or where its neighbours matter."""
+    t = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x20000):
+        s = chr(c)
+        f = fold(s)
+        if len(f) != 1 or unicodedata.combining(s) or unicodedata.combining(f):
+            t[c] = 0
+        elif f != s:
+            t[c] = ord(f)
+    t[0x1100:0x1200] = t[0xA960:0xA980] = t[0xD7B0:0xD800] = 0  # parts of Korean syllables
+    t[0xAC00:0xD7A4] = np.arange(0xAC00, 0xD7A4)
+    t[0x20000:] = 0
+    return t
+
+
 @lru_cache(None)
 def _form_index() -> np.ndarray:
     t = np.zeros(0x110000, dtype=np.uint8)
@@ -130,12 +151,24 @@ class Forest:
         self.length = hi + 1 - lo
         self.joined, self._lo, self._hi = joined, lo, hi
         self.raw, self._cls, self._starts = raw, cls, starts
-        codes = codepoints("\n".join(map(fold, texts)) + "\n")
+        codes = self._fold(doc_at)
         self.folded_codes, self.folded_cls = codes, classes()[codes]
         self.folded_ends = np.flatnonzero(codes == 10)
         self.folded_starts = np.r_[0, self.folded_ends[:-1] + 1]
         self._found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def _fold(self, doc_at: np.ndarray) -> np.ndarray:
+        """The code points of the folded texts: by a table, and text by text where that does not do."""
+        codes = _folded_codes()[self.raw]
+        hard = np.unique(np.searchsorted(doc_at, np.flatnonzero(codes == 0), side="right") - 1)
+        if not len(hard):
+            return codes
+        pieces, at = [], 0
+        for d in hard.tolist():
+            pieces += [codes[at : doc_at[d]], codepoints(fold(self.texts[d]) + "\n")]
+            at = doc_at[d + 1]
+        return np.concatenate([*pieces, codes[at:]])
+
     def __len__(self) -> int:
         return len(self.doc)
 
@@ -148,7 +181,8 @@ class Forest:
         """The folded texts without white space but line breaks."""
         kept = ((self.folded_cls & WS) == 0) | (self.folded_codes == 10)
         self._squashed_ends = np.cumsum(kept)[self.folded_ends] - 1
-        return self.folded_codes[kept].tobytes().decode("utf-32-le", "surrogatepass")
+        self.squashed_codes = self.folded_codes[kept]
+        return self.squashed_codes.tobytes().decode("utf-32-le", "surrogatepass")
 
     @cached_property
     def squashed(self) -> list[str]:
@@ -238,6 +272,11 @@ class Forest:
             got = self._found[id(automaton)] = of_full[np.searchsorted(self._squashed_ends, where)], value
         return got
 
+    def heads(self) -> np.ndarray:
+        """First code point of each squashed line."""
+        self.squashed_all  # noqa: B018
+        return self.squashed_codes[np.r_[0, self._squashed_ends[:-1] + 1][self.full]]
+
     def per_doc(self, lines: np.ndarray) -> np.ndarray:
         """Whether any line of a text is marked."""
         return np.bincount(self.doc[lines], minlength=len(self.texts)) > 0

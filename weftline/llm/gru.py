@@ -102,14 +102,15 @@ class BiGru:
         total = np.log(e.sum(axis=1))
         return total if top is None else total + top
 
-    def pooled(self, texts: list[bytes], bounds: list[np.ndarray]) -> np.ndarray:
-        """The log-probabilities of the labels summed over the bytes between neighbouring bounds of each text, text by text, ``(part, label)``."""
+    def pooled(self, texts: list[bytes], at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The log-probabilities of the labels summed over the bytes between neighbouring bounds of each text, text by text, ``(part, label)``.
+
+        ``at``: the bounds of all texts, one after the other; ``counts``: how many each text has.
+        """
         s, _ = self._scores(texts)
         norm = self._normal(s)
         total = np.zeros((self.labels, s.shape[2] + 1, s.shape[3]), dtype=np.float64)
         np.cumsum(s.sum(axis=0) - norm.sum(axis=0), axis=1, out=total[:, 1:])
-        at = np.concatenate(bounds)
-        counts = np.fromiter(map(len, bounds), dtype=np.int64, count=len(bounds))
         text = np.repeat(np.arange(len(texts)), counts)
         step, rest = at // STRIDE, at % STRIDE
         value = total[:, step, text]

@@ -74,7 +74,7 @@ def sure_language(sentence: str) -> str | None:
     return hits[0][1] if hits[0][0] >= 2 and hits[0][0] >= 2 * hits[1][0] + 1 else None
 
 
-def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 14) -> BiGru:
+def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 11) -> BiGru:
     """A network trained on ``(sentence, language)``, and on as many sentences set between two of another language."""
     net = BiGru(len(LANGUAGES), seed=seed)
     if not sentences:
@@ -95,6 +95,11 @@ def fit_network(sentences: list[tuple[str, str]], seed: int = 0, rounds: int = 1
         parts = [(texts[i] + gap, labels[i][0]), (texts[j] + gap, labels[j][0]), (texts[k], labels[k][0])]
         texts.append(b"".join(t for t, _ in parts))
         labels.append(np.concatenate([np.full(len(t), y) for t, y in parts]))
+    for _ in range(len(sentences) // 12):  # long runs, so that the states hold over whole blocks
+        a, b = rng.choice(sorted(of), 2)
+        ids = [int(rng.choice(of[k])) for k in (a,) * int(rng.integers(4, 10)) + (b,) * int(rng.integers(0, 5))]
+        texts.append(b" ".join(texts[i] for i in ids))
+        labels.append(np.concatenate([np.full(len(texts[i]) + 1, labels[i][0]) for i in ids])[:-1])
     for turn in range(3):  # a start that does not come down is left for another
         if net.fit(texts, labels, rounds=rounds, seed=seed + turn)[-1] < GOOD:
             break
@@ -149,23 +154,41 @@ def body_sentences(text: str, pdf: bool, spans: list[tuple[int, int]], splitter:
     return out
 
 
-def fit_body(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
-    """Body and sentence models; the network is left untrained."""
-    return _fit(df, id_col, text_col, type_col)[0]
+def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
+    """Body model and network; sentences are parted by their marks, so the splitter is left unfitted."""
+    body, rows = _sampled(df, id_col, text_col, type_col)
+    return LanguageModel(body, Splitter(), fit_network(training_sentences(rows, body_parts(rows, body))))
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
-    model, rows = _fit(df, id_col, text_col, type_col)
-    model.net = fit_network(training_sentences(rows, model.sentences(rows)))
-    return model
+def fit_body(df: DataFrame, id_col: str, text_col: str, type_col: str) -> LanguageModel:
+    """Body and sentence models; the network is left untrained."""
+    body, rows = _sampled(df, id_col, text_col, type_col)
+    return LanguageModel(body, train(rows), BiGru(len(LANGUAGES)))
 
 
-def _fit(df: DataFrame, id_col: str, text_col: str, type_col: str) -> tuple[LanguageModel, list[tuple[str, str | None]]]:
+def _sampled(df: DataFrame, id_col: str, text_col: str, type_col: str) -> tuple[bp.BodyModel, list[tuple[str, str | None]]]:
     """Rows are ordered by the hash of their id, so the first ones are a sample at every layout."""
     total = df.count()
     known = bp.known_wordings(df, text_col, total)
     rows = [(r[0], r[1]) for r in sample(df, id_col, SAMPLE, text_col, type_col, total=total) if r[0]]
-    return LanguageModel(bp.train(rows[: bp.SAMPLE], known), train(rows), BiGru(len(LANGUAGES))), rows
+    return bp.train(rows[: bp.SAMPLE], known), rows
+
+
+def body_parts(rows: list[tuple[str, str | None]], body: bp.BodyModel) -> list[list[tuple[int, int]]]:
+    """Parts of the main bodies of records that are like sentences, as positions."""
+    out: list[list[tuple[int, int]]] = []
+    for _, r, keep, bad in body.batches([t for t, _ in rows], [k for _, k in rows]):
+        for d, spans in enumerate(body_spans(r, keep)):
+            found: list[tuple[int, int]] = []
+            for a, z in spans if not bad[d] else []:
+                at = a
+                for end in parts_of(r.forest.texts[d][a:z]):
+                    t = r.forest.texts[d][at : a + end].rstrip()
+                    if len(t) >= LEAST and pages.sentence_like(t.replace("\n", "")):
+                        found.append((at, at + len(t)))
+                    at = a + end
+            out.append(found)
+    return out
 
 
 def training_sentences(records: list[tuple[str, str | None]], spans: list[list[tuple[int, int]]]) -> list[tuple[str, str]]:
@@ -265,10 +288,10 @@ _SOLID = re.compile(f"[{_NO_SPACES}]")
 _CUT_SPACED = re.compile("[.!?。！？．…]+[”’\"'」』）)\\]]*(?:\\s+|$)|[。！？．…]+[”’\"'」』）)\\]]*")
 
 
-def parts_of(unit: str) -> np.ndarray:
+def parts_of(unit: str) -> list[int]:
     """Ends of the parts of a line or block."""
     ends = [m.end() for m in (_CUT if _SOLID.search(unit) else _CUT_SPACED).finditer(unit) if unit[m.start()] != "." or not _goes_on(unit, m.start(), m.end())]
-    return np.array(ends if ends and ends[-1] == len(unit) else [*ends, len(unit)])
+    return ends if ends and ends[-1] == len(unit) else [*ends, len(unit)]
 
 
 def _goes_on(unit: str, at: int, end: int) -> bool:
@@ -276,22 +299,23 @@ def _goes_on(unit: str, at: int, end: int) -> bool:
     return unit[end : end + 1].islower() or unit[end : end + 1].isdigit() or unit[max(0, at - 12) : at].rpartition(" ")[2].lower() in ABBREVIATIONS
 
 
-def pooled(net: BiGru, units: list[str], cut: list[np.ndarray], most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def pooled(net: BiGru, units: list[str], cut: list[list[int]], most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of each part of each unit, summed over its bytes, and the number of its bytes.
 
     The network reads whole units, so a part is judged in its context. Units of like length are read together.
     """
-    raw = [u.encode("utf-8", "replace") for u in units]
-    bounds = []
-    for u, r, ends in zip(units, raw, cut, strict=True):
-        if len(r) != len(u):  # code points to bytes
-            ends = np.append(np.flatnonzero((np.frombuffer(r, dtype=np.uint8) & 0xC0) != 0x80), len(r))[ends]
-        bounds.append(np.append(0, ends))
-    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    order = np.argsort(lengths, kind="stable")
+    whole = "".join(units).encode("utf-8", "replace")
+    byte = np.append(np.flatnonzero((np.frombuffer(whole, dtype=np.uint8) & 0xC0) != 0x80), len(whole))  # of each code point
+    sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    begin = np.cumsum(sizes) - sizes
     parts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+    stop = byte[np.concatenate(cut) + np.repeat(begin, parts)]
     first = np.cumsum(parts) - parts
-    score = np.zeros((int(parts.sum()), len(LANGUAGES)))
+    start = np.r_[0, stop[:-1]]
+    start[first] = byte[begin]
+    at_byte, lengths = byte[begin], byte[begin + sizes] - byte[begin]
+    order = np.argsort(lengths, kind="stable")
+    score = np.zeros((len(stop), len(LANGUAGES)))
     at = 0
     while at < len(order):
         k = at + 1
@@ -300,9 +324,14 @@ def pooled(net: BiGru, units: list[str], cut: list[np.ndarray], most: int = 1 <<
         ids = order[at:k]
         n = parts[ids]
         where = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        score[where] = net.pooled([raw[i] for i in ids.tolist()], [bounds[i] for i in ids.tolist()])
+        bounds = np.zeros(len(where) + len(ids), dtype=np.int64)  # 0 and the ends of the parts
+        inner = np.ones(len(bounds), dtype=bool)
+        inner[np.cumsum(n + 1) - n - 1] = False
+        bounds[inner] = stop[where] - np.repeat(at_byte[ids], n)
+        texts = [whole[a : a + m] for a, m in zip(at_byte[ids].tolist(), lengths[ids].tolist(), strict=True)]
+        score[where] = net.pooled(texts, bounds, n + 1)
         at = k
-    return score, np.concatenate([np.diff(b) for b in bounds])
+    return score, stop - start
 
 
 def _runs(texts: list[str], parts: np.ndarray, start: np.ndarray, stop: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, tuple[int, int, str, float, str, float]]]:
