@@ -311,4 +311,4 @@ def test_batches_fold_as_single_texts_do():
     assert [f.text(i) for i in range(len(f))] == [x.strip() for t in texts for x in t.split("\n") if x.strip()]
     assert [texts[d][a:z] for d, a, z in zip(f.doc, f.start, f.end, strict=True)] == [f.text(i) for i in range(len(f))]
     assert f.said().tolist() == hashes_of([f.text(i) for i in range(len(f))]).tolist()
-    assert hashes_of(["© 2020 Office!", "Office 17", "12", ""])[0] == hashes_of(["office"])[0] and hashes_of(["12"])[0] == 0
+    assert len(set(hashes_of(["* Office 2020!", "Office 17", "office"]).tolist())) == 1 and hashes_of(["12", "", "x"])[:2].tolist() == [0, 0]
