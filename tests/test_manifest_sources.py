@@ -53,12 +53,29 @@ def test_jobs_and_reports(manifest, texts):
     chunks = pl.chunk_job(manifest, texts, "ordinal")
     assert sorted((r.url, r.chunk_index, r.chunk_len) for r in chunks.collect()) == [("http://x/p", 0, 7), ("http://x/y/", 0, 9), ("http://x/y?page=2&ref=x", 0, 2048), ("http://x/y?page=2&ref=x", 1, 513)]
     report = mf.build_report(manifest, chunks.groupBy("ordinal").agg(F.count("*").alias("chunks")), "ordinal").first().asDict()
-    assert report == {"processed": 7, "html": 1, "pdf": 1, "skipped": 4, "failed": 2, "office": 1, "empty": 1, "total_chunks": 4}
+    assert report == {"processed": 3, "html": 1, "pdf": 1, "skipped": 4, "failed": 2, "office": 1, "empty": 1, "total_chunks": 4}
     has = manifest.join(texts, "saved_path").select("ordinal")
-    assert mf.extract_report(manifest, has, "ordinal").first().asDict() == {"total": 7, "html": 1, "pdf": 1, "skipped": 5}
+    assert mf.extract_report(manifest, has, "ordinal").first().asDict() == {"total": 2, "html": 1, "pdf": 1, "skipped": 5}
     assert pl.extract_job(manifest, texts).count() == 2
 
 
+def test_only_html_and_pdf_give_chunks(spark):
+    rows = [(i, "ok", f"f{i}", kind, "u", 0, "c", "t") for i, kind in enumerate(["html", "pdf", "image", None, "office"])]
+    manifest = spark.createDataFrame(rows, "ordinal int, status string, saved_path string, type string, url string, depth int, category string, fetched_at string")
+    texts = spark.createDataFrame([(f"f{i}", "some text") for i in range(5)], "saved_path string, text string")
+    assert sorted(r.ordinal for r in pl.chunk_job(manifest, texts, "ordinal").collect()) == [0, 1]
+
+
+def test_malformed_manifest(spark, tmp_path):
+    (tmp_path / "cut.json").write_text(json.dumps(RECORDS)[:-40], encoding="utf-8")
+    (tmp_path / "kind.json").write_text(json.dumps([{"status": "ok", "depth": "deep"}]), encoding="utf-8")
+    for name in ("cut.json", "kind.json"):
+        with pytest.raises(Exception):
+            files.read_manifest(spark, str(tmp_path / name)).collect()
+    (tmp_path / "lines.jsonl").write_text("\n".join(map(json.dumps, RECORDS)), encoding="utf-8")
+    assert [r.saved_path for r in files.read_manifest(spark, str(tmp_path / "lines.jsonl")).orderBy("ordinal").collect()] == [r["saved_path"] for r in RECORDS]
+
+
 def test_missing_manifest(spark, tmp_path):
     with pytest.raises(files.MissingInput):
         files.read_manifest(spark, str(tmp_path / "none.json")).count()
@@ -83,9 +100,9 @@ def test_pdf_pages(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("　a\xa0\x1c", "x/b.PDF", "a\n\n\n\nb"), ("", ".pdf", ""), ("b", "b.tar.pdf", "n"), ("c", "none", "n")], "s string, p string, n string")
+    df = spark.createDataFrame([("　a\xa0\x1c", "x/b.PDF", "a\n\n\n\nb"), ("", ".pdf", ""), ("b", "b.tar.pdf", "n"), ("c", "none", "n"), ("d", "x/a..pdf", "n"), ("e", "x.pdf.", "n"), ("f", "x/..pdf", "n")], "s string, p string, n string")
     rows = df.select(tx.strip(F.col("s")), tx.is_pdf(F.col("p")), tx.collapse_newlines(F.col("n"))).collect()
-    assert [tuple(r) for r in rows] == [("a", True, "a\n\nb"), ("", False, ""), ("b", True, "n"), ("c", False, "n")]
+    assert [tuple(r) for r in rows] == [("a", True, "a\n\nb"), ("", False, ""), ("b", True, "n"), ("c", False, "n"), ("d", True, "n"), ("e", False, "n"), ("f", True, "n")]
 
 
 def test_collection(spark):

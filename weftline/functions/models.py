@@ -94,6 +94,45 @@ class RemoteEmbedder:
         return np.array(_post(f"{self.url}/api/embed", {"model": self.model, "input": texts}, self.timeout)["embeddings"], dtype=np.float32)
 
 
+class RemoteReranker:
+    """Pairs to an HTTP service: ``{"model", "query", "documents"}`` gives ``{"results": [{"index", "relevance_score"}]}``. A failure raises."""
+
+    def __init__(self, url: str, model: str, timeout: float = 600):
+        self.url, self.model, self.timeout = url.rstrip("/"), model, timeout
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        if not texts:
+            return []
+        got = _post(f"{self.url}/rerank", {"model": self.model, "query": query, "documents": texts}, self.timeout)["results"]
+        out = [0.0] * len(texts)
+        for r in got:
+            out[r["index"]] = float(r["relevance_score"])
+        return out
+
+
+class CrossEncoder:
+    """A cross-encoder of the optional library ``FlagEmbedding``, loaded at its first use, in half precision unless told otherwise."""
+
+    def __init__(self, model: str, device: str = "auto", use_fp16: bool = True):
+        self.model, self.device, self.use_fp16, self._loaded = model, device, use_fp16, None
+
+    def _load(self):
+        if self._loaded is None:
+            try:
+                from FlagEmbedding import FlagReranker
+            except ImportError as e:
+                raise ImportError("the cross-encoder needs the package FlagEmbedding; name a service or use the stand-in instead") from e
+            device = {} if self.device == "auto" else {"devices": self.device}
+            self._loaded = FlagReranker(self.model, use_fp16=self.use_fp16, **device)
+        return self._loaded
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        if not texts:
+            return []
+        got = self._load().compute_score([[query, t] for t in texts], normalize=True)
+        return [float(got)] if isinstance(got, float) else [float(x) for x in got]
+
+
 class RemoteGenerator:
     """One chat call per prompt, not streamed. A failure becomes the answer's text."""
 

@@ -34,8 +34,8 @@ def title_from_url(url: Column) -> Column:
 
 
 def suffix(path: Column) -> Column:
-    """The last file suffix in lower case, with its dot; empty if there is none."""
-    return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1))
+    """The last file suffix in lower case, with its dot; empty if there is none, or if the dot begins or ends the name."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)/*$", 1))
 
 
 def is_pdf(path: Column) -> Column:

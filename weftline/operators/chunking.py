@@ -57,5 +57,6 @@ def exploded(df: DataFrame, pieces: Column, *keep: str) -> DataFrame:
 
 
 def chunk_records(df: DataFrame, *keep: str) -> DataFrame:
-    """Chunks of records with ``text`` and ``source_type``: windows for pdf, merged paragraphs for anything else."""
-    return exploded(df, F.when(F.col("source_type") == "pdf", windows(F.col("text"))).otherwise(merged(F.col("text"))), *keep)
+    """Chunks of records with ``text`` and ``source_type``: windows for pdf, merged paragraphs for html, none for any other kind."""
+    kind = F.col("source_type")
+    return exploded(df.where(kind.isin("html", "pdf")), F.when(kind == "pdf", windows(F.col("text"))).otherwise(merged(F.col("text"))), *keep)

@@ -30,9 +30,9 @@ def metadata(kind: Column) -> list[Column]:
     return [url.alias("url"), title_from_url(url).alias("title"), or_default(F.col("depth"), 0).alias("depth"), kind.alias("source_type"), or_default(F.col("category"), "").alias("category"), or_default(F.col("fetched_at"), "").alias("fetched_at")]
 
 
-def first_rows(df: DataFrame, ordinal: str, n: int = 20, base: int = 0) -> DataFrame:
+def first_rows(df: DataFrame, ordinal: str, n: int = 20) -> DataFrame:
     """The first ``n`` rows by file order, before any filter."""
-    return df.where(F.col(ordinal) < base + n)
+    return df.orderBy(ordinal).limit(n)
 
 
 def for_chunks(manifest: DataFrame, *keep: str) -> DataFrame:
@@ -53,7 +53,8 @@ def with_files(rows: DataFrame, files: DataFrame, key: str = "saved_path") -> Da
 def build_report(manifest: DataFrame, chunks_of: DataFrame, key: str) -> DataFrame:
     """One row: what the chunk job did. ``chunks_of``: ``key, chunks`` of every row that gave chunks.
 
-    A kept row counts as html or pdf by its raw type; a skipped one as failed, office or, for any other reason, empty.
+    Rows that gave chunks are processed; they count as html or pdf by their raw type. A skipped row counts as failed,
+    office or, for any other reason, empty.
     """
     rows = manifest.join(chunks_of, key, "left")
     made = or_default(F.col("chunks"), 0) > 0
@@ -61,11 +62,11 @@ def build_report(manifest: DataFrame, chunks_of: DataFrame, key: str) -> DataFra
     failed = ~fetched()
     office = fetched() & (raw == "document") & ~is_pdf(F.col("saved_path"))
     n = lambda c: F.count_if(c)
-    return rows.agg(F.count("*").alias("processed"), n(made & (raw == "html")).alias("html"), n(made & (raw == "document")).alias("pdf"), n(~made).alias("skipped"), n(failed).alias("failed"), n(office).alias("office"), n(~made & ~failed & ~office).alias("empty"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"))
+    return rows.agg(n(made).alias("processed"), n(made & (raw == "html")).alias("html"), n(made & (raw == "document")).alias("pdf"), n(~made).alias("skipped"), n(failed).alias("failed"), n(office).alias("office"), n(~made & ~failed & ~office).alias("empty"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"))
 
 
 def extract_report(manifest: DataFrame, texts_of: DataFrame, key: str) -> DataFrame:
-    """One row: what the extraction job did. ``texts_of``: ``key`` of every row with text."""
+    """One row: what the extraction job did; ``total``: rows that gave text. ``texts_of``: ``key`` of every row with text."""
     rows = manifest.join(texts_of.select(key, F.lit(True).alias("_has")), key, "left")
     has = F.coalesce(F.col("_has"), F.lit(False)) & fetched() & extract_type().isNotNull()
-    return rows.agg(F.count("*").alias("total"), F.count_if(has & (extract_type() == "html")).alias("html"), F.count_if(has & (extract_type() == "pdf")).alias("pdf"), F.count_if(~has).alias("skipped"))
+    return rows.agg(F.count_if(has).alias("total"), F.count_if(has & (extract_type() == "html")).alias("html"), F.count_if(has & (extract_type() == "pdf")).alias("pdf"), F.count_if(~has).alias("skipped"))

@@ -31,25 +31,33 @@ def nearest_one(points: DataFrame, query: list[float], id_col: str, vector: str
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Bytes of the scores a task computes at once.
+SCORES = 64 << 20
+
+
 def _best(queries: np.ndarray, qids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps, of each batch, only the points that beat or tie the k-th best score so far, and sorts those alone."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = np.full((len(queries), 0), -np.inf)
-        ids = np.zeros((len(queries), 0), dtype=np.int64)
+        n = len(queries)
+        floor = np.full(n, -np.inf)
+        q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows = max(64, min(8192, SCORES // 8 // max(1, n)))
         for b in batches:
-            for at in range(0, b.num_rows, 8192):
-                part = b.slice(at, 8192)
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
                 vec = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 length = np.sqrt((vec * vec).sum(axis=1))
                 s = np.round(queries @ (vec / np.where(length > 0, length, 1)[:, None]).T, DECIMALS)
                 s[:, length == 0] = -np.inf
-                score = np.concatenate([score, s], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), s.shape)], axis=1)
-                if score.shape[1] > k:
-                    order = np.lexsort((ids, -score), axis=1)[:, :k]
-                    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        q = np.repeat(qids, score.shape[1])
-        ok = np.isfinite(score.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(ids.ravel()[ok]), pa.array(score.ravel()[ok])], names=["qid", "id", "score"])
+                own = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(n, -np.inf)
+                row, col = np.nonzero((s >= np.maximum(floor, own)[:, None]) & np.isfinite(s))
+                q, ids, score = np.concatenate([q, row]), np.concatenate([ids, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[col]]), np.concatenate([score, s[row, col]])
+                order = np.lexsort((ids, -score, q))
+                q, ids, score = q[order], ids[order], score[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                floor[q[nth == k - 1]] = score[nth == k - 1]
+                q, ids, score = q[nth < k], ids[nth < k], score[nth < k]
+        yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids), pa.array(score)], names=["qid", "id", "score"])
 
     return scan
 

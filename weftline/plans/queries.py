@@ -16,7 +16,7 @@ from ..operators import chunking as ch
 from ..operators import manifest as mf
 from ..operators.search import nearest, nearest_one, rerank
 from ..schemas import MIN_PDF_TEXT
-from ..sources.collection import payload
+from ..sources.collection import payload, stats_of
 from ..sources.html import extract_html
 from . import pipeline as pl
 
@@ -123,7 +123,7 @@ def resolve_type_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first20(spark: SparkSession, d: str) -> DataFrame:
-    return mf.first_rows(_t(spark, d, "manifest"), "rec_id", 20, base=1).select("rec_id", "url")
+    return mf.first_rows(_t(spark, d, "manifest"), "rec_id", 20).select("rec_id", "url")
 
 
 def build_report(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def payload_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").agg(F.count("*").alias("points"), F.max(F.size("embedding")).cast("long").alias("dim"))
+    return _long(stats_of(_t(spark, d, "embeddings").select(F.col("embedding").alias("dense"))), "dim")
 
 
 # --- answers
@@ -167,9 +167,9 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as contexts of their topic, the first part of the url's path."""
-    some = _t(spark, d, "chunks").where("url IS NOT NULL").withColumn("qid", F.substring_index("url", "/", 4))
-    return some.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")))
+    """Chunks as contexts of questions, eight neighbouring ones each: no question holds more, whatever the table."""
+    at = F.col("chunk_id")
+    return _t(spark, d, "chunks").where("url IS NOT NULL").withColumn("qid", F.floor(at / 8)).withColumn("position", at % 8 + 1)
 
 
 def source_list(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +209,16 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
     return pl.retrieve(_questions(spark, d), _points(spark, d), pl.local_embedding(256)).drop("text", "query")
 
 
+def retrieve_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with their vectors: every hundredth row of the vector table asks with its document's text, all rows answer."""
+    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"), "url", F.col("source").alias("title"), F.col("source").alias("category"), "source_type")
+    rows = _t(spark, d, "embeddings").join(texts, "vec_id")
+    points = rows.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("dense"), "text", "url", "title", "category", "source_type", F.lit(0).alias("chunk_index"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("text").alias("query"), F.col("embedding").alias("dense"))
+    found = pl.retrieve(asked, points, None)
+    return _long(found.select("qid", "position", "url", "title", "score", F.round("rerank_score", 3).alias("rerank_score")), "position")
+
+
 def ask(spark: SparkSession, d: str) -> DataFrame:
     answers = pl.ask(_questions(spark, d), _points(spark, d), pl.local_embedding(256))
     return an.report(answers, verbose=True)
@@ -216,7 +226,7 @@ def ask(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     dense_topk_single, dense_topk_multi, vector_norm, title_from_url, pdf_min_length, collapse_newlines, pdf_pages, extract_page, window_chunks, hard_split_chunks, paragraph_chunks, chunk_job, extract_job, manifest_filter,
-    resolve_type_chunks, resolve_type_extract, first20, build_report, extract_report, payload_fields, collection_stats, context_pack, prompts, source_list, sources_markdown, history_append, rerank_topn, retrieve, ask,
+    resolve_type_chunks, resolve_type_extract, first20, build_report, extract_report, payload_fields, collection_stats, context_pack, prompts, source_list, sources_markdown, history_append, rerank_topn, retrieve, retrieve_vectors, ask,
 )
 
 
@@ -231,7 +241,7 @@ _strip = lambda x: f"trim({x}, {_WS})"
 _collapse = lambda x: _strip(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
 _title = "CASE WHEN list_extract(string_split(coalesce(url, ''), '/'), -1) = '' THEN coalesce(url, '') ELSE list_extract(string_split(coalesce(url, ''), '/'), -1) END"
 _fetched = "status = 'ok' AND coalesce(saved_path, '') <> ''"
-_pdf = "lower(regexp_extract(saved_path, '[^/.](\\.[^./]*)$', 1)) = '.pdf'"
+_pdf = "lower(regexp_extract(saved_path, '[^/](\\.[^./]+)/*$', 1)) = '.pdf'"
 _chunk_type = f"CASE WHEN coalesce(type, '') <> 'document' THEN coalesce(type, '') WHEN {_pdf} THEN 'pdf' END"
 _extract_type = f"CASE WHEN type = 'html' THEN 'html' WHEN type = 'document' AND {_pdf} THEN 'pdf' END"
 _meta = lambda kind: f"coalesce(url, '') AS url, {_title} AS title, coalesce(depth, 0)::BIGINT AS depth, {kind} AS source_type, coalesce(category, '') AS category, coalesce(fetched_at, '') AS fetched_at"
@@ -255,7 +265,7 @@ _merge = lambda source, key: f"""
     merged AS (SELECT {key}, text, row_number() OVER (PARTITION BY {key} ORDER BY k, j) - 1 AS chunk_index, length(text) AS chunk_len FROM emitted)"""
 _job = f"""WITH RECURSIVE {_stored_sql},
     rows AS (SELECT rec_id, {_meta(_chunk_type)}, text FROM manifest JOIN stored USING (saved_path) WHERE {_fetched} AND {_chunk_type} IS NOT NULL AND text <> ''),
-    html AS (SELECT rec_id, text FROM rows WHERE source_type <> 'pdf'), {_merge('html', 'rec_id')},
+    html AS (SELECT rec_id, text FROM rows WHERE source_type = 'html'), {_merge('html', 'rec_id')},
     pdf AS (SELECT rec_id, unnest(w) AS text, unnest(range(len(w))) AS chunk_index FROM (SELECT rec_id, {_windows(_strip('text'))} AS w FROM rows WHERE source_type = 'pdf')),
     pieces AS (SELECT rec_id, text, chunk_index, chunk_len FROM merged UNION ALL SELECT rec_id, text, chunk_index, length(text) FROM pdf)"""
 _ctx = "ctx AS (SELECT *, url AS qid, row_number() OVER (PARTITION BY url ORDER BY chunk_index, chunk_id) AS position FROM chunks WHERE url IS NOT NULL)"
@@ -263,14 +273,25 @@ _pack = f"""{_ctx}, entries AS (SELECT qid, position, '[' || position || '] ' ||
     sums AS (SELECT *, sum(length(entry)) OVER (PARTITION BY qid ORDER BY position) AS s FROM entries),
     made AS (SELECT qid, string_agg(entry, chr(10) || chr(10) ORDER BY position) AS context FROM sums WHERE s <= 3000 GROUP BY qid),
     packed AS (SELECT qid, coalesce(context, '') AS context FROM (SELECT DISTINCT qid FROM ctx) LEFT JOIN made USING (qid))"""
-_cited = """topics AS (SELECT *, array_to_string(string_split(url, '/')[1:4], '/') AS qid FROM chunks WHERE url IS NOT NULL),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS position FROM topics),
+_cited = """placed AS (SELECT *, chunk_id // 8 AS qid, chunk_id % 8 + 1 AS position FROM chunks WHERE url IS NOT NULL),
     cited AS (SELECT qid, position AS "index", url, coalesce(title, list_extract(string_split(url, '/'), -1)) AS title, coalesce(source_type, '') AS source_type
         FROM placed WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY qid, url ORDER BY position) = 1)"""
 
 
+_words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\x{{3400}}-\\x{{9fff}}]|[^\\s\\p{{P}}\\x{{3400}}-\\x{{9fff}}]+'))"
+_overlap = lambda q, t: f"1 / (1 + exp(-((len(list_intersect({_words(q)}, {_words(t)})) / greatest(len({_words(q)}), 1)) * 8 - 4)))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "rerank_topn": f"""WITH {_ctx}, scored AS (SELECT qid, chunk_id, position AS rank, {_overlap("coalesce(title, '')", "coalesce(text, '')")} AS s FROM ctx),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS position FROM scored)
+            SELECT qid, chunk_id, position, round(round(s, 4), 3) AS rerank_score FROM placed WHERE position <= 5""",
+        "retrieve_vectors": f"""WITH rows AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, coalesce(d.text, '') AS text, d.url, d.source AS title FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+            near AS (SELECT q.vec_id AS qid, q.text AS query, p.*, round(list_cosine_similarity(p.v, q.v), 6) AS score FROM rows q, rows p WHERE q.vec_id % 100 = 0 AND trim(q.text, ' ') <> ''),
+            top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 50),
+            placed AS (SELECT *, {_overlap("query", "text")} AS s FROM top)
+            SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS position, url, title, score, round(round(s, 4), 3) AS rerank_score FROM placed QUALIFY position <= 5""",
         "dense_topk_single": "SELECT vec_id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, vec_id LIMIT 50",
         "dense_topk_multi": """SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
             SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) QUALIFY rank <= 50""",
@@ -290,13 +311,13 @@ def oracle_sql() -> dict[str, str]:
         "manifest_filter": f"SELECT rec_id, saved_path FROM manifest WHERE {_fetched}",
         "resolve_type_chunks": f"SELECT * FROM (SELECT rec_id, {_meta(_chunk_type)} FROM manifest WHERE {_fetched}) WHERE source_type IS NOT NULL",
         "resolve_type_extract": f"SELECT * FROM (SELECT rec_id, {_meta(_extract_type)} FROM manifest WHERE {_fetched}) WHERE source_type IS NOT NULL",
-        "first20": "SELECT rec_id, url FROM manifest WHERE rec_id < 21",
+        "first20": "SELECT rec_id, url FROM manifest ORDER BY rec_id LIMIT 20",
         "build_report": f"""{_job}, made AS (SELECT rec_id, count(*) AS n FROM pieces GROUP BY rec_id),
             j AS (SELECT m.*, coalesce(n, 0) AS n, coalesce({_fetched}, false) AS f FROM manifest m LEFT JOIN made USING (rec_id))
-            SELECT count(*) AS processed, count_if(n > 0 AND type = 'html')::BIGINT AS html, count_if(n > 0 AND type = 'document')::BIGINT AS pdf, count_if(n = 0)::BIGINT AS skipped, count_if(NOT f)::BIGINT AS failed,
+            SELECT count_if(n > 0)::BIGINT AS processed, count_if(n > 0 AND type = 'html')::BIGINT AS html, count_if(n > 0 AND type = 'document')::BIGINT AS pdf, count_if(n = 0)::BIGINT AS skipped, count_if(NOT f)::BIGINT AS failed,
                 count_if(f AND type = 'document' AND NOT {_pdf})::BIGINT AS office, count_if(n = 0 AND f AND NOT (coalesce(type, '') = 'document' AND NOT {_pdf}))::BIGINT AS empty, sum(n)::BIGINT AS total_chunks FROM j""",
         "extract_report": f"""WITH {_stored_sql}, j AS (SELECT m.*, coalesce({_fetched}, false) AND coalesce(s.text, '') <> '' AND {_extract_type} IS NOT NULL AS h FROM manifest m LEFT JOIN stored s USING (saved_path))
-            SELECT count(*) AS total, count_if(h AND type = 'html')::BIGINT AS html, count_if(h AND type = 'document')::BIGINT AS pdf, count_if(NOT h)::BIGINT AS skipped FROM j""",
+            SELECT count_if(h)::BIGINT AS total, count_if(h AND type = 'html')::BIGINT AS html, count_if(h AND type = 'document')::BIGINT AS pdf, count_if(NOT h)::BIGINT AS skipped FROM j""",
         "payload_fields": "SELECT chunk_id, coalesce(text, '') AS text, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(depth, 0)::BIGINT AS depth, coalesce(source_type, '') AS source_type, coalesce(category, '') AS category, coalesce(fetched_at, '') AS fetched_at, coalesce(chunk_index, 0)::BIGINT AS chunk_index, coalesce(chunk_len, 0)::BIGINT AS chunk_len FROM chunks",
         "collection_stats": "SELECT count(*) AS points, max(len(embedding)) AS dim FROM embeddings",
         "context_pack": f"WITH {_pack} SELECT qid, context FROM packed",

@@ -24,6 +24,11 @@ def points(chunks: DataFrame, dense: Column, *, stable_ids: bool = False) -> Dat
     return chunks.select(row_id.alias("id"), normalized(dense).alias("dense"), F.struct(*payload()).alias("payload"))
 
 
+def stats_of(points_: DataFrame) -> DataFrame:
+    """One row: number of points and dimension of the vectors (``dense``)."""
+    return points_.agg(F.count("*").alias("points"), F.max(F.size("dense")).alias("dim"))
+
+
 class Collection:
     """A named table of points in the session's catalog."""
 
@@ -60,4 +65,4 @@ class Collection:
 
     def stats(self) -> DataFrame:
         """One row: number of points and dimension of the vectors."""
-        return self.read().agg(F.count("*").alias("points"), F.max(F.size("dense")).alias("dim"))
+        return stats_of(self.read())
