@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import unicodedata
 import uuid
@@ -16,25 +18,43 @@ NOT_LETTERS = re.compile(r"[^\w\n]+|[\d_]+")
 
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else (tests) a temporary one, set once."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session that runs in this one process gets a temporary folder; a cluster is refused.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
+            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
         where = _OWN[0]
     return where.rstrip("/")
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables ``cut`` has written, once no result that reads them is needed any more; gives their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there, later branches read the table instead of running Python again, and the loss of an
-    executor costs nothing that was already written.
+    executor costs nothing that was already written. ``release`` removes the tables.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

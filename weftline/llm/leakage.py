@@ -8,14 +8,15 @@ within that radius are found. Each candidate (document, item) is then verified b
 weight of the passage's characters that lie on runs of shared shingles, over the weight of the whole passage.
 
 A shingle's weight is the logarithm of the number of items over the items that hold it; shingles of no item weigh
-nothing. The items are the query set and are searched in blocks of ``BLOCK``, each block a narrow stage over all
-documents, so what is sent to the executors has a fixed bound. Nothing is shuffled.
+nothing. Instruction lines and shingles are counted over all items. The items are the query set and are searched in
+blocks of ``BLOCK``, each block a narrow stage over all documents, so what is sent to the executors has a fixed bound and
+no document is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, fold, shingle_hashes
+from .common import codepoints, cut, fold, shingle_hashes
 
 BLOCK = 2000
 RADIUS = 3
@@ -46,11 +47,56 @@ def kind_of(text: str) -> str:
     return "dense" if 2 * len(_DENSE.findall(text)) > len(text) else "spaced"
 
 
-def passages(items: list[tuple[int, str]], shared: int = 3) -> list[tuple[int, str]]:
-    """Items without their opening instruction line: a first line of several that at least ``shared`` items begin with."""
-    heads = [text.strip().split("\n", 1) for _, text in items]
-    common = Counter(stream(h[0]) for h in heads if len(h) > 1)
-    return [(i, h[1] if len(h) > 1 and common[stream(h[0])] >= shared else text) for (i, text), h in zip(items, heads, strict=True)]
+#: So many items at least begin with a line that is an instruction.
+SHARED = 3
+
+
+def head_of(text: str) -> str:
+    """The stream of the first line of a text of several lines, else nothing."""
+    head, sep, _ = text.strip().partition("\n")
+    return stream(head) if sep else ""
+
+
+def without_head(text: str) -> str:
+    return text.strip().partition("\n")[2]
+
+
+def passages(items: DataFrame, item_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
+    """``i, passage, kind, h, n, of`` of each item: the stream of its text without its opening instruction line (a first line
+    of several that at least ``shared`` of all items begin with), its kind of script, its different shingles with the
+    number of all passages of that kind that hold each, and the number of those passages.
+
+    Everything is counted over all items, whatever the blocks they are searched in.
+    """
+    @F.pandas_udf("string")
+    def head(texts: pd.Series) -> pd.Series:
+        return texts.map(head_of)
+
+    @F.pandas_udf("string")
+    def body(texts: pd.Series, opened: pd.Series) -> pd.Series:
+        return pd.Series([stream(without_head(t) if o else t) for t, o in zip(texts, opened, strict=True)], dtype=object)
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kinds = [kind_of(t) for t in b["passage"]]
+            held = [np.unique(held_in(t, KINDS[k][0])).view(np.int64) for t, k in zip(b["passage"], kinds, strict=True)]
+            yield pd.DataFrame({"i": b["i"], "passage": b["passage"], "kind": kinds, "h": held})
+
+    rows = items.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).withColumn("head", head("t"))
+    opening = rows.where("head <> ''").groupBy("head").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("head", F.lit(True).alias("opens"))
+    texts = rows.join(opening, "head", "left").select("i", body("t", F.coalesce("opens", F.lit(False))).alias("passage")).where("passage <> ''")
+    with_row = cut(texts.mapInPandas(shingled, "i long, passage string, kind string, h array<long>").withColumn("row", F.monotonically_increasing_id()), "passages")
+    each = with_row.select("row", "kind", F.explode("h").alias("s"))
+    counts = each.groupBy("kind", "s").agg(F.count("*").alias("n"))
+    known = each.join(counts, ["kind", "s"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("k"))  # an item's own shingles
+    of = with_row.groupBy("kind").agg(F.count("*").alias("of"))
+    full = with_row.join(known, "row").join(of, "kind")
+    return full.select("i", "passage", "kind", F.transform("k", lambda x: x["s"]).alias("h"), F.transform("k", lambda x: x["n"]).alias("n"), "of")
+
+
+def held_in(text: str, k: int) -> np.ndarray:
+    """Hashes of a text's shingles, in order."""
+    return shingle_hashes(codepoints(text), k)[: max(1, len(text) - k + 1)]
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -67,15 +113,20 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class Index:
     """Fingerprints and shingle weights of the passages of one kind."""
 
-    def __init__(self, found: list[tuple[int, str]], kind: str):
+    def __init__(self, found: list[tuple[int, str]], kind: str, counts: tuple[np.ndarray, np.ndarray, int] | None = None):
+        """``found``: item and passage; ``counts``: their shingles, the number of passages that hold each, and of all passages (else of these alone)."""
         self.k, self.w, self.step, self.run = KINDS[kind]
         self.ids = [i for i, _ in found]
-        held = [shingle_hashes(codepoints(t), self.k)[: max(1, len(t) - self.k + 1)] for _, t in found]
+        self.held = held = [held_in(t, self.k) for _, t in found]
         self.lengths = [len(t) for _, t in found]
-        self.held = held
-        flat = np.concatenate([np.unique(h) for h in held]) if held else np.zeros(0, np.uint64)
-        self.known, df = np.unique(flat, return_counts=True)
-        self.weight = np.log((1 + len(held)) / df).astype(np.float32)
+        if counts is None:
+            flat = np.concatenate([np.unique(h) for h in held]) if held else np.zeros(0, np.uint64)
+            self.known, df = np.unique(flat, return_counts=True)
+            of = len(held)
+        else:
+            self.known, at = np.unique(counts[0], return_index=True)
+            df, of = counts[1][at], counts[2]
+        self.weight = np.log((1 + of) / df).astype(np.float32)
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[self.known >> np.uint64(64 - _BITS)] = True
         prints, of = [], []
@@ -171,36 +222,36 @@ class Index:
         return out
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int | None = None) -> DataFrame:
     """``doc_id, item_id, similarity`` of each document that holds at least half of an item's passage.
 
     Null and empty texts on either side give no rows; of items repeated under another id each is reported; repeated
     document rows are reported repeatedly; texts of any length are read whole. Other columns are not read.
     """
-    rows = items.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i")
+    rows = passages(items, item_col, item_text).orderBy("i", "passage")
     picked = docs.where(F.length(text_col) > 0).select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts, block = [], []
+    parts, held = [], []
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
+    def search(found: list) -> DataFrame:
         by = defaultdict(list)
-        for i, t in passages(block):
-            if s := stream(t):
-                by[kind_of(s)].append((i, s))
-        indexes = [Index(v, kind) for kind, v in sorted(by.items())]
+        for r in found:
+            by[r.kind].append(r)
+        counts = lambda v: (np.concatenate([np.array(r.h, dtype=np.int64) for r in v]).view(np.uint64), np.concatenate([np.array(r.n) for r in v]), v[0].of)
+        indexes = [Index([(r.i, r.passage) for r in v], kind, counts(v)) for kind, v in sorted(by.items())]
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 ids, streams = b["doc_id"].to_numpy(), [stream(t) for t in b["text"]]
-                found = [(ids[t], x.ids[n], s) for x in indexes for t, n, s in x.find(streams)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity"])
+                got = [(ids[t], x.ids[n], s) for x in indexes for t, n, s in x.find(streams)]
+                yield pd.DataFrame(got, columns=["doc_id", "item_id", "similarity"])
 
         return picked.mapInPandas(scan, "doc_id long, item_id long, similarity double")
 
     for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        if len(block) == BLOCK:
-            parts.append(search(block))
-            block = []
-    if block or not parts:
-        parts.append(search(block))
+        held.append(r)
+        if len(held) == (block or BLOCK):
+            parts.append(search(held))
+            held = []
+    if held or not parts:
+        parts.append(search(held))
     return reduce(DataFrame.unionByName, parts)

@@ -24,9 +24,9 @@ FURNITURE = {
     "cookie": r"cookie(?:設定|以提升)|使用cookie|cookies?to|cookiesettings|瀏覽偏好|接受全部|僅限必要|yourpreferences|acceptall|onlynecessary|weusecookies",
     "subscribe": r"訂閱.{0,12}電子報|newsletter|每週掌握|weeklyupdates",
     "share": r"分享本頁|分享給朋友|轉寄給|列印/轉寄|複製連結|shareonyour|sharethis|copylink|passitonto|likethisarticle|喜歡這篇",
-    "view": r"最佳瀏覽解析度|資訊小組維護|bestviewedat|webteam$",
+    "view": r"最佳瀏覽解析度|資訊小組維護|bestviewedat",
     "source": r"資料來源:|最後更新:|lastupdated|^\W*source:",
-    "byline": r"瀏覽人次|點閱數|發布單位:|編輯小組|供稿\(第|postedby|views:|editors-[\d,]+reads|[\d,]+reads$|contributedby.{1,40}\(item",
+    "byline": r"瀏覽人次|點閱數|發布單位:|編輯小組|供稿\(第|postedby|views:|editors-[\d,]+reads|[\d,]+reads$",
     "contact": r"服務專線[\d,]+|hotline[\d,]+|^\W*地址:.{1,20}電話:|^\W*address:.{1,40}tel",
     "print": r"列印日期|printed\d{2,4}[-/.]",
     "pageno": r"第[\d,]+頁,共|^\W*page[\d,]+of[\d,]+\W*$|^[-‐-―－]\d+[-‐-―－]",
@@ -38,8 +38,8 @@ FURNITURE = {
 _KEYS = """
 跳到主要 到主內容 主要內容區 skipto jumptocontent tojumpto zuminhalt alleraucontenu saltaral 回頁首 回到頂端 回最上 ▲top backtotop topofpage nachoben hautdepage 回上一頁 goback 返回 zurück retour
 版權所有 copyright © (c) allrightsreserved 著作權 僅供參考 不得轉載 保有修改 終止本頁 隱私權政策 forreferenceonly nopartofthispage reproducedwithout thispageisreservedby privacypolicy cookie 瀏覽偏好 接受全部 僅限必要
-yourpreferences acceptall onlynecessary 訂閱 newsletter 每週掌握 weeklyupdates 分享本頁 分享給朋友 轉寄 複製連結 shareonyour sharethis copylink passitonto likethisarticle 喜歡這篇 瀏覽解析度 資訊小組維護 bestviewedat webteam
-資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: editors- contributedby 服務專線 hotline 地址: address: 列印日期 printed 頁,共
+yourpreferences acceptall onlynecessary 訂閱 newsletter 每週掌握 weeklyupdates 分享本頁 分享給朋友 轉寄 複製連結 shareonyour sharethis copylink passitonto likethisarticle 喜歡這篇 瀏覽解析度 資訊小組維護 bestviewedat
+資料來源: 最後更新: lastupdated source: 瀏覽人次 點閱數 發布單位: 編輯小組 供稿( postedby views: editors- 服務專線 hotline 地址: address: 列印日期 printed 頁,共
 延伸閱讀 相關連結 熱門文章 可能也想看 猜你喜歡 furtherreading relatedpages mostread youmayalsolike relatedlinks 前一篇 後一篇 上一則 下一則 上一篇 下一篇 previous: next: 首頁 home> home/ home» home› home: startseite accueil inicio
 """.split()
 # Frequent function words of the languages in Latin script.

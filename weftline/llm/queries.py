@@ -44,6 +44,15 @@ def p2_text_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sp.split_oversized(_t(spark, d, "extracted_texts"), "ext_id").withColumnRenamed("id", "ext_id")
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The oversized chunks put together again from their pieces, overlaps left out: equal to their texts if no piece is wrong."""
+    lap = sp.limit_of(F.col("source_type"), 1)
+    pieces_ = p2_chunk_pieces(spark, d).join(_t(spark, d, "chunks").select("chunk_id", lap.alias("lap"), sp.limit_of(F.col("source_type"), 0).alias("cap")), "chunk_id")
+    own = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.expr("substring(text, lap + 1)"))
+    whole = pieces_.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("p"), F.max(F.length("text") - F.col("cap")).alias("over"))
+    return whole.select("chunk_id", F.array_join(F.transform("p", lambda x: x["own"]), "").alias("text"), (F.col("over") <= 0).alias("fits"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = al.aligned(_t(spark, d, "extracted_texts"))
     return found.withColumnsRenamed({"id_1": "ext_id_1", "id_2": "ext_id_2"})
@@ -62,11 +71,11 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return sn.sentence_units(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "start").distinct()
+    return sn.sentence_units(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "start")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return bp.furniture_lines(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "line_no").distinct()
+    return bp.furniture_lines(_t(spark, d, "extracted_texts")).select(F.col("id").alias("ext_id"), "line_no")
 
 
 def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +90,15 @@ def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
     return pk.pack(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each text that stand in containers, each of which is within its capacity."""
+    packed = pk.pack(_t(spark, d, "documents"))
+    full = packed.groupBy("container").agg((F.sum("tokens") <= pk.CAPACITY).alias("fits"))
+    return packed.join(full, "container").groupBy(F.col("id").alias("doc_id")).agg(F.sum(F.col("end") - F.col("start")).alias("chars"), F.bool_and("fits").alias("fits"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
+    return lk.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,5 +127,7 @@ def oracle_sql() -> dict[str, str]:
             pages AS (SELECT category, count(DISTINCT url) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category),
             often AS (SELECT category, w, count(DISTINCT url) AS k FROM worded WHERE w <> '' GROUP BY category, w)
             SELECT chunk_id, line_no FROM worded JOIN often USING (category, w) JOIN pages USING (category) WHERE k >= 5 AND k >= 0.04 * n""",
+        "p2_rejoined": "SELECT chunk_id, text, true AS fits FROM chunks WHERE length(text) > CASE WHEN lower(source_type) = 'pdf' THEN 2048 ELSE 800 END",
+        "p8_cover": "SELECT doc_id, length(text) AS chars, true AS fits FROM documents WHERE length(text) > 0",
         "p2_found": "SELECT chunk_id FROM chunks WHERE length(text) > CASE WHEN lower(source_type) = 'pdf' THEN 2048 ELSE 800 END",
     }
