@@ -99,3 +99,34 @@ def test_clean_keeps_sentences_that_share_a_template(spark, tmp_path):
     chunks(spark, rows).write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.chunk_id: r.text for r in queries.p1_clean(spark, str(tmp_path)).collect()}
     assert got == {i: text.split("\n")[0] for i, _, _, text in rows}
+
+
+def test_tree_of_nested_headings_and_lists():
+    text = "# A\n\nintro of a.\n\n## B\n\nbody of b.\n\n### C\n\nbody of c.\n\n## D\n\nbody of d.\n\n# E\n\n1. one\n  a) two\n  b) three\n2. four"
+    root = sp.tree(text)
+    part = lambda n: text[n.start : n.end].split("\n")[0]
+    assert [part(k) for k in root.kids] == ["# A", "# E"]
+    a = root.kids[0]
+    assert [part(k) for k in a.kids[1:]] == ["## B", "## D"] and [part(k) for k in a.kids[1].kids[1:]] == ["### C"]
+    assert a.end == root.kids[1].start and root.kids[1].end == len(text)
+    items = sp._parted(text, sp.Node(text.index("1. one"), len(text)))
+    assert [part(k) for k in items] == ["1. one", "2. four"] and [part(k) for k in items[0].kids[1:]] == ["  a) two", "  b) three"]
+
+
+def test_subtrees_that_fit_are_not_entered():
+    sections = [f"## Part {i}\n\n" + f"Sentence {i} has some words in it. " * n + "\n\n" for i, n in enumerate((3, 3, 30, 2, 3))]
+    text = "".join(sections)
+    starts = [s for s, _ in sp.split_text(text, 300, 0)]
+    edges = [sum(map(len, sections[:i])) for i in range(5)]
+    assert starts[0] == 0 and edges[2] in starts and edges[4] in starts and len(text) - starts[-1] <= 300
+    inside = [s for s in starts if edges[2] < s < edges[3]]
+    assert inside and all(text[s - 2 : s] == ". " or text[s - 1] == "\n" for s in inside)
+
+
+@given(st.text(alphabet="ab .\n#1)一、。-　", max_size=400), st.integers(2, 60), st.integers(0, 40))
+def test_any_text_comes_back_whole(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
+    pieces = sp.split_text(text, limit, overlap)
+    assert all(len(p) <= limit for _, p in pieces)
+    assert "".join(p if k == 0 else p[overlap:] for k, (_, p) in enumerate(pieces)) == text
+    assert all(text[s : s + len(p)] == p for s, p in pieces)
