@@ -4,6 +4,7 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from weftline.llm import queries
 from weftline.llm import repeated_lines as rl
 from weftline.llm import splitting as sp
+from weftline.llm.common import minhash_bands
 
 
 def wording(line):
@@ -60,6 +62,53 @@ def test_near_duplicates_cluster_and_are_removed(spark):
     assert {r.text for r in rl.without_lines(df, found).collect()} == {f"body {n}" for n in ["Ada", "Bob", "Cyd", "Dan", "Eve", "Fay"]}
 
 
+def similar_lines(n=160, seed=1):
+    """Wordings in families whose members differ by some letters, and lines of their own; each on a page of its own."""
+    rng = np.random.default_rng(seed)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    out = []
+    for family in range(12):
+        base = "".join(rng.choice(letters, 60))
+        for _ in range(int(rng.integers(3, 14))):
+            s = list(base)
+            for at in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+                s[at] = str(rng.choice(letters))
+            out.append("".join(s))
+    out += ["".join(rng.choice(letters, 60)) for _ in range(n - len(out))]
+    return [(i, f"u{i}", "a", f"{line}\n{i}") for i, line in enumerate(out)]
+
+
+def test_clusters_against_brute_force(spark):
+    rows = similar_lines()
+    lines = [r[3].split("\n")[0] for r in rows]
+    like = [[j for j, b in enumerate(lines) if rl.similarity(a, b) >= rl.SIMILAR] for a in lines]
+    least = max(5, 0.04 * len(rows))
+    want = {i for i, mates in enumerate(like) if any(len(like[j]) >= least for j in mates)}
+    got = {r.id for r in rl.repeated_lines(chunks(spark, rows)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and got <= want and len(want) > 20
+
+
+def test_bands_find_pairs_at_seven_tenths():
+    rng = np.random.default_rng(2)
+    letters = np.arange(97, 123, dtype=np.uint32)
+    hit = seen = 0
+    for _ in range(400):
+        a = rng.choice(letters, 60)
+        b = a.copy()
+        b[rng.choice(60, int(rng.integers(1, 4)), replace=False)] = rng.choice(letters)
+        s = rl.similarity(*("".join(map(chr, x)) for x in (a, b)))
+        if 0.65 <= s <= 0.75:
+            x, y = minhash_bands(np.concatenate([a, b]), np.array([0, 60]), np.array([60, 120]), rl.SHINGLE, rl.ROWS, rl.BANDS)
+            hit, seen = hit + int((x == y).any()), seen + 1
+    assert seen > 40 and hit >= 0.85 * seen, (hit, seen)
+
+
+def test_names_are_masked():
+    mask = lambda s: rl._NAMES.sub("", s)
+    assert mask("posted by Anna Lee-Smith on may 3") == mask("posted by Tom Oak on june 3")
+    assert mask("Welcome to the main office") == "Welcome to the main office" and mask("由王小明老師整理") == mask("由陳大文老師整理")
+
+
 def test_empty(spark):
     empty = chunks(spark, [])
     assert rl.repeated_lines(empty, exact=True).count() == 0 and rl.without_lines(empty, rl.repeated_lines(empty)).count() == 0

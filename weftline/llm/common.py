@@ -101,25 +101,29 @@ def shingle_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
-def minhash_bands(items: list[str], k: int, rows: int, seed: int) -> np.ndarray:
-    """One band of ``rows`` minimum hashes over the ``k``-character shingles of each item, as one signed 64-bit value.
+def minhash_bands(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int, rows: int, bands: int, seed: int = 0) -> np.ndarray:
+    """``(stretch, band)``: of each stretch of code points, bands of ``rows`` minimum hashes over its ``k``-character shingles.
 
-    Equal items have equal bands; an empty item has band 0. All items of a batch are hashed at once.
+    Equal stretches have equal bands; a stretch shorter than ``k`` is one shingle with zeros behind it. None is empty, and
+    together they are all of ``codes``.
     """
-    if not items:
-        return np.zeros(0, dtype=np.int64)
-    pad = "\0" * (k - 1)
-    h = shingle_hashes(codepoints((pad + "\n").join(items) + pad + "\n"), k)
-    lengths = np.fromiter(map(len, items), dtype=np.int64, count=len(items))
-    starts = np.concatenate([[0], np.cumsum(lengths + k)[:-1]])
-    band = np.zeros(len(items), dtype=np.uint64)
-    inside = np.ones(len(h), dtype=bool)
-    for d in range(k):  # no shingle begins in the padding, so none holds two items
-        inside[starts + lengths + d] = False
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for r in range(rows):
-        v = mixed(h * _ODD[(seed + r) % len(_ODD)] + np.uint64(seed * 7919 + r))
-        v[~inside] = top
-        band = mixed(band * np.uint64(0x100000001B3) + np.minimum.reduceat(v, starts))
-    band[lengths == 0] = 0
-    return band.view(np.int64)
+    out = np.zeros((len(begin), bands), dtype=np.uint64)
+    if not len(begin):
+        return out.view(np.int64)
+    left = np.repeat(end, end - begin) - np.arange(len(codes))
+    wide = np.append(codes.astype(np.uint64), np.zeros(k, dtype=np.uint64))
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for d in range(k):
+        h = h * np.uint64(0x100000001B3) + np.where(left > d, wide[d : d + len(codes)], np.uint64(0)) * _ODD[d % len(_ODD)]
+    h = mixed(h)
+    for d in range(1, k):  # shingles that reach over the end stand only in stretches of less than a shingle
+        h[(left == d) & (np.repeat(end - begin, end - begin) >= k)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for b in range(bands):
+        for r in range(rows):
+            n = (seed + b * rows + r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            salt = mixed(np.array([n], dtype=np.uint64))[0] | np.uint64(1)
+            v = (h ^ (salt >> np.uint64(3))) * salt
+            v ^= v >> np.uint64(29)
+            v[h == np.uint64(0xFFFFFFFFFFFFFFFF)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            out[:, b] = mixed(out[:, b] * np.uint64(0x100000001B3) + np.minimum.reduceat(v, begin))
+    return out.view(np.int64)

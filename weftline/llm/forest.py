@@ -92,19 +92,23 @@ def said_hashes(folded: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> np.n
     the difference of two sums from the batch's first character, divided by the power the line begins at.
     """
     core = np.flatnonzero((cls & (WS | DIGIT | EDGE)) == 0)
-    out = np.zeros(len(starts), dtype=np.uint64)
     if not len(core):
-        return out.view(np.int64)
-    ends = np.append(starts[1:], len(folded))
-    a, z = np.searchsorted(core, starts), np.searchsorted(core, ends)
+        return np.zeros(len(starts), dtype=np.int64)
+    a, z = np.searchsorted(core, starts), np.searchsorted(core, np.append(starts[1:], len(folded)))
     some = np.flatnonzero(z > a)
     kept = np.flatnonzero((cls & (WS | DIGIT)) == 0)
-    begin, end = np.searchsorted(kept, core[a[some]]), np.searchsorted(kept, core[z[some] - 1], side="right")
-    total = np.zeros(len(kept) + 1, dtype=np.uint64)
-    np.cumsum((folded[kept].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(kept)), out=total[1:])
-    back = np.append(np.ones(1, np.uint64), _powers(_BACK, len(kept)))
-    out[some] = mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-    return out.view(np.int64)
+    begin, end = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    begin[some], end[some] = np.searchsorted(kept, core[a[some]]), np.searchsorted(kept, core[z[some] - 1], side="right")
+    return spans_hashed(folded[kept], begin, end)
+
+
+def spans_hashed(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of code points; 0 of an empty one."""
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(codes)), out=total[1:])
+    back = np.append(np.ones(1, np.uint64), _powers(_BACK, len(codes)))
+    out = mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    return np.where(end > begin, out, np.uint64(0)).view(np.int64)
 
 
 def hashes_of(strings: list[str]) -> np.ndarray:
