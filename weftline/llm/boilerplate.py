@@ -153,10 +153,20 @@ class Reading:
                 if whole:
                     for i in span:
                         self.tokens[i] = whole
-        if titles:
-            for b in np.flatnonzero(pdf & (f.size == 1)).tolist():
+        self._mark_titled(titles)
+
+    def _mark_titled(self, titles: frozenset[str]) -> None:
+        f = self.forest
+        if titles and len(f):
+            for b in np.flatnonzero(f.pdf[f.block_doc] & (f.size == 1)).tolist():
                 self.titled[f.first[b]] = pages.shape(f.text(int(f.first[b]))) in titles
 
+    def set_titles(self, titles: frozenset[str]) -> None:
+        """Takes shapes of running titles into account that were not known at first."""
+        self._mark_titled(titles)
+        if len(self.forest):
+            self.features[:, -1] = self.titled
+
     def _features(self) -> np.ndarray:
         f = self.forest
         n, nb = len(f), len(f.first)
@@ -318,8 +328,10 @@ def train(rows: list[tuple[str, str | None]], known: dict[int, float], part: flo
     """A model whose trees are fitted on the labelled lines of the first ``part`` of the records."""
     shares = Lookup(known)
     rows = rows[: math.ceil(part * len(rows))]
-    titles = title_shapes(readings(rows, shares))
-    read = readings(rows, shares, titles)
+    read = readings(rows, shares)
+    titles = title_shapes(read)
+    for r in read:
+        r.set_titles(titles)
     y = [labels(r) for r in read]
     xs = [r.features[v >= 0] for r, v in zip(read, y, strict=True)]
     ys = np.concatenate([v[v >= 0] for v in y] or [np.zeros(0)])

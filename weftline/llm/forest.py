@@ -29,14 +29,9 @@ _LEAD = np.uint64(0x5851F42D4C957F2D)
 def classes() -> np.ndarray:
     """Class bits of every code point."""
     t = np.zeros(0x110000, dtype=np.uint16)
-    for c in range(0x20000):  # no white space and no decimal digit lies above; letters there are ideographs
-        s = chr(c)
-        if s.isspace():
-            t[c] |= WS
-        elif s.isdecimal():
-            t[c] |= DIGIT
-        if s.isalnum():
-            t[c] |= WORD
+    low = list(map(chr, range(0x20000)))  # no white space and no decimal digit lies above; letters there are ideographs
+    for bit, test in ((WS, str.isspace), (DIGIT, str.isdecimal), (WORD, str.isalnum)):
+        t[: len(low)] |= np.fromiter(map(test, low), dtype=bool, count=len(low)).astype(np.uint16) * np.uint16(bit)
     for bit, chars in ((EDGE, pages._EDGES), (MARK, ".!?。！？．…؟"), (CLOSE, "\"'”’」』）)]】》"), (BAR, pages._BAR_CHARS), (BULLET, "›．•·‧▪※●○◆■*‣»>【["), (AFTER, ")）.．、")):
         for s in chars:
             t[ord(s)] |= bit
@@ -51,7 +46,7 @@ def classes() -> np.ndarray:
 def _folded_codes() -> np.ndarray:
     """What ``fold`` makes of a code point alone; 0 where it makes several of it, or where its neighbours matter."""
     t = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x20000):
+    for c in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0x10000)):  # ideographs and syllables stay as they are
         s = chr(c)
         f = fold(s)
         if len(f) != 1 or unicodedata.combining(s) or unicodedata.combining(f):
@@ -59,8 +54,7 @@ def _folded_codes() -> np.ndarray:
         elif f != s:
             t[c] = ord(f)
     t[0x1100:0x1200] = t[0xA960:0xA980] = t[0xD7B0:0xD800] = 0  # parts of Korean syllables
-    t[0xAC00:0xD7A4] = np.arange(0xAC00, 0xD7A4)
-    t[0x20000:] = 0
+    t[0x10000:] = 0
     return t
 
 

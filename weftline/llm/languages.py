@@ -231,11 +231,12 @@ def smooth(score: np.ndarray) -> np.ndarray:
     if (best == best[0]).all():
         return best  # no other sequence can be likelier
     total, back = score[0] * WEIGHT, []
-    for row in score[1:]:
+    own = np.arange(score.shape[1])
+    for row in score[1:] * WEIGHT:
         stay = total.argmax()
-        from_ = np.where(total >= total[stay] - CHANGE, np.arange(len(total)), stay)
-        back.append(from_)
-        total = np.maximum(total, total[stay] - CHANGE) + row * WEIGHT
+        least = total[stay] - CHANGE
+        back.append(np.where(total >= least, own, stay))
+        total = np.maximum(total, least) + row
     out = [int(total.argmax())]
     for from_ in reversed(back):
         out.append(int(from_[out[-1]]))
@@ -277,26 +278,31 @@ def segments(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type
 
 
 _NO_SPACES = "぀-ヿ㐀-鿿ก-๛"
-#: What ends a part of a line that is pooled by itself: an end mark (before a gap, or beside a character of a script without spaces), or a gap in such a script.
-_CUT = re.compile(
-    rf"(?:[。！？．…]|[.!?](?=[.!?。！？．…\"”’」』）)]*(?:\s|$|[{_NO_SPACES}])))[.!?。！？．…]*[”’\"'」』）)\]]*\s*|(?<=[{_NO_SPACES}])\s+(?=[{_NO_SPACES}A-Za-z])|(?<=[A-Za-z])\s+(?=[{_NO_SPACES}])"
-)
-
-
 _SOLID = re.compile(f"[{_NO_SPACES}]")
-#: The same, in a line without a character of such a script.
-_CUT_SPACED = re.compile("[.!?。！？．…]+[”’\"'」』）)\\]]*(?:\\s+|$)|[。！？．…]+[”’\"'」』）)\\]]*")
+#: Where a part of a line that is pooled by itself may end: marks with what closes after them, and gaps in lines of scripts without spaces.
+_MARKS = re.compile(r"[.!?。！？．…]+[”’\"'」』）)\]]*\s*")
+_MARKS_GAPS = re.compile(r"[\s.!?。！？．…]+[”’\"'」』）)\]]*\s*")
+_FULL = frozenset("。！？．…")
 
 
 def parts_of(unit: str) -> list[int]:
-    """Ends of the parts of a line or block."""
-    ends = [m.end() for m in (_CUT if _SOLID.search(unit) else _CUT_SPACED).finditer(unit) if unit[m.start()] != "." or not _goes_on(unit, m.start(), m.end())]
+    """Ends of the parts of a line or block: after full-width marks, after others before a gap or a script without spaces, and at gaps in such a script."""
+    solid = _SOLID.search(unit) is not None
+    ends = [m.end() for m in (_MARKS_GAPS if solid else _MARKS).finditer(unit) if _parts_at(unit, m[0], m.start(), m.end(), solid)]
     return ends if ends and ends[-1] == len(unit) else [*ends, len(unit)]
 
 
-def _goes_on(unit: str, at: int, end: int) -> bool:
-    """Whether a sentence goes on after a full stop: before a small letter or a digit, or after an abbreviation."""
-    return unit[end : end + 1].islower() or unit[end : end + 1].isdigit() or unit[max(0, at - 12) : at].rpartition(" ")[2].lower() in ABBREVIATIONS
+def _parts_at(unit: str, found: str, at: int, end: int, solid: bool) -> bool:
+    nxt = unit[end : end + 1]
+    if found[0] in " \t\u3000\n" and found.isspace():  # a gap
+        before = unit[at - 1 : at]
+        return bool(_SOLID.match(before) and (_SOLID.match(nxt) or nxt.isalpha()) or before.isalpha() and _SOLID.match(nxt))
+    if not _FULL.isdisjoint(found) or not nxt:
+        return True
+    if not found[-1].isspace() and not (solid and _SOLID.match(nxt)):
+        return False
+    # a sentence goes on before a small letter or a digit, or after an abbreviation
+    return found.strip() != "." or not (nxt.islower() or nxt.isdigit() or unit[max(0, at - 12) : at].rpartition(" ")[2].lower() in ABBREVIATIONS)
 
 
 def pooled(net: BiGru, units: list[str], cut: list[list[int]], most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
