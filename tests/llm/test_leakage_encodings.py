@@ -99,3 +99,21 @@ def test_transformations_outside_the_lists_are_learned_from_twins(spark):
     want = {3000 + i: clean[i][1] for i in range(3)} | {4000 + i: clean[1200 + i][1] for i in range(3)} | {5001: "v říjnu"}
     assert set(got) == {*want, 5000}
     assert {k: got[k] for k in want} == want
+
+
+@pytest.mark.parametrize("runs", [1, 3, 4, 6])
+def test_every_garbled_run_is_undone(runs):
+    clean = "學生事務協調會討論課程尚未定案請於五月三日前送交註冊組辦理"
+    doctor = en.Doctor(set(clean))
+    line = " and then ".join([clean.encode("big5").decode("latin-1")] * runs)
+    assert doctor.mend(line)[0] == " and then ".join([clean] * runs)
+
+
+@pytest.mark.parametrize("block", [1, 2, 2000])
+def test_blocks_do_not_change_what_leaks(spark, block):
+    head = "Read the passage and choose the best answer."
+    words = "river lantern market bridge copper winter garden letter harbour violet".split()
+    body = lambda k: " ".join(words[(k * 3 + j * (k + 1)) % 10] + str(k * j % 7) for j in range(40))
+    items = spark.createDataFrame([(k, f"{head}\n{body(k)}") for k in range(1, 5)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, head + " " + "nothing else here " * 30), (2, "x " + body(2)), (3, body(4)[: len(body(4)) * 3 // 4])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in lk.leaked(docs, items, block=block).collect()) == [(2, 2), (3, 4)]

@@ -77,7 +77,8 @@ def known_wordings(df: DataFrame, text_col: str, total: int | None = None) -> di
             if len(held) > 1:
                 w, inverse = np.unique(w, return_inverse=True)
                 k = np.bincount(inverse, k).astype(np.int64)
-            yield pd.DataFrame({"w": w, "n": k})
+            if len(w):
+                yield pd.DataFrame({"w": w, "n": k})
 
     n = df.count() if total is None else total
     least = max(3, math.ceil(KNOWN * n))
@@ -371,7 +372,8 @@ def furniture_lines(df: DataFrame, id_col: str = "ext_id", text_col: str = "text
             for at, r, keep, bad in model.batches(b["text"].tolist(), b["kind"].tolist()):
                 f = r.forest
                 out = np.flatnonzero(~keep & ~bad[f.doc]) if len(f) else np.zeros(0, np.int64)
-                yield pd.DataFrame({"id": ids[at + f.doc[out]], "line_no": f.no[out].astype(np.int32)})
+                if len(out):
+                    yield pd.DataFrame({"id": ids[at + f.doc[out]], "line_no": f.no[out].astype(np.int32)})
 
     return _picked(df, id_col, text_col, type_col).mapInPandas(judge, "id long, line_no int")
 
