@@ -117,16 +117,22 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 
 
+_REPEATED = rf"""lines AS (
+        SELECT chunk_id, url, category, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no
+        FROM chunks WHERE category IS NOT NULL AND text IS NOT NULL),
+    worded AS (SELECT chunk_id, url, category, line_no, regexp_replace(lower(translate(line, '{_WIDE}', '{_NARROW}')), '[^\p{{L}}]', '', 'g') AS w FROM lines),
+    pages AS (SELECT category, count(DISTINCT url) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category),
+    often AS (SELECT category, w, count(DISTINCT url) AS k FROM worded WHERE w <> '' GROUP BY category, w),
+    repeated AS (SELECT chunk_id, line_no FROM worded JOIN often USING (category, w) JOIN pages USING (category) WHERE k >= 5 AND k >= 0.04 * n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": rf"""
-            WITH lines AS (
-                SELECT chunk_id, url, category, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no
-                FROM chunks WHERE category IS NOT NULL AND text IS NOT NULL),
-            worded AS (SELECT chunk_id, url, category, line_no, regexp_replace(lower(translate(line, '{_WIDE}', '{_NARROW}')), '[^\p{{L}}]', '', 'g') AS w FROM lines),
-            pages AS (SELECT category, count(DISTINCT url) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category),
-            often AS (SELECT category, w, count(DISTINCT url) AS k FROM worded WHERE w <> '' GROUP BY category, w)
-            SELECT chunk_id, line_no FROM worded JOIN often USING (category, w) JOIN pages USING (category) WHERE k >= 5 AND k >= 0.04 * n""",
+        "p1_found": f"WITH {_REPEATED} SELECT chunk_id, line_no FROM repeated",
+        "p1_clean": f"""WITH {_REPEATED}, kept AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM (
+                SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM chunks WHERE text IS NOT NULL)
+            ANTI JOIN repeated USING (chunk_id, line_no) GROUP BY chunk_id)
+            SELECT chunk_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text FROM chunks LEFT JOIN kept USING (chunk_id)""",
         "p2_rejoined": "SELECT chunk_id, text, true AS fits FROM chunks WHERE length(text) > CASE WHEN lower(source_type) = 'pdf' THEN 2048 ELSE 800 END",
         "p8_cover": "SELECT doc_id, length(text) AS chars, true AS fits FROM documents WHERE length(text) > 0",
         "p2_found": "SELECT chunk_id FROM chunks WHERE length(text) > CASE WHEN lower(source_type) = 'pdf' THEN 2048 ELSE 800 END",
