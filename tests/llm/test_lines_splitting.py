@@ -88,6 +88,42 @@ def test_clusters_against_brute_force(spark):
     assert len(got & want) >= 0.9 * len(want) and got <= want and len(want) > 20
 
 
+def shadowed_lines(band):
+    """Two wordings that are not alike but share every band, so that the more frequent one represents the other."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    keys = lambda s: minhash_bands(np.array([*map(ord, s)], dtype=np.uint32), np.array([0]), np.array([len(s)]), rl.SHINGLE, rl.ROWS, band)
+    while True:
+        a = [str(c) for c in rng.choice(letters, 60)]
+        b = [*a]
+        for at in rng.choice(60, 4, replace=False):
+            b[at] = str(rng.choice(letters))
+        a, b = "".join(a), "".join(b)
+        if rl.similarity(a, b) < rl.SIMILAR and (keys(a) == keys(b)).all():
+            return [(i, f"u{i}", "a", a if i < 9 else b) for i in range(15)]
+
+
+def test_a_wording_has_a_cluster_though_another_represents_its_bands(spark, monkeypatch):
+    monkeypatch.setattr(rl, "BANDS", 1)
+    rows = shadowed_lines(1)
+    for exact in (False, True):
+        assert sorted(r.id for r in rl.repeated_lines(chunks(spark, rows), exact=exact).collect()) == [*range(15)]
+
+
+def test_exact_lines_come_from_the_clusters(spark, monkeypatch, tmp_path):
+    seen = []
+    clusters = rl._clusters
+    monkeypatch.setattr(rl, "_clusters", lambda *a: seen.append(clusters(*a)) or seen[-1])
+    names = ["Ada", "Bob", "Cyd", "Dan", "Eve", "Fay"]
+    rows = [(i, f"u{i}", "a", f"Written by Dr. {names[i % 6]} for the main office of the campus\nonly {'abcdefghijkl'[i] * 9}") for i in range(12)]
+    rows += [(20 + i, f"v{i}", "a", "Written by Dr. Ada for the main office of the campus") for i in range(4)]
+    chunks(spark, rows).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = sorted((r.chunk_id, r.line_no) for r in queries.p1_found(spark, str(tmp_path)).collect())
+    assert got == brute(rows) and len(got) == 6  # Ada's line alone is on five pages
+    wordings = {(r.wording, r.rep) for r in seen[0].collect()}
+    assert len({r for w, r in wordings if w != r}) == 1 and sum(w != r for w, r in wordings) == 5  # one cluster of all names
+
+
 def test_bands_find_pairs_at_seven_tenths():
     rng = np.random.default_rng(2)
     letters = np.arange(97, 123, dtype=np.uint32)

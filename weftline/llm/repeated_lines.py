@@ -2,51 +2,106 @@
 
 Numbers, dates, names and marks are masked, the lines of each source are clustered by locality-sensitive hashing of what
 remains, and clusters that occur in many of the source's pages are repeated lines. ``BANDS`` bands of minimum hashes are
-taken over the masked letters; the most frequent wording under a band's key represents it, a wording joins the cluster
-of a representative whose shingles it shares to ``SIMILAR``, and a cluster's pages are those of all its wordings.
+taken over the masked letters, and one of all letters, which equal wordings share for certain; the most frequent wording
+under a band's key represents it (under the last, each wording itself), a wording joins the cluster of a representative
+whose shingles it shares to ``SIMILAR``, and a cluster's pages are those of all its wordings.
 
-Where the definition asks for equal letters (``exact``), one band over the unmasked letters does: equal wordings share it
-for certain, and an exact count of the wordings within the clusters follows.
+Where the definition asks for equal letters (``exact``), the wordings within the repeated clusters are counted by themselves.
+None is lost by that: a wording's own cluster has all its pages.
 
 Nothing is collected: pages are counted in two steps (first the distinct (source, cluster, page), then their number), and
 a wording meets one representative per band, never all others, so a source or a cluster that holds a third of all rows
-is spread by page and no pairs within a group are formed.
+is spread by page and no pairs within a group are formed. Keys with so few lines that all the keys of a representative
+together could not fill enough pages are left out before wordings are compared; this changes no result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, minhash_bands
-from .forest import DIGIT, WORD, forests, spans_hashed
+from .common import codepoints, cut, minhash_bands, mixed
+from .forest import DIGIT, WORD, Forest, classes, forests, spans_hashed
 
 MIN_PAGES, MIN_SHARE = 5, 0.04
 SHINGLE, ROWS, BANDS = 4, 3, 6
 #: Share of shingles two wordings of one cluster have in common.
 SIMILAR = 0.8
+#: Keys of bands that are sent to every task at most; more are joined by a shuffle.
+MOST_KEYS = 100_000
 #: Letters a line must keep, and half of its own, for its names to be masked.
 LEFT = 8
 
-#: Names: after or before a title, and capitalised words within a line; and the months.
-_NAMES = re.compile(
-    r"\b(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|Sr|Sra|Dra)\.? +[^\W\d_]+|[^\W\d_a-zA-Z]{2,4}(?=教授|博士|先生|女士|老師|主任|同學)|[A-Za-zÀ-ÿ.-]+ *(?:教授|博士|先生|女士|老師|主任|同學)"
-    r"|(?<=[^\W\d_,;:)] )[A-ZÀ-Þ][a-zà-ÿ'’]+(?:[ -][A-ZÀ-Þ][a-zà-ÿ'’]+)*"
-    r"|\b(?i:january|february|march|april|may|june|july|august|september|october|november|december)\b"
-)
+_TITLES, _PERSONS = "Dr Prof Mr Mrs Ms Frau Herr Mme Sr Sra Dra".split(), "教授 博士 先生 女士 老師 主任 同學".split()
+_MONTHS = "january february march april may june july august september october november december".split()
+_TITLED = rf"\b(?:{'|'.join(_TITLES)})\.? +[^\W\d_]+"
+_PERSON = rf"[^\W\d_a-zA-Z]{{2,4}}(?={'|'.join(_PERSONS)})|[A-Za-zÀ-ÿ.-]+ *(?:{'|'.join(_PERSONS)})"
+_CAPITALS = r"(?<=[^\W\d_,;:)] )[A-ZÀ-Þ][a-zà-ÿ'’]+(?:[ -][A-ZÀ-Þ][a-zà-ÿ'’]+)*"
+_MONTH = rf"\b(?i:{'|'.join(_MONTHS)})\b"
+#: Names: after or before a title, and capitalised words within a line; and the months. Without what stands before a title; with capitals alone.
+_NAMES = re.compile(f"{_TITLED}|{_PERSON}|{_CAPITALS}|{_MONTH}")
+_NO_PERSON = re.compile(f"{_TITLED}|{_CAPITALS}|{_MONTH}")
+_PLAIN = re.compile(f"(?=[A-ZÀ-Þ])(?:{_TITLED}|{_CAPITALS})")
 
 
-def line_keys(df: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str, near: bool = True) -> DataFrame:
-    """A row per line that holds a letter: ``id, source, page, line_no, wording, bands`` and, if ``near``, ``said``.
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        out.add_word(w)
+    out.make_automaton()
+    return out
 
-    ``page`` is a hash of the page's address (null stays null), ``wording`` of the line's letters; ``said`` are the
-    letters without names, which ``bands`` are taken of (else one band, of all letters). Rows with null source or text
-    give none.
+
+def _letters(f: Forest) -> np.ndarray:
+    return np.flatnonzero(((f.folded_cls & WORD) != 0) & ((f.folded_cls & DIGIT) == 0))
+
+
+def _within(raw: np.ndarray) -> np.ndarray:
+    """Places of capitals within a line that may begin a name."""
+    at = np.flatnonzero(((raw >= 65) & (raw <= 90)) | ((raw >= 0xC0) & (raw <= 0xDE)))
+    at = at[(at > 1) & (at < len(raw) - 1)]
+    at = at[raw[at - 1] == 32]
+    return at[((classes()[raw[at - 2]] & WORD) != 0) & ((raw[at + 1] >= 97) | (raw[at + 1] == 39))]
+
+
+def masked(lines: list[str], letters: np.ndarray) -> dict[int, np.ndarray]:
+    """The letters of those of some lines that may hold names, without them, by place; ``letters`` is their number before.
+
+    A line of little but names is left out. Each line is read by the patterns that can match in it.
+    """
+    joined = "\n".join(lines)
+
+    def of(where: np.ndarray, some: list[str] = lines) -> set[int]:
+        return set(np.searchsorted(np.cumsum([len(x) + 1 for x in some]), np.unique(where), side="right").tolist())
+
+    with_person = of([e for e, _ in _automaton(_PERSONS).iter(joined)])
+    lower = joined.lower()  # may be longer
+    with_month = of([e for e, _ in _automaton(_MONTHS).iter(lower)], lower.split("\n"))
+    plain = of([e for e, _ in _automaton([t + x for t in _TITLES for x in ". "]).iter(joined)]) | of(_within(codepoints(joined)))
+    hit = sorted(with_person | with_month | plain)
+    if not hit:
+        return {}
+    blank = lambda m: " " * len(m[0])
+    bare = Forest(["\n".join((_NAMES if i in with_person else _NO_PERSON if i in with_month else _PLAIN).sub(blank, lines[i]) for i in hit)], [None])
+    kept = _letters(bare)
+    a, z = np.searchsorted(kept, bare.folded_starts), np.searchsorted(kept, bare.folded_ends)
+    codes = bare.folded_codes[kept]
+    return {hit[i]: codes[a[i] : z[i]] for i in np.flatnonzero(z - a >= np.maximum(LEFT, letters[hit] / 2)).tolist()}
+
+
+def line_keys(df: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
+    """A row per line that holds a letter: ``id, source, page, line_no, wording, n, said, b0, b1, ...``.
+
+    ``page`` is a hash of the page's address (null stays null), ``wording`` of the line's letters. Of lines of a source
+    that are equal in a batch the first has their number as ``n``, the letters without names as ``said``, and the bands
+    of these; the others have 0, null and 0. Rows with null source or text give none.
     """
     picked = df.where(F.col(source_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
@@ -55,9 +110,9 @@ def line_keys(df: DataFrame, id_col: str, source_col: str, page_col: str, text_c
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, ids, sources, pages = b["text"].tolist(), b["id"].to_numpy(), b["source"].to_numpy(), b["page"].array
+            salts = mixed(pd.factorize(sources)[0].astype(np.uint64) + np.uint64(1)).view(np.int64)
             for at, f in forests(texts, [None] * len(texts)):
-                letters = lambda g: np.flatnonzero(((g.folded_cls & WORD) != 0) & ((g.folded_cls & DIGIT) == 0))
-                kept = letters(f)
+                kept = _letters(f)
                 begin, end = np.searchsorted(kept, f.folded_starts), np.searchsorted(kept, f.folded_ends)
                 some = np.flatnonzero(end > begin)
                 if not len(some):
@@ -65,24 +120,22 @@ def line_keys(df: DataFrame, id_col: str, source_col: str, page_col: str, text_c
                 place = np.searchsorted(f.full, some)
                 codes = f.folded_codes[kept]
                 doc = f.doc[place]
-                out = {"id": ids[at + doc], "source": sources[at + doc], "page": pages[at + doc], "line_no": f.no[place].astype(np.int32), "wording": spans_hashed(codes, begin, end)[some]}
-                if near:
-                    # every line with its names masked, in the same place; a line of little but names stays as it is
-                    g = next(forests([_NAMES.sub(lambda m: " " * len(m[0]), t) for t in f.texts], [None] * len(f.texts), len(f.raw) + 1))[1]
-                    bare = letters(g)
-                    first, last = np.searchsorted(bare, g.folded_starts)[some], np.searchsorted(bare, g.folded_ends)[some]
-                    masked = g.folded_codes[bare]
-                    pieces = [masked[a:z] if z - a >= max(LEFT, (y - x) / 2) else codes[x:y] for a, z, x, y in zip(first.tolist(), last.tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
-                    out["said"] = [p.tobytes().decode("utf-32-le", "surrogatepass") for p in pieces]
-                    codes = np.concatenate(pieces) if pieces else codes[:0]
-                    last = np.cumsum([len(p) for p in pieces], dtype=np.int64)
-                    out["bands"] = list(minhash_bands(codes, last - [len(p) for p in pieces] if pieces else last, last, SHINGLE, ROWS, BANDS))
-                else:
-                    out["band"] = minhash_bands(codes, begin[some], end[some], SHINGLE, ROWS, 1)[:, 0]
-                yield pd.DataFrame(out)
-
-    schema = "id long, source string, page long, line_no int, wording long, "
-    return picked.mapInPandas(keyed, schema + ("said string, bands array<long>" if near else "band long"))
+                wordings = spans_hashed(codes, begin, end)[some]
+                breaks = np.append(f._starts[1:], len(f.raw)) - 1
+                _, one, count = np.unique(spans_hashed(f.raw, f._starts, breaks)[some] ^ salts[at + doc], return_index=True, return_counts=True)
+                first = some[one]
+                pieces = [codes[x:y] for x, y in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+                for i, piece in masked([f.joined[x:y] for x, y in zip(f._starts[first].tolist(), breaks[first].tolist(), strict=True)], (end - begin)[first]).items():
+                    pieces[i] = piece
+                ends = np.cumsum([len(p) for p in pieces])
+                bands = minhash_bands(np.concatenate(pieces), ends - [len(p) for p in pieces], ends, SHINGLE, ROWS, BANDS)
+                n, said, keys = np.zeros(len(some), dtype=np.int32), np.full(len(some), None, dtype=object), np.zeros((len(some), BANDS), dtype=np.int32)
+                n[one], keys[one] = count, bands.astype(np.int32)
+                said[one] = [p.tobytes().decode("utf-32-le", "surrogatepass") for p in pieces]
+                out = {"id": ids[at + doc], "source": sources[at + doc], "page": pages[at + doc], "line_no": f.no[place].astype(np.int32), "wording": wordings, "n": n, "said": said}
+                yield pd.DataFrame(out | {f"b{k}": keys[:, k] for k in range(BANDS)})
+
+    return picked.mapInPandas(keyed, "id long, source string, page long, line_no int, wording long, n int, said string" + "".join(f", b{k} int" for k in range(BANDS)))
 
 
 def _pages(keys: DataFrame, *by: str) -> DataFrame:
@@ -94,25 +147,40 @@ def _excessive(pages: Column, of: Column, min_pages: int, min_share: float) -> C
     return (pages >= min_pages) & (pages >= min_share * of - 1e-9)
 
 
+@lru_cache(1024)
+def _shingles(s: str) -> frozenset[str]:
+    return frozenset(s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1)))
+
+
 def similarity(a: str, b: str) -> float:
     """Share of the different shingles of two strings that both have."""
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
+    x, y = _shingles(a), _shingles(b)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
-def _clusters(keys: DataFrame) -> DataFrame:
-    """``source, wording, rep``: each wording with the representatives of its bands that it is like; a wording may have several."""
-    words = cut(keys.groupBy("source", "wording").agg(F.count("*").alias("n"), F.first("said").alias("said"), F.first("bands").alias("bands")), "wordings")
-    banded = words.select("source", "wording", "n", "said", F.posexplode("bands").alias("band", "key"))
-    reps = banded.groupBy("source", "band", "key").agg(F.max(F.struct("n", "wording", "said")).alias("r"))
-    pairs = banded.join(reps, ["source", "band", "key"]).select("source", "wording", "said", F.col("r.wording").alias("rep"), F.col("r.said").alias("rep_said"))
-    pairs = pairs.dropDuplicates(["source", "wording", "rep"])
+def _clusters(lines: DataFrame, of: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``source, wording, rep``: each wording with the representatives of its bands that it is like, itself among them.
+
+    Keys whose lines are too few for any cluster to be excessive are left out: a representative has ``BANDS + 1`` of them.
+    """
+    keys = F.array(F.xxhash64(F.lit(-1), "wording"), *(F.xxhash64(F.lit(k), f"b{k}") for k in range(BANDS)))
+    banded = lines.where("n > 0").select("source", "wording", "said", "n", F.explode(keys).alias("key"))
+    most = (BANDS + 1) * F.col("n")
+    likely = banded.groupBy("source", "key").agg(F.sum("n").alias("n")).join(of, "source").where(_excessive(most, F.col("of"), min_pages, min_share))
+    likely = cut(likely.select("source", "key"), "keys")
+    if likely.count() <= MOST_KEYS:  # else both sides are shuffled
+        likely = F.broadcast(likely)
+    some = cut(banded.join(likely, ["source", "key"]).groupBy("source", "key", "wording", "said").agg(F.sum("n").alias("n")), "wordings")
+    reps = some.groupBy("source", "key").agg(F.max(F.struct("n", "wording", "said")).alias("r"))
+    pairs = some.join(reps, ["source", "key"]).select("source", "wording", "said", F.col("r.wording").alias("rep"), F.col("r.said").alias("rep_said")).distinct()
 
     @F.pandas_udf("boolean")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([x == y or similarity(x, y) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return pairs.where(like("said", "rep_said")).select("source", "wording", "rep")
+    same = pairs.where("wording = rep").select("source", "wording", "rep")
+    return same.union(pairs.where("wording <> rep").where(like("said", "rep_said")).select("source", "wording", "rep")).distinct()
 
 
 def repeated_lines(df: DataFrame, id_col: str = "chunk_id", source_col: str = "category", page_col: str = "url", text_col: str = "text", *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, exact: bool = False) -> DataFrame:
@@ -123,7 +191,7 @@ def repeated_lines(df: DataFrame, id_col: str = "chunk_id", source_col: str = "c
     or text: neither counted nor found. Null page: found, but not counted. Repeated rows count once, by page. An empty
     table gives an empty result; other columns are not read.
     """
-    keys = cut(line_keys(df, id_col, source_col, page_col, text_col, not exact), "lines")
+    lines = cut(line_keys(df, id_col, source_col, page_col, text_col), "lines")
     of = df.where(F.col(source_col).isNotNull() & F.col(page_col).isNotNull()).select(F.col(source_col).alias("source"), F.xxhash64(page_col).alias("page"))
     of = of.distinct().groupBy("source").agg(F.count("*").alias("of"))
 
@@ -131,13 +199,12 @@ def repeated_lines(df: DataFrame, id_col: str = "chunk_id", source_col: str = "c
         counted = _pages(rows, "source", *by).where(F.col("pages") >= min_pages).join(of, "source")
         return counted.where(_excessive(F.col("pages"), F.col("of"), min_pages, min_share)).select("source", *by)
 
+    member = cut(_clusters(lines, of, min_pages, min_share), "members")
+    repeated = member.join(hot(member.join(lines.select("source", "wording", "page"), ["source", "wording"]), "rep"), ["source", "rep"], "left_semi")
+    repeated = cut(repeated.select("source", "wording").distinct(), "repeated")
+    found = lines.select("id", "source", "page", "line_no", "wording").join(repeated, ["source", "wording"], "left_semi")
     if exact:
-        found = keys.join(hot(keys, "band"), ["source", "band"], "left_semi")
-        found = found.join(hot(found, "wording"), ["source", "wording"], "left_semi")
-    else:
-        member = cut(_clusters(keys), "members")
-        repeated = member.join(hot(member.join(keys.select("source", "wording", "page"), ["source", "wording"]), "rep"), ["source", "rep"], "left_semi")
-        found = keys.join(repeated.select("source", "wording").distinct(), ["source", "wording"], "left_semi")
+        found = found.join(cut(hot(found, "wording"), "exact"), ["source", "wording"], "left_semi")
     return found.select("id", "line_no")
 
 
