@@ -101,6 +101,24 @@ def test_transformations_outside_the_lists_are_learned_from_twins(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_every_twin_of_a_key_is_compared(spark):
+    """Many clean lines of one key: the twins of the garbled ones are among them, wherever their hashes stand."""
+    rng = np.random.default_rng(5)
+    clean = [(i, "2024-0315 " + " ".join("".join(rng.choice(list("ěčřůďň"), 3)) for _ in range(8)), 1) for i in range(1000)]
+    garbled = [(2000 + i, clean[i][1].encode("cp1250").decode("cp1252"), 1) for i in (7, 311)]
+    df = spark.createDataFrame(clean + garbled, "doc_id long, text string, n int").repartition(3)
+    assert {r.id: r.restored for r in en.mended(df).collect()} == {2007: clean[7][1], 2311: clean[311][1]}
+
+
+def test_every_set_of_transformations_counts(spark, monkeypatch):
+    sets = [([f"v{k}|r{k % 7}", f"w{k}|r1", "koi8-r|utf-8"][: 1 + k % 3], 1 + k % 5) for k in range(40)] + [(["last|one"], 2), (["once|only"], 1)]
+    df = spark.createDataFrame(sets, "options array<string>, count long")
+    want = en.learn(sets)
+    assert ("last", "one") in want and ("once", "only") not in want and en.learn_from(df) == want
+    monkeypatch.setattr(en, "MOST_SETS", 3)
+    assert en.learn_from(df) == want
+
+
 @pytest.mark.parametrize("runs", [1, 3, 4, 6])
 def test_every_garbled_run_is_undone(runs):
     clean = "學生事務協調會討論課程尚未定案請於五月三日前送交註冊組辦理"

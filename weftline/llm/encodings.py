@@ -3,7 +3,7 @@
 Three stages. (1) The document frequency of every non-ASCII character over the whole corpus: right text of any script is
 made of characters that many documents share, garbled text is not. (2) Lines with signs of a wrong decoding are joined
 with clean lines that agree on the text stripped of non-ASCII characters, or on its digits alone (bytes of the double-byte
-encodings may be ASCII letters, never digits), several lines of each kind per key; each pair of near-twins is aligned byte by byte under all
+encodings may be ASCII letters, never digits), all different lines of each kind per key; each pair of near-twins is aligned byte by byte under all
 of Python's encodings, and the transformations (shown as, was really) that turn the clean line into the garbled one are
 counted. (3) The learned transformations, those with most support first, are applied to all suspicious records, and to
 every record if one of them is not among the fixed ones below; a span counts as garbled if undoing one yields plausible
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import codepoints, cut
@@ -42,8 +42,8 @@ TWIN_DIGITS = 6
 TWIN_LETTERS = 24
 #: Keys of garbled lines that are sent to every task at most (8 bytes each).
 MOST_KEYS = 500_000
-#: Different lines of the same digits that are compared, garbled and clean ones each; those with the least hashes.
-TWIN_LINES = 8
+#: Sets of transformations that reach the driver at once at most; of more, the support is added up where they are.
+MOST_SETS = 1000
 #: Pairs of lines that must agree on a transformation outside the fixed lists.
 LEAST_TWINS = 2
 #: Different characters of a garbled line that bear out such a transformation.
@@ -313,6 +313,10 @@ class Doctor:
 _UNKNOWN = "unknown"
 
 
+def _rare(text: str, common: set[str]) -> int:
+    return sum(c > "\x7f" and c not in common for c in text)
+
+
 def alphabet(docs: DataFrame, text_col: str) -> set[str]:
     """Non-ASCII characters that at least ``COMMON_SHARE`` of all documents hold, counted over whole texts.
 
@@ -335,20 +339,22 @@ def alphabet(docs: DataFrame, text_col: str) -> set[str]:
     return {chr(c) for c, n in found.items() if n >= least and not 0xE000 <= c <= 0xF8FF and c != 0xFFFD and not 0x80 <= c < 0xA0}
 
 
+@lru_cache(4096)
+def _forms(line: str, shown: bool) -> dict[bytes, list[str]]:
+    """The bytes of a line in each encoding that has all of it, with the encodings; as a view shows them, or as they are."""
+    one, more = _codecs()
+    out: dict[bytes, list[str]] = {}
+    for name in (*one, *more) if shown else (*more, *one):
+        if raw := encode_view(line, name):
+            out.setdefault(raw, []).append(name)
+    return out
+
+
 def explained(clean: str, garbled: str) -> list[tuple[str, str]]:
     """All transformations that turn the clean line into the garbled one but for one stretch of at most a fifth of its bytes."""
-    one, more = _codecs()
-    shown: dict[bytes, list[str]] = {}
-    for view in (*one, *more):
-        if raw := encode_view(garbled, view):
-            shown.setdefault(raw, []).append(view)
-    real: dict[bytes, list[str]] = {}
-    for name in (*more, *one):
-        if raw := encode_view(clean, name):
-            real.setdefault(raw, []).append(name)
     out = []
-    for a, names in real.items():
-        for b, views in shown.items():
+    for a, names in _forms(clean, False).items():
+        for b, views in _forms(garbled, True).items():
             if a == b or _agree(a, b):
                 out += [(v, r) for v in views for r in names if v != r]
     return out
@@ -356,7 +362,9 @@ def explained(clean: str, garbled: str) -> list[tuple[str, str]]:
 
 def _agree(a: bytes, b: bytes) -> bool:
     short, long = sorted((len(a), len(b)))
-    if short < 0.8 * long:
+    least = int(0.39 * long)
+    # of head and tail, the longer one has two fifths
+    if short < 0.8 * long or (a[:least] != b[:least] and a[len(a) - least :] != b[len(b) - least :]):
         return False
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     front = np.flatnonzero(x[:short] != y[:short])
@@ -368,39 +376,70 @@ def _agree(a: bytes, b: bytes) -> bool:
     return head + tail >= 0.8 * long and 2 * int((same > 127).sum()) > int((x > 127).sum())
 
 
+_ORDER = {c: i for i, c in enumerate(FIXED)}
+
+
+def _best(support: dict[tuple[str, str], int]) -> tuple[str, str]:
+    return min(support, key=lambda c: (-support[c], _ORDER.get(c, len(_ORDER)), c))
+
+
 def learn(counted: Iterable[tuple[list[str], int]]) -> list[tuple[str, str]]:
     """Of the sets of transformations that explain a pair each, with the number of pairs: the fewest that explain all, by support."""
     left = [({tuple(x.split("|")) for x in options}, n) for options, n in counted]
-    order = {c: i for i, c in enumerate(FIXED)}
     out: list[tuple[str, str]] = []
     while left:
         support: Counter = Counter()
         for options, n in left:
             for c in options:
                 support[c] += n
-        best = min(support, key=lambda c: (-support[c], order.get(c, len(order)), c))
-        if best in order or support[best] >= LEAST_TWINS:
+        best = _best(support)
+        if best in _ORDER or support[best] >= LEAST_TWINS:
             out.append(best)
         left = [x for x in left if best not in x[0]]
     return out
 
 
-def _align(clean: str, garbled: str) -> tuple[str, str] | None:
-    """The transformation that turns the clean line into the garbled one, if one does."""
-    best = (0.6, None)
+def learn_from(counted: DataFrame) -> list[tuple[str, str]]:
+    """``learn`` of a table ``(options, count)``. Where there are many sets only the support of each transformation reaches the driver."""
+    few = counted.limit(MOST_SETS + 1).collect()
+    if len(few) <= MOST_SETS:
+        return learn([(r.options, r["count"]) for r in few])
+    out: list[tuple[str, str]] = []
+    while True:
+        rows = counted.select(F.explode("options").alias("c"), "count").groupBy("c").agg(F.sum("count").alias("n")).collect()  # bounded by pairs of encodings
+        support = {tuple(r.c.split("|")): r.n for r in rows}
+        if not support:
+            return out
+        best = _best(support)
+        if best in _ORDER or support[best] >= LEAST_TWINS:
+            out.append(best)
+        counted = counted.where(~F.array_contains("options", "|".join(best)))
+
+
+@lru_cache(1024)
+def _all_shown(clean: str) -> list[tuple[tuple[str, str], str]]:
+    """The line as each fixed transformation shows it."""
+    out = []
     for real in REAL:
         try:
             raw = clean.encode(real)
         except UnicodeEncodeError:
             continue
         for view in (*SINGLE, *DOUBLE):
-            if view == real:
-                continue
-            shown = raw.decode(view, "replace") if view in DOUBLE else "".join(chr(x) if x < 128 else _table(view)[x] for x in raw)
-            pair = SequenceMatcher(None, shown, garbled, autojunk=False)
-            # the quick ratios are never below the ratio itself
-            if pair.real_quick_ratio() > best[0] and pair.quick_ratio() > best[0] and (r := pair.ratio()) > best[0]:
-                best = (r, (view, real))
+            if view != real:
+                out.append(((view, real), raw.decode(view, "replace") if view in DOUBLE else "".join(chr(x) if x < 128 else _table(view)[x] for x in raw)))
+    return out
+
+
+def _align(clean: str, garbled: str) -> tuple[str, str] | None:
+    """The transformation that turns the clean line into the garbled one, if one does."""
+    best = (0.6, None)
+    pair = SequenceMatcher(None, "", garbled, autojunk=False)
+    for chain, shown in _all_shown(clean):
+        pair.set_seq1(shown)
+        # the quick ratios are never below the ratio itself
+        if pair.real_quick_ratio() > best[0] and pair.quick_ratio() > best[0] and (r := pair.ratio()) > best[0]:
+            best = (r, chain)
     return best[1]
 
 
@@ -471,27 +510,32 @@ def mended(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # records with signs of a wrong decoding, and of the others the lines with rare characters
     odd = cut(picked.mapInPandas(suspect, "id long, text string, sure boolean"), "suspects")
     suspects = odd.where("sure").select("id", "text")
-    def some(df: DataFrame, name: str) -> DataFrame:
-        """Up to ``TWIN_LINES`` different lines per skeleton, so that no group of copies multiplies."""
-        first = Window.partitionBy("skeleton").orderBy(F.xxhash64("line"), "line")
-        return df.select("skeleton", "line").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= TWIN_LINES).select("skeleton", F.col("line").alias(name))
 
-    theirs = cut(some(keyed_lines(odd), "garbled"), "garbled")
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines with rare characters or found garbled; no other can be the garbled one of a pair."""
+        doctor = Doctor(common)
+        for b in batches:
+            rare = [_rare(x, common) for x in b["line"]]
+            sure = [doctor.mend(x)[2] for x in b["line"]]
+            yield b.assign(rare=rare, sure=sure)[[r > 0 or s for r, s in zip(rare, sure, strict=True)]]
+
+    lines = keyed_lines(odd).select("skeleton", "line").distinct()
+    theirs = cut(lines.mapInPandas(telling, "skeleton long, line string, rare int, sure boolean").withColumnRenamed("line", "garbled"), "garbled")
     keys = theirs.select("skeleton").distinct()
     if keys.count() <= MOST_KEYS:
         ours = keyed_lines(picked, np.sort(np.array([r.skeleton for r in keys.collect()], dtype=np.int64)))
     else:  # too many to send: the lines are shuffled by their keys
         ours = keyed_lines(picked).join(keys, "skeleton", "left_semi")
     ours = ours.join(suspects.select("id"), "id", "left_anti")
-    twins = some(ours, "clean").join(theirs, "skeleton").where("clean <> garbled").select("clean", "garbled").distinct()
+    ours = ours.select("skeleton", F.col("line").alias("clean")).distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    twins = ours.join(theirs, "skeleton").where("clean <> garbled").select("clean", "garbled", "rare", "sure").repartition(parts, "clean", "garbled").distinct()
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rare = lambda t: sum(c > "\x7f" and c not in common for c in t)
-        doctor = Doctor(common)
         for b in batches:
             got = []
-            for clean, garbled in zip(b["clean"], b["garbled"], strict=True):
-                if rare(garbled) <= rare(clean) and not doctor.mend(garbled)[2]:
+            for clean, garbled, rare, sure in zip(b["clean"], b["garbled"], b["rare"], b["sure"], strict=True):
+                if not sure and rare <= _rare(clean, common):
                     continue
                 options = explained(clean, garbled)
                 fixed = [c for c in options if c in FIXED] or ([c] if not options and (c := _align(clean, garbled)) else [])
@@ -501,8 +545,7 @@ def mended(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     got.append((sorted({"|".join(c) for c in fixed or options}),))
             yield pd.DataFrame(got, columns=["options"])
 
-    counted = twins.mapInPandas(infer, "options array<string>").groupBy("options").count().orderBy(F.desc("count"), "options").limit(1000).collect()
-    learned = learn([(r.options, r["count"]) for r in counted])
+    learned = learn_from(cut(twins.mapInPandas(infer, "options array<string>").groupBy("options").count(), "options"))
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doctor = Doctor(common, learned)
