@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -205,6 +207,41 @@ def test_aligned_table(spark, table):
     assert all(r.id_1 < r.id_2 for r in rows)
 
 
+def test_translation_tables_read_every_version_pair(spark):
+    class Lines:  # each line is a sentence
+        def sentences(self, some):
+            return [[(m.start(), m.end()) for m in re.finditer(r"[^\n]+", t)] for t, _ in some]
+
+    # the words of a page stand on three pages only: a table fitted on some of the pages has no translation for the others
+    rng = np.random.default_rng(11)
+    han, n = [chr(0x4E00 + i) for i in rng.permutation(9000)], 1500
+    said, rows = [], []
+    for i in range(n):
+        z, e, x = "".join(han[i // 3 * 8 : i // 3 * 8 + 8]), f"thing{chr(97 + i // 3 % 26)}{chr(97 + i // 78)} makes", rng.integers(100, 9999)
+        said.append(([f"{z}有{x}人", z], [f"{e} {x} men", e]))
+        rows += [(2 * i + k, f"https://a.org/{lang}/{i}", "\n".join(said[-1][k])) for k, lang in enumerate(("zh", "en"))]
+    forth, back = al.fit(said)
+    want = {(2 * i, j and len(z[0]) + 1, 2 * i + 1, k and len(e[0]) + 1) for i, (z, e) in enumerate(said) for j, k in al.align(z, e, forth, back)}
+    assert sum(r[1] > 0 and r[3] > 0 for r in want) > 0.9 * n
+    df = spark.createDataFrame(rows, "ext_id long, url string, text string").selectExpr("*", "'html' AS source_type")
+    assert {tuple(r) for r in al.aligned(df, model=Lines()).collect()} == want
+
+
+def test_translation_tables_are_those_of_fitting_in_memory(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [[f"{c}{i}x" for i in map(chr, range(97, 117))] for c in "ab"]
+    some = [(" ".join([*rng.choice(words[0], 6), "#3"]), " ".join([*rng.choice(words[1], 5), "bax", "bax", "#3"])) for _ in range(300)] + [("", "bbx"), ("#1", "bcx b"), ("aax", "")]
+    df = spark.createDataFrame(some, "z string, e string")
+    pairs = [(z.split(), e.split()) for z, e in some]
+    want = al.fit_table(pairs), al.fit_table([(e, z) for z, e in pairs])
+    for block, d in ((al.BLOCK, df), (400, df.repartition(7))):  # the second deals words to several rows
+        monkeypatch.setattr(al, "BLOCK", block)
+        for got, w in zip(al.fitted(d), want, strict=True):
+            assert got.background == w.background and {v: x.keys() for v, x in got.p.items()} == {v: x.keys() for v, x in w.p.items()}
+            assert all(abs(p - w.p[v][k]) < 1e-9 for v, x in got.p.items() for k, p in x.items())
+    assert al.fitted(df.limit(0)) == (al.Table({}, {}), al.Table({}, {}))
+
+
 def test_boosting_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))

@@ -6,8 +6,9 @@ reach every other, so reordering is decoded too. The model is run in both direct
 it and the sentences' own likelihood ratio bears it out.
 
 Emissions come from a word translation table (an expectation-maximisation model over words of one and two-character
-pieces of the other language), fitted on a bounded sample of version pairs whose sentences share rare numbers, and from
-numbers, brought to one form: years of either calendar, months, hours of either clock.
+pieces of the other language), fitted on the sentences of all version pairs that share rare numbers, then on all that this
+table aligns, and from numbers, brought to one form: years of either calendar, months, hours of either clock. The executors
+fit the table: all sentences with a word are in one row, so counts stay there and only totals of words are exchanged.
 
 Versions are found by their urls less the stated language. Copies of a version are aligned once, through their class.
 The versions of a page meet in a join of pairs; no group of pages is gathered in one task.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import languages as lg
-from .common import cut
+from .common import cut, hash64, release
 
-#: Version pairs the translation tables are fitted on, about: those with the least hashes.
-SAMPLE = 500
+#: Pairs of words a row of the tables' fitting holds, about; a word that has more is dealt to several rows.
+BLOCK = 4_000_000
+#: Rounds of expectation-maximisation; least probability of a translation that is kept after them.
+ROUNDS, LIKELY = 6, 0.03
 #: Least share of the log-likelihood ratio a perfect translation would have: where numbers agree, where one sentence has none, where they disagree.
 AGREED, WORDS, DISAGREED = 0.36, 0.42, 0.6
 #: Least ratio of a pair the tables are fitted on again.
@@ -88,10 +91,10 @@ class Table:
 
     def ratios(self, sources: list[list[str]], targets: list[list[str]]) -> np.ndarray:
         """Log-likelihood ratio of each target against noise, for each source."""
-        return self.single_and_span(sources, targets)[0]
+        return self.single_and_span(sources, targets, spans=False)[0]
 
-    def single_and_span(self, sources: list[list[str]], targets: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ratios for each source, and for each source together with the next."""
+    def single_and_span(self, sources: list[list[str]], targets: list[list[str]], spans: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ratios for each source, and for each source together with the next (none without ``spans``)."""
         where: dict[str, int] = {}
         flat = [where.setdefault(w, len(where)) for t in targets for w in t]
         words = list(where)
@@ -137,7 +140,7 @@ class Table:
                 a = z
             return out
 
-        return total(q), total(np.maximum(q[:-1], q[1:]))
+        return total(q), total(np.maximum(q[:-1], q[1:]) if spans else q[:0])
 
     def perfect(self, target: list[str]) -> float:
         """The ratio of a target every word of which is well translated."""
@@ -145,8 +148,8 @@ class Table:
         return max(total, 1e-6) / math.sqrt(1 + len(target) / 12)
 
 
-def fit_table(pairs: list[tuple[list[str], list[str]]], rounds: int = 6) -> Table:
-    """Expectation-maximisation over sentence pairs; numbers are left to their own rule."""
+def fit_table(pairs: list[tuple[list[str], list[str]]], rounds: int = ROUNDS) -> Table:
+    """Expectation-maximisation over sentence pairs in memory; numbers are left to their own rule. ``fitted`` does the same over a table."""
     count = Counter(w for _, t in pairs for w in t if w[0] != "#")
     total = sum(count.values()) or 1
     back = {w: n / total for w, n in count.items()}
@@ -176,7 +179,7 @@ def fit_table(pairs: list[tuple[list[str], list[str]]], rounds: int = 6) -> Tabl
         prob = got / np.bincount(pv, got, minlength=len(vs))[pv]
     names_v, names_w = list(vs), list(ws)
     p: dict[str, dict[str, float]] = defaultdict(dict)
-    for k in np.flatnonzero(prob > 0.03):
+    for k in np.flatnonzero(prob > LIKELY):
         p[names_v[pv[k]]][names_w[pair[k] % len(ws)]] = float(prob[k])
     return Table(dict(p), back)
 
@@ -252,7 +255,11 @@ def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
 
 def align(a: list[str], b: list[str], forth: Table, backward: Table) -> list[tuple[int, int]]:
     """Pairs ``(i, j)`` of corresponding sentences of two versions."""
-    ta, tb = [tokens(s) for s in a], [tokens(s) for s in b]
+    return align_tokens([tokens(s) for s in a], [tokens(s) for s in b], forth, backward)
+
+
+def align_tokens(ta: list[list[str]], tb: list[list[str]], forth: Table, backward: Table) -> list[tuple[int, int]]:
+    """``align`` of sentences as their tokens."""
     if not ta or not tb:
         return []
     r, r2 = forth.single_and_span(ta, tb)
@@ -287,7 +294,10 @@ _QUOTES = str.maketrans("“”‘’–—…", "\"\"''--.")
 
 
 def versions(df: DataFrame, id_col: str, text_col: str, type_col: str, url_col: str, model: lg.LanguageModel) -> DataFrame:
-    """``id, key, side, class, starts, sentences`` of every record that shares its url, less the language, with another."""
+    """``id, key, side, class, starts, sentences`` of every record that shares its url, less the language, with another.
+
+    A sentence is its tokens with blanks between them; records of one class have equal ones at equal places.
+    """
     @F.pandas_udf("string")
     def key(urls: pd.Series) -> pd.Series:
         return urls.map(lambda u: lg.without_language(u))
@@ -302,7 +312,7 @@ def versions(df: DataFrame, id_col: str, text_col: str, type_col: str, url_col:
             for i, k, t, spans in zip(b["id"], b["key"], b["text"], model.sentences(list(zip(b["text"], b["kind"], strict=True))), strict=True):
                 found = [t[a:z] for a, z in spans]
                 if side := side_of(found):
-                    rows.append((i, k, side, [a for a, _ in spans], found))
+                    rows.append((i, k, side, [a for a, _ in spans], [" ".join(tokens(s)) for s in found]))
             yield pd.DataFrame(rows, columns=["id", "key", "side", "starts", "sentences"])
 
     out = some.mapInPandas(read, "id long, key string, side string, starts array<int>, sentences array<string>")
@@ -321,18 +331,13 @@ def aligned(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_
     side = lambda d, s, n: d.where(F.col("side") == s).drop("side").select("key", *(F.col(c).alias(c + n) for c in d.columns if c not in ("key", "side")))
     pairs = cut(side(one, "zh", "_z").join(side(one, "en", "_e"), "key"), "pairs")
 
-    total = pairs.count()
-    share = min(1.0, 1.1 * SAMPLE / max(1, total))
-    h = F.pmod(F.xxhash64("key", "class_z", "class_e"), F.lit(1 << 40))
-    picked = pairs.where(h < F.lit(int(share * (1 << 40)))).select(h.alias("_h"), "sentences_z", "sentences_e")
-    some = [(r[1], r[2]) for r in picked.orderBy("_h", "sentences_z").limit(2 * SAMPLE).collect()]
-    forth, backward = fit([(list(r[0]), list(r[1])) for r in some])
+    forth, backward = fit_pairs(pairs.select("sentences_z", "sentences_e"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, cz, ce, sz, se, z, e in zip(b["key"], b["class_z"], b["class_e"], b["starts_z"], b["starts_e"], b["sentences_z"], b["sentences_e"], strict=True):
-                rows += [(k, cz, ce, int(sz[i]), int(se[j])) for i, j in align(list(z), list(e), forth, backward)]
+                rows += [(k, cz, ce, int(sz[i]), int(se[j])) for i, j in align_tokens(_split(z), _split(e), forth, backward)]
             yield pd.DataFrame(rows, columns=["key", "class_z", "class_e", "start_z", "start_e"])
 
     found = pairs.mapInPandas(match, "key string, class_z long, class_e long, start_z int, start_e int")
@@ -344,14 +349,200 @@ def aligned(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_
 
 
 def fit(pairs: list[tuple[list[str], list[str]]]) -> tuple[Table, Table]:
-    """Translation tables of both directions, from anchored sentences, then once more from aligned ones."""
+    """Translation tables of both directions, from anchored sentences, then once more from aligned ones; of pairs in memory."""
     tok = [([tokens(s) for s in a], [tokens(s) for s in b]) for a, b in pairs]
     anchors = [(a[i], b[j]) for a, b in tok for i, j in anchored(a, b)]
     forth, backward = fit_table(anchors), fit_table([(t, s) for s, t in anchors])
-    again = []
-    for a, b in tok:
-        r, q = forth.ratios(a, b), backward.ratios(b, a)
-        if r.size:
-            both = (r + q.T) / 2
-            again += [(a[i], b[int(both[i].argmax())]) for i in range(len(a)) if both[i].max() > LEAST and both[:, int(both[i].argmax())].argmax() == i]
+    again = [(a[i], b[j]) for a, b in tok for i, j in mutual(a, b, forth, backward)]
     return (fit_table(again), fit_table([(t, s) for s, t in again])) if len(again) > len(anchors) // 4 else (forth, backward)
+
+
+def mutual(a: list[list[str]], b: list[list[str]], forth: Table, backward: Table) -> list[tuple[int, int]]:
+    """Sentence pairs that are each other's best by the mean of both ratios, if that is high enough."""
+    both = (forth.ratios(a, b) + backward.ratios(b, a).T) / 2
+    if not both.size:
+        return []
+    best, back = both.argmax(axis=1), both.argmax(axis=0)
+    return [(i, int(j)) for i, j in enumerate(best) if both[i, j] > LEAST and back[j] == i]
+
+
+def _split(sentences: Iterable[str]) -> list[list[str]]:
+    return [s.split() for s in sentences]
+
+
+def fit_pairs(pairs: DataFrame) -> tuple[Table, Table]:
+    """``fit`` over all rows of ``sentences_z, sentences_e`` (tokens with blanks between them), in the executors."""
+    spark = pairs.sparkSession
+
+    def through(which: Callable[[list[list[str]], list[list[str]]], list[tuple[int, int]]]) -> DataFrame:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(z[i], e[j]) for z, e in zip(b["sentences_z"], b["sentences_e"], strict=True) for i, j in which(_split(z), _split(e))], columns=["z", "e"])
+
+        return cut(pairs.mapInPandas(each, "z string, e string"), "anchors")
+
+    anchors = through(anchored)
+    forth, backward = fitted(anchors)
+    again = through(lambda a, b: mutual(a, b, forth, backward))
+    if again.count() > anchors.count() // 4:
+        forth, backward = fitted(again)
+    release(spark, slice(-2, None))
+    return forth, backward
+
+
+def _blocks(work: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its block, by the pairs it has, and of each block the number of its parts: one, or several of a word by itself."""
+    block, parts, room = [], [], 0
+    for n in work:
+        if n > room:
+            parts.append(-(-n // BLOCK))
+            room = BLOCK if n <= BLOCK else 0
+        room -= min(n, room)
+        block.append(len(parts) - 1)
+    return np.array(block, dtype=np.int64), np.array(parts, dtype=np.int64)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each start, so many places from there on."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _narrow(most: int) -> type:
+    return np.uint16 if most <= 1 << 16 else np.int32
+
+
+def _expected(v: int, w: int, n_s: np.ndarray, s: np.ndarray, n_t: np.ndarray, t: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of a row's pairs of words, and the pairs as ``source * w + target``; ``weigh`` gives their probabilities.
+
+    ``s, t``: places of the sources and targets of each sentence pair, ``n_s, n_t`` of them; ``v, w``: how many there are.
+    """
+    of = np.repeat(np.arange(len(n_s)), n_t)
+    size = n_s[of]
+    pair = s[_ranges((np.cumsum(n_s) - n_s)[of], size)].astype(np.int64) * w + np.repeat(t, size)
+    if v * w <= 2 * len(pair):
+        keys, at = np.arange(v * w), pair
+    else:
+        keys, at = np.unique(pair, return_inverse=True)
+    if weigh is None:
+        q = np.repeat(1 / size, size)
+    else:
+        q = weigh(keys)[at]
+        q /= np.repeat(np.add.reduceat(q, np.cumsum(size) - size), size)
+    return np.bincount(at, q, minlength=len(keys)), keys
+
+
+_ROW = "d int, block int, part int, word int, vs binary, ws binary, n_s binary, s binary, n_t binary, t binary, c binary, v array<int>, z array<double>"
+
+
+def fitted(found: DataFrame) -> tuple[Table, Table]:
+    """``fit_table`` from z to e and from e to z over all rows of ``z, e``.
+
+    Rows hold blocks of words with all sentences that have them, so all counts of a translation are in its row; a word of
+    more than ``BLOCK`` pairs is dealt to several rows, and its counts are added up between rounds. The driver holds what
+    grows with the vocabulary: words, the total of each, the likely translations, and the counts of words so dealt.
+    Sums are taken in an order of the sentences' own, so the layout changes nothing.
+    """
+    spark = found.sparkSession
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, work = (Counter(), Counter()), (Counter(), Counter())
+        for b in batches:
+            for pair in zip(b["z"], b["e"], strict=True):
+                words = [[w for w in x.split() if w[0] != "#"] for x in pair]
+                kinds = [set(x) for x in words]
+                for k in (0, 1):
+                    n[k].update(words[k])
+                    for w in kinds[k]:
+                        work[k][w] += len(kinds[1 - k])
+        yield pd.DataFrame([(k, w, c, work[k][w]) for k in (0, 1) for w, c in n[k].items()], columns=["k", "w", "n", "work"])
+
+    words: tuple[list, list] = ([], [])
+    for r in sorted(found.mapInPandas(counted, "k int, w string, n long, work long").groupBy("k", "w").agg(F.sum("n").alias("n"), F.sum("work").alias("work")).collect()):
+        words[r.k].append(r)
+    totals = [sum(r.n for r in x) for x in words]
+    back = [{r.w: r.n / totals[k] for r in x} for k, x in enumerate(words)]
+    if not any(r.work for r in words[0]):
+        return Table({}, back[1]), Table({}, back[0])
+    ids = [{r.w: i for i, r in enumerate(x)} for x in words]
+    block, parts = zip(*(_blocks([r.work for r in words[1 - d]]) for d in (0, 1)), strict=True)
+    wide = [_narrow(len(x)) for x in words]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            key = np.array([hash64(f"{z}\t{e}") for z, e in zip(b["z"], b["e"], strict=True)], dtype=np.int64)
+            each = [[sorted({ids[k][w] for w in x.split() if w[0] != "#"}) for x in b[c]] for k, c in enumerate("ze")]
+            size = [np.array([len(x) for x in some], dtype=np.int64) for some in each]
+            flat = [np.array([i for x in some for i in x], dtype=np.int64) for some in each]
+            rows = []
+            for d in (0, 1):
+                of = np.repeat(np.arange(len(key)), size[1 - d])
+                has = size[d][of] > 0
+                of, t = of[has], flat[1 - d][has]
+                where = block[d][t]
+                part = key[of] % np.maximum(parts[d][where], 1)
+                order = np.lexsort((of, part, where))
+                of, t, where, part = of[order], t[order], where[order], part[order]
+                edges = np.flatnonzero(np.r_[True, (np.diff(where) != 0) | (np.diff(part) != 0)]) if len(of) else np.zeros(0, dtype=np.int64)
+                first = np.cumsum(size[d]) - size[d]
+                for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=False):
+                    u, n_t = np.unique(of[a:z], return_counts=True)
+                    s = flat[d][_ranges(first[u], size[d][u])]
+                    rows.append((d, int(where[a]), int(part[a]), key[u].tobytes(), size[d][u].astype(np.int32).tobytes(), s.astype(wide[d]).tobytes(), n_t.astype(np.int32).tobytes(), t[a:z].astype(wide[1 - d]).tobytes()))
+            yield pd.DataFrame(rows, columns=["d", "block", "part", "key", "n_s", "s", "n_t", "t"])
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        d, k, part = (int(b[c].iloc[0]) for c in ("d", "block", "part"))
+        read = lambda c, kind: np.frombuffer(b"".join(b[c]), dtype=kind)
+        key, n_s, n_t = read("key", np.int64), read("n_s", np.int32).astype(np.int64), read("n_t", np.int32).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        vs, s = np.unique(read("s", wide[d])[_ranges((np.cumsum(n_s) - n_s)[order], n_s[order])], return_inverse=True)
+        ws, t = np.unique(read("t", wide[1 - d])[_ranges((np.cumsum(n_t) - n_t)[order], n_t[order])], return_inverse=True)
+        word = int(ws[0]) if parts[d][k] > 1 else -1
+        row = (d, k, part, word, vs.astype(np.int32), ws.astype(np.int32), n_s[order].astype(np.int32), s.astype(_narrow(len(vs))), n_t[order].astype(np.int32), t.astype(_narrow(len(ws))))
+        return pd.DataFrame([(*row[:4], *(x.tobytes() for x in row[4:]), None, None, None)], columns=[x.split()[0] for x in _ROW.split(", ")])
+
+    rows = cut(found.mapInPandas(spread, "d int, block int, part int, key binary, n_s binary, s binary, n_t binary, t binary").groupBy("d", "block", "part").applyInPandas(gather, _ROW), "em")
+    total: list[np.ndarray] = []  # of each direction and source, after each round
+    dealt: dict[tuple[int, int], np.ndarray] = {}
+
+    def probabilities(d: int, word: int, vs: np.ndarray, w: int, c: bytes) -> Callable[[np.ndarray], np.ndarray]:
+        """Of pairs of a row, after the last round."""
+        def weigh(keys: np.ndarray) -> np.ndarray:
+            source = vs[keys // w]
+            return (dealt[d, word][source] if word >= 0 else np.frombuffer(c)) / np.maximum(total[d][source], 1e-300)
+
+        return weigh
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                vs, ws, n_s, n_t = (np.frombuffer(x, dtype=np.int32) for x in (r.vs, r.ws, r.n_s, r.n_t))
+                s, t = np.frombuffer(r.s, dtype=_narrow(len(vs))), np.frombuffer(r.t, dtype=_narrow(len(ws)))
+                c, keys = _expected(len(vs), len(ws), n_s, s, n_t, t, probabilities(r.d, r.word, vs, len(ws), r.c) if total else None)
+                out.append((*r[:10], c.tobytes(), vs, np.bincount(keys // len(ws), c, minlength=len(vs))))
+            yield pd.DataFrame(out, columns=b.columns)
+
+    for _ in range(ROUNDS):
+        rows = cut(rows.mapInPandas(turn, _ROW), "em")
+        release(spark, slice(-2, -1))
+        each = rows.select("d", "word", "block", "part", F.explode(F.arrays_zip("v", "z")).alias("x")).select("d", "word", F.col("x.v").alias("v"), F.struct("block", "part", F.col("x.z").alias("z")).alias("x"))
+        sums = each.groupBy("d", "word", "v").agg(F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda a, x: a + x["z"]).alias("z")).toPandas().sort_values(["d", "word", "v"])
+        total = [np.bincount(x["v"], x["z"], minlength=len(words[d])) for d in (0, 1) for x in [sums[sums["d"] == d]]]
+        dealt = {k: np.bincount(x["v"], x["z"], minlength=len(words[k[0]])) for k, x in sums[sums["word"] >= 0].groupby(["d", "word"])}
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                vs, ws = np.frombuffer(r.vs, dtype=np.int32), np.frombuffer(r.ws, dtype=np.int32)
+                n_s, n_t = np.frombuffer(r.n_s, dtype=np.int32), np.frombuffer(r.n_t, dtype=np.int32)
+                _, keys = _expected(len(vs), len(ws), n_s, np.frombuffer(r.s, dtype=_narrow(len(vs))), n_t, np.frombuffer(r.t, dtype=_narrow(len(ws))), None)
+                p = probabilities(r.d, r.word, vs, len(ws), r.c)(keys)
+                k = np.flatnonzero(p > LIKELY)
+                yield pd.DataFrame({"d": r.d, "v": vs[keys[k] // len(ws)], "w": ws[keys[k] % len(ws)], "p": p[k]})
+
+    tables: list[dict[str, dict[str, float]]] = [{}, {}]
+    for r in sorted(rows.mapInPandas(likely, "d int, v int, w int, p double").collect()):
+        tables[r.d].setdefault(words[r.d][r.v].w, {})[words[1 - r.d][r.w].w] = r.p
+    release(spark, slice(-1, None))
+    return Table(tables[0], back[1]), Table(tables[1], back[0])
