@@ -20,7 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,9 @@ def tokens(sentence: str) -> list[str]:
     """Numbers in one form (``#``), words, and pieces of one script without spaces (two characters, overlapping)."""
     out: list[str] = []
     for m in _TOKEN.finditer(sentence.replace("\n", "" if re.search(f"[{_HAN}]", sentence) else " ").lower()):
-        kind = m.lastgroup if m["hour"] is None else "hour"
+        kind = m.lastgroup
+        if kind not in ("han", "word") and m["hour"] is not None:
+            kind = "hour"
         if kind == "roc":
             v = int(m["roc"])
             out.append(f"#{v + 1911 if v < 200 else v}")
@@ -74,10 +76,9 @@ def tokens(sentence: str) -> list[str]:
             out += [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s]
         else:
             out.append(m[0])
-    return [re.sub(r"^#0+(?=\d)", "#", t) for t in out]
+    return [re.sub(r"^#0+(?=\d)", "#", t) if t.startswith("#0") else t for t in out]
 
 
-_EMPTY: dict[str, float] = {}
 #: Numbers a matrix of a document may hold at once.
 CELLS = 4_000_000
 
@@ -88,6 +89,26 @@ class Table:
 
     p: dict[str, dict[str, float]]
     background: dict[str, float]
+    _arrays: tuple | None = field(default=None, init=False, repr=False, compare=False)
+    _worth: dict[str, float] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def _known(self, sources: list[list[str]], where: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each translation of a source's word that is in ``where``: place of the source, place there, probability."""
+        if self._arrays is None:  # translations of all words behind each other
+            names = {w: k for k, w in enumerate(dict.fromkeys(w for d in self.p.values() for w in d))}
+            n = np.array([*map(len, self.p.values()), 0], dtype=np.int64)
+            ids = np.array([names[w] for d in self.p.values() for w in d], dtype=np.int64)
+            self._arrays = {v: i for i, v in enumerate(self.p)}, names, n, np.cumsum(n) - n, ids, np.array([p for d in self.p.values() for p in d.values()]), np.full(len(names), -1)
+        rows, names, n, first, ids, p, place = self._arrays
+        row = np.array([rows.get(v, -1) for s in sources for v in s], dtype=np.int64)  # the last has none
+        cells = _ranges(first[row], n[row])
+        of = np.repeat(np.repeat(np.arange(len(sources)), [len(s) for s in sources]), n[row])
+        here = np.array([(names[w], k) for w, k in where.items() if w in names], dtype=np.int64).reshape(-1, 2)
+        place[here[:, 0]] = here[:, 1]
+        k = place[ids[cells]]
+        place[here[:, 0]] = -1
+        some = np.flatnonzero(k >= 0)
+        return of[some], k[some], p[cells[some]]
 
     def ratios(self, sources: list[list[str]], targets: list[list[str]]) -> np.ndarray:
         """Log-likelihood ratio of each target against noise, for each source."""
@@ -99,24 +120,12 @@ class Table:
         flat = [where.setdefault(w, len(where)) for t in targets for w in t]
         words = list(where)
         q = np.zeros((len(sources), len(words)))
-        for i, s in enumerate(sources):
-            row: dict[int, float] = {}
-            names = []
-            for v in s:
-                if v[0] == "#":
-                    if (k := where.get(v)) is not None:
-                        row[k] = KEPT
-                    continue
-                if v.isascii() and (k := where.get(v)) is not None:
-                    names.append(k)
-                for w, p in self.p.get(v, _EMPTY).items():
-                    k = where.get(w)
-                    if k is not None and p > row.get(k, 0.0):
-                        row[k] = p
-            for k in names:
-                row.setdefault(k, KEPT)
-            if row:
-                q[i, list(row)] = list(row.values())
+        at, k, p = self._known(sources, where)
+        np.maximum.at(q.reshape(-1), at * len(words) + k, p)
+        kept = [(i, where[v]) for i, s in enumerate(sources) for v in s if v in where and (v[0] == "#" or v.isascii())]
+        if kept:
+            i, k = np.array(kept).T
+            q[i, k] = np.where(q[i, k] > 0, q[i, k], KEPT)
         number = np.array([w[0] == "#" for w in words])
         ground = np.array([NUMBER if w[0] == "#" else max(self.background.get(w, NUMBER), 1e-5) for w in words])
         miss = math.log(1 - TRUST) * np.where(number, 1.0, 0.35)
@@ -144,7 +153,10 @@ class Table:
 
     def perfect(self, target: list[str]) -> float:
         """The ratio of a target every word of which is well translated."""
-        total = sum(math.log(1 - TRUST + TRUST * (KEPT if w[0] == "#" else 0.5) / max(NUMBER if w[0] == "#" else self.background.get(w, NUMBER), 1e-5)) for w in target)
+        for w in target:
+            if w not in self._worth:
+                self._worth[w] = math.log(1 - TRUST + TRUST * (KEPT if w[0] == "#" else 0.5) / max(NUMBER if w[0] == "#" else self.background.get(w, NUMBER), 1e-5))
+        total = sum(self._worth[w] for w in target)
         return max(total, 1e-6) / math.sqrt(1 + len(target) / 12)
 
 
@@ -414,21 +426,31 @@ def _narrow(most: int) -> type:
 def _expected(v: int, w: int, n_s: np.ndarray, s: np.ndarray, n_t: np.ndarray, t: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Expected counts of a row's pairs of words, and the pairs as ``source * w + target``; ``weigh`` gives their probabilities.
 
-    ``s, t``: places of the sources and targets of each sentence pair, ``n_s, n_t`` of them; ``v, w``: how many there are.
+    ``s, t``: places of the sources and targets of each sentence pair, ``n_s, n_t`` of them, with ``n_s`` ascending; ``v, w``: how
+    many there are. Sentences of one length are read as a matrix.
     """
-    of = np.repeat(np.arange(len(n_s)), n_t)
-    size = n_s[of]
-    pair = s[_ranges((np.cumsum(n_s) - n_s)[of], size)].astype(np.int64) * w + np.repeat(t, size)
+    size = np.repeat(n_s, n_t)
+    pair, share = np.empty(int(size.sum(dtype=np.int64)), dtype=np.int64), np.empty(len(size))
+    begin = s.astype(np.int64) * w
+    first, first_t = np.r_[0, np.cumsum(n_s, dtype=np.int64)], np.r_[0, np.cumsum(n_t, dtype=np.int64)]
+    parts, at = [], 0
+    edges = np.flatnonzero(np.r_[True, np.diff(n_s) != 0, True])
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        k, some = int(n_s[a]), slice(int(first_t[a]), int(first_t[z]))
+        part = pair[at : at + k * (some.stop - some.start)].reshape(-1, k)
+        np.add(np.repeat(begin[first[a] : first[z]].reshape(-1, k), n_t[a:z], axis=0), t[some, None], out=part)
+        parts.append((some, k, slice(at, at + part.size)))
+        at += part.size
     if v * w <= 2 * len(pair):
-        keys, at = np.arange(v * w), pair
+        keys = np.arange(v * w)
     else:
-        keys, at = np.unique(pair, return_inverse=True)
+        keys, pair = np.unique(pair, return_inverse=True)
     if weigh is None:
-        q = np.repeat(1 / size, size)
-    else:
-        q = weigh(keys)[at]
-        q /= np.repeat(np.add.reduceat(q, np.cumsum(size) - size), size)
-    return np.bincount(at, q, minlength=len(keys)), keys
+        return np.bincount(pair, np.repeat(1 / size, size), minlength=len(keys)), keys
+    p = weigh(keys)
+    for some, k, cells in parts:
+        share[some] = 1 / p[pair[cells]].reshape(-1, k).sum(axis=1)
+    return p * np.bincount(pair, np.repeat(share, size), minlength=len(keys)), keys
 
 
 _ROW = "d int, block int, part int, word int, vs binary, ws binary, n_s binary, s binary, n_t binary, t binary, c binary, v array<int>, z array<double>"
@@ -494,7 +516,7 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
         d, k, part = (int(b[c].iloc[0]) for c in ("d", "block", "part"))
         read = lambda c, kind: np.frombuffer(b"".join(b[c]), dtype=kind)
         key, n_s, n_t = read("key", np.int64), read("n_s", np.int32).astype(np.int64), read("n_t", np.int32).astype(np.int64)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((key, n_s))
         vs, s = np.unique(read("s", wide[d])[_ranges((np.cumsum(n_s) - n_s)[order], n_s[order])], return_inverse=True)
         ws, t = np.unique(read("t", wide[1 - d])[_ranges((np.cumsum(n_t) - n_t)[order], n_t[order])], return_inverse=True)
         word = int(ws[0]) if parts[d][k] > 1 else -1
