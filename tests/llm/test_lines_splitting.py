@@ -13,6 +13,7 @@ from weftline.llm import queries
 from weftline.llm import repeated_lines as rl
 from weftline.llm import splitting as sp
 from weftline.llm.common import minhash_bands
+from weftline.llm.forest import Forest
 
 
 def wording(line):
@@ -124,6 +125,36 @@ def test_exact_lines_come_from_the_clusters(spark, monkeypatch, tmp_path):
     assert len({r for w, r in wordings if w != r}) == 1 and sum(w != r for w, r in wordings) == 5  # one cluster of all names
 
 
+def test_strings_are_read_for_full_clusters_alone(spark, monkeypatch):
+    seen = {}
+    cut = rl.cut
+    monkeypatch.setattr(rl, "cut", lambda df, name: seen.update({name: cut(df, name)}) or seen[name])
+    often = [(i, f"u{i}", "a", f"Written by the main office of the campus no{'abcdef'[i] * 3}") for i in range(6)]
+    seldom = [(10 + i, f"v{i // 3}", "a", f"Opened for the whole summer by the town library{'abcdef'[i]}") for i in range(6)]  # on two pages
+    assert sorted(r.id for r in rl.repeated_lines(chunks(spark, often + seldom)).collect()) == [*range(6)]
+    assert "said" not in seen["wordings"].columns and all(r.said.startswith("written") for r in seen["said"].collect())
+    assert seen["said"].count() == 6
+
+
+@pytest.mark.parametrize("text", [
+    "Welcome Müller and the ﬁne Anna Lee of the house…\n\nWelcome Müller and the fine Anna Lee of the house",
+    "由王小明老師整理的課程資料與說明… 內容\n由王小明老師整理的課程資料與說明內容\nthe office of Anna Lee Smith",
+    "Meet Dr. Who on May 3 at the İstanbul office\nthe whole programs are of Mrs. Straße and of ada. Then Bob said\nfrom Ann, Bob\nin MAY we say Dr.  Who",
+])
+def test_names_are_masked_as_line_by_line(text):
+    f = Forest([text], [None])
+    kept = rl._letters(f)
+    begin, end = np.searchsorted(kept, f.folded_starts), np.searchsorted(kept, f.folded_ends)
+    some = np.flatnonzero(end > begin)
+    codes, ends = rl._said(f, some, kept, begin, end)
+    letters = lambda s: wording(s).replace("\n", "")
+    want = []
+    for line in (text.split("\n")[i] for i in some):
+        bare = letters(rl._NAMES.sub(lambda m: " " * len(m[0]), line))
+        want.append(bare if len(bare) >= max(rl.LEFT, len(letters(line)) / 2) else letters(line))
+    assert [codes[a:z].tobytes().decode("utf-32-le") for a, z in zip([0, *ends[:-1]], ends)] == want and want != [letters(x) for x in text.split("\n") if x]
+
+
 def test_bands_find_pairs_at_seven_tenths():
     rng = np.random.default_rng(2)
     letters = np.arange(97, 123, dtype=np.uint32)
