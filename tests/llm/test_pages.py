@@ -227,6 +227,48 @@ def test_translation_tables_read_every_version_pair(spark):
     assert {tuple(r) for r in al.aligned(df, model=Lines()).collect()} == want
 
 
+def test_texts_of_versions_move_only_if_keys_are_many(spark, monkeypatch):
+    class Lines:
+        def sentences(self, some):
+            return [[(m.start(), m.end()) for m in re.finditer(r"[^\n]+", t)] for t, _ in some]
+
+    rows = [(2 * i + k, f"https://a.org/{lang}/{i}", text) for i in range(20) for k, (lang, text) in enumerate((("zh", "今天下午3時開會"), ("en", "We meet at 3 p.m. today"))) if i < 15 or k]
+    df = spark.createDataFrame(rows, "ext_id long, url string, text string").selectExpr("*", "'html' AS source_type")
+    plans, cut = [], al.cut
+    monkeypatch.setattr(al, "cut", lambda d, name: (plans.append(d._jdf.queryExecution().executedPlan().toString()) if name == "versions" else None) or cut(d, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        for most in (100, 0):
+            monkeypatch.setattr(al, "MOST_KEYS", most)
+            got.append(sorted(tuple(r)[:3] for r in al.versions(df, "ext_id", "text", "source_type", "url", Lines()).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[0] == got[1] and len(got[0]) == 30
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_few_states_decode_as_many():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 80, 90):  # 256 states lie between
+        r, x = rng.normal(0, 4, (n, 7)).round(), rng.normal(0, 4, (max(0, n - 1), 7)).round()
+        far = np.full((90, 7), -1e6)  # sentences that no path reaches make many states of few
+        wide, span = far.copy(), far[1:].copy()
+        wide[:n], span[: n - 1] = r, x
+        assert al.decode(r, x) == al.decode(wide, span)
+
+
+def test_counts_are_packed():
+    for c in (np.zeros(0), np.zeros(9), np.array([0, 0.5, 0, 0, 0, 0, 0, 0, 3.25, 0, 1e-300])):
+        assert (al._unpacked(al._packed(c), len(c)) == c).all() and len(al._packed(c)) == -(-len(c) // 8) + 8 * (c > 0).sum()
+
+
+@pytest.mark.parametrize("sentences,side", [(["“Hello” – there…", "中文 mixed with many latin letters"], "en"), (["今天下午3時開會。", "ok then"], None), (["今天下午開會。", "会議は三時からです", "12 34"], "zh"), (["Ünder", "1234"], None)])
+def test_side_of(sentences, side):
+    assert al.side_of(sentences) == side
+
+
 def test_translation_tables_are_those_of_fitting_in_memory(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [[f"{c}{i}x" for i in map(chr, range(97, 117))] for c in "ab"]

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ from .common import cut, hash64, release
 
 #: Pairs of words a row of the tables' fitting holds, about; a word that has more is dealt to several rows.
 BLOCK = 4_000_000
+#: Keys of versions that are sent to every task at most; with more, texts are joined by a shuffle.
+MOST_KEYS = 100_000
 #: Rounds of expectation-maximisation; least probability of a translation that is kept after them.
 ROUNDS, LIKELY = 6, 0.03
 #: Least share of the log-likelihood ratio a perfect translation would have: where numbers agree, where one sentence has none, where they disagree.
@@ -43,6 +47,7 @@ TRUST, NUMBER, KEPT = 0.9, 1e-3, 0.7
 
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _HAN = "㐀-鿿"
+_ONE_HAN, _NO_HAN, _KANA_HANGUL, _ZEROS = re.compile(f"[{_HAN}]"), re.compile(f"[^{_HAN}]+"), re.compile("[ぁ-ヿ가-힣]"), re.compile(r"^#0+(?=\d)")
 _TOKEN = re.compile(
     rf"(?P<roc>\d{{2,3}})(?=(?:學年度?|年))|(?P<pm>下午|晚上|上午|早上|中午)?(?P<hour>\d{{1,2}})(?:時(?:(?P<min>\d{{1,2}})分)?|:(?P<min2>\d\d)(?:\s*(?P<ampm>[ap])\.?m\b\.?)?)"
     rf"|(?P<month>\b(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec)[a-z]*)\.?(?=\s*\d|\s+\d)|(?P<code>[a-z]{{1,4}}\d{{2,}})|(?P<num>\d+(?:,\d{{3}})*(?:\.\d+)*)|(?P<word>[a-zà-ÿ]+(?:'[a-z]+)?)|(?P<han>[{_HAN}]+)"
@@ -52,9 +57,18 @@ _TOKEN = re.compile(
 def tokens(sentence: str) -> list[str]:
     """Numbers in one form (``#``), words, and pieces of one script without spaces (two characters, overlapping)."""
     out: list[str] = []
-    for m in _TOKEN.finditer(sentence.replace("\n", "" if re.search(f"[{_HAN}]", sentence) else " ").lower()):
+    if "\n" in sentence:
+        sentence = sentence.replace("\n", "" if _ONE_HAN.search(sentence) else " ")
+    for m in _TOKEN.finditer(sentence.lower()):
         kind = m.lastgroup
-        if kind not in ("han", "word") and m["hour"] is not None:
+        if kind == "word":
+            out.append(m[0])
+            continue
+        if kind == "han":
+            s = m[0]
+            out += map(add, s, s[1:]) if len(s) > 1 else s
+            continue
+        if m["hour"] is not None:
             kind = "hour"
         if kind == "roc":
             v = int(m["roc"])
@@ -71,12 +85,7 @@ def tokens(sentence: str) -> list[str]:
             out += [f"#{int(p)}" for p in text.split(".")] if text.count(".") == 2 and "年" not in text and len(text.split(".")[0]) == 4 else [f"#{text}"]
         elif kind == "code":
             out.append(f"#{m['code']}")
-        elif kind == "han":
-            s = m["han"]
-            out += [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s]
-        else:
-            out.append(m[0])
-    return [re.sub(r"^#0+(?=\d)", "#", t) if t.startswith("#0") else t for t in out]
+    return [_ZEROS.sub("#", t) if t.startswith("#0") else t for t in out]
 
 
 #: Numbers a matrix of a document may hold at once.
@@ -90,6 +99,7 @@ class Table:
     p: dict[str, dict[str, float]]
     background: dict[str, float]
     _arrays: tuple | None = field(default=None, init=False, repr=False, compare=False)
+    _ground: dict[str, tuple[float, float]] = field(default_factory=dict, init=False, repr=False, compare=False)
     _worth: dict[str, float] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def _known(self, sources: list[list[str]], where: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,13 +110,16 @@ class Table:
             ids = np.array([names[w] for d in self.p.values() for w in d], dtype=np.int64)
             self._arrays = {v: i for i, v in enumerate(self.p)}, names, n, np.cumsum(n) - n, ids, np.array([p for d in self.p.values() for p in d.values()]), np.full(len(names), -1)
         rows, names, n, first, ids, p, place = self._arrays
-        row = np.array([rows.get(v, -1) for s in sources for v in s], dtype=np.int64)  # the last has none
+        get = rows.get
+        row = np.array([get(v, -1) for s in sources for v in s], dtype=np.int64)  # the last has none
         cells = _ranges(first[row], n[row])
         of = np.repeat(np.repeat(np.arange(len(sources)), [len(s) for s in sources]), n[row])
-        here = np.array([(names[w], k) for w, k in where.items() if w in names], dtype=np.int64).reshape(-1, 2)
-        place[here[:, 0]] = here[:, 1]
+        get = names.get
+        name = np.array([get(w, -1) for w in where], dtype=np.int64)
+        some = np.flatnonzero(name >= 0)
+        place[name[some]] = some
         k = place[ids[cells]]
-        place[here[:, 0]] = -1
+        place[name[some]] = -1
         some = np.flatnonzero(k >= 0)
         return of[some], k[some], p[cells[some]]
 
@@ -122,13 +135,15 @@ class Table:
         q = np.zeros((len(sources), len(words)))
         at, k, p = self._known(sources, where)
         np.maximum.at(q.reshape(-1), at * len(words) + k, p)
-        kept = [(i, where[v]) for i, s in enumerate(sources) for v in s if v in where and (v[0] == "#" or v.isascii())]
-        if kept:
-            i, k = np.array(kept).T
-            q[i, k] = np.where(q[i, k] > 0, q[i, k], KEPT)
-        number = np.array([w[0] == "#" for w in words])
-        ground = np.array([NUMBER if w[0] == "#" else max(self.background.get(w, NUMBER), 1e-5) for w in words])
-        miss = math.log(1 - TRUST) * np.where(number, 1.0, 0.35)
+        same = {w: k for w, k in where.items() if w[0] == "#" or w.isascii()}
+        kept = np.array([i * len(words) + same[v] for i, s in enumerate(sources) for v in s if v in same], dtype=np.int64)
+        if len(kept):
+            q.reshape(-1)[kept] = np.where(q.reshape(-1)[kept] > 0, q.reshape(-1)[kept], KEPT)
+        known = self._ground
+        for w in words:
+            if w not in known:
+                known[w] = (NUMBER, math.log(1 - TRUST)) if w[0] == "#" else (max(self.background.get(w, NUMBER), 1e-5), math.log(1 - TRUST) * 0.35)
+        ground, miss = np.array([known[w] for w in words]).reshape(-1, 2).T
         lengths = np.array([len(t) for t in targets])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         scale = np.sqrt(1 + lengths / 12)
@@ -156,7 +171,7 @@ class Table:
         for w in target:
             if w not in self._worth:
                 self._worth[w] = math.log(1 - TRUST + TRUST * (KEPT if w[0] == "#" else 0.5) / max(NUMBER if w[0] == "#" else self.background.get(w, NUMBER), 1e-5))
-        total = sum(self._worth[w] for w in target)
+        total = sum([self._worth[w] for w in target])
         return max(total, 1e-6) / math.sqrt(1 + len(target) / 12)
 
 
@@ -236,16 +251,22 @@ def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
     score = np.concatenate([begin + ratio[:, 0], begin[: n - 1] + span[:, 0] - 1.5, np.where(places == 0, -1.2, -np.inf)])
     kind = np.int32 if 3 * n > 32767 else np.int16
     back, back_null = np.zeros((m, n), dtype=kind), np.zeros((m, n), dtype=kind)
+    every = jump[places[None, :] - last[:, None] + n] if len(last) <= 256 else None
     for j in range(1, m):
-        some = np.flatnonzero(score >= score.max() - reach - 1e-9)
-        best, came = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            total = score[part][:, None] + jump[places[None, :] - last[part][:, None] + n]
-            at = total.argmax(axis=0)
-            value = total[at, places]
-            came = np.where(value > best, part[at], came)
-            best = np.maximum(value, best)
+        if every is not None:  # few states: all at once
+            total = score[:, None] + every
+            came = total.argmax(axis=0)
+            best = total[came, places]
+        else:
+            some = np.flatnonzero(score >= score.max() - reach - 1e-9)
+            best, came = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+            for a in range(0, len(some), 256):
+                part = some[a : a + 256]
+                total = score[part][:, None] + jump[places[None, :] - last[part][:, None] + n]
+                at = total.argmax(axis=0)
+                value = total[at, places]
+                came = np.where(value > best, part[at], came)
+                best = np.maximum(value, best)
         ends = np.where(stay >= 0, score[stay], -np.inf)
         which = ends.argmax(axis=0)
         back[j], back_null[j] = came, stay[which, places]
@@ -297,11 +318,17 @@ def borne_out(a: list[str], b: list[str], there: float, back: float) -> bool:
 
 def side_of(sentences: list[str]) -> str | None:
     """zh or en, by most of the sentences; None if neither prevails."""
-    zh = sum(len(re.findall(f"[{_HAN}]", s)) * 3 > len(s) and not re.search("[ぁ-ヿ가-힣]", s) for s in sentences)
-    en = sum(len(re.findall("[A-Za-z]", s)) * 2 > len(s) and s.isascii() for s in (s.translate(_QUOTES) for s in sentences))
+    zh = en = 0
+    for s in sentences:
+        plain = s if s.isascii() else s.translate(_QUOTES)
+        if plain.isascii():
+            en += 2 * (len(plain) - len(plain.encode().translate(None, _LATIN))) > len(plain)
+        else:
+            zh += 3 * len(_NO_HAN.sub("", s)) > len(s) and not _KANA_HANGUL.search(s)
     return None if zh == en else "zh" if zh > en else "en"
 
 
+_LATIN = string.ascii_letters.encode()
 _QUOTES = str.maketrans("“”‘’–—…", "\"\"''--.")
 
 
@@ -315,7 +342,9 @@ def versions(df: DataFrame, id_col: str, text_col: str, type_col: str, url_col:
         return urls.map(lambda u: lg.without_language(u))
 
     keyed = df.where(F.col(url_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key(F.col(url_col)).alias("key"), F.col(text_col).alias("text"), F.col(type_col).alias("kind"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    if shared.count() <= MOST_KEYS:  # else the texts are shuffled
+        shared = F.broadcast(shared)
     some = keyed.join(shared, "key", "left_semi")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -453,6 +482,19 @@ def _expected(v: int, w: int, n_s: np.ndarray, s: np.ndarray, n_t: np.ndarray, t
     return p * np.bincount(pair, np.repeat(share, size), minlength=len(keys)), keys
 
 
+def _packed(c: np.ndarray) -> bytes:
+    """Counts, most of them perhaps nothing: which are more, and these."""
+    some = c > 0
+    return np.packbits(some).tobytes() + c[some].tobytes()
+
+
+def _unpacked(b: bytes, n: int) -> np.ndarray:
+    bits = -(-n // 8)
+    out = np.zeros(n)
+    out[np.unpackbits(np.frombuffer(b, dtype=np.uint8, count=bits), count=n).view(bool)] = np.frombuffer(b, offset=bits)
+    return out
+
+
 _ROW = "d int, block int, part int, word int, vs binary, ws binary, n_s binary, s binary, n_t binary, t binary, c binary, v array<int>, z array<double>"
 
 
@@ -531,7 +573,7 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
         """Of pairs of a row, after the last round."""
         def weigh(keys: np.ndarray) -> np.ndarray:
             source = vs[keys // w]
-            return (dealt[d, word][source] if word >= 0 else np.frombuffer(c)) / np.maximum(total[d][source], 1e-300)
+            return (dealt[d, word][source] if word >= 0 else _unpacked(c, len(keys))) / np.maximum(total[d][source], 1e-300)
 
         return weigh
 
@@ -542,7 +584,7 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
                 vs, ws, n_s, n_t = (np.frombuffer(x, dtype=np.int32) for x in (r.vs, r.ws, r.n_s, r.n_t))
                 s, t = np.frombuffer(r.s, dtype=_narrow(len(vs))), np.frombuffer(r.t, dtype=_narrow(len(ws)))
                 c, keys = _expected(len(vs), len(ws), n_s, s, n_t, t, probabilities(r.d, r.word, vs, len(ws), r.c) if total else None)
-                out.append((*r[:10], c.tobytes(), vs, np.bincount(keys // len(ws), c, minlength=len(vs))))
+                out.append((*r[:10], _packed(c), vs, np.bincount(keys // len(ws), c, minlength=len(vs))))
             yield pd.DataFrame(out, columns=b.columns)
 
     for _ in range(ROUNDS):

@@ -33,6 +33,7 @@ _DENSE = re.compile(f"[{_D}가-힣，。、：；！？」』）》]")
 _CLOSE = "”’\"'」』）)\\]】》〉"
 _OPEN = set("“「『（《(【[〈")
 _SHUT = set("”」』）》)】]〉")
+_BRACKETS = _OPEN | _SHUT
 _CANDIDATE = re.compile(
     rf"(?P<mark>[.!?。！？．｡…]+)(?P<close>[{_CLOSE}{WRAP}]*)(?P<gap>[\s{WRAP}]*)(?=[^\s{WRAP}])"
     rf"|(?P<space>(?<=[{_D}])[ 　\t]+(?=[{_D}A-Z《「(（])|(?<=[0-9A-Za-z%％）)」])[ 　\t]+(?=[{_D}]))"
@@ -170,7 +171,7 @@ class Splitter:
             if m.start() < skip or (m["space"] is not None and (m.start() - out[-1] < LEAST or len(s) - m.end() < LEAST)):
                 continue
             inner = s[at : m.start()] if m["space"] is not None else s[at : m.start("gap")]
-            for c in inner:
+            for c in inner if not _BRACKETS.isdisjoint(inner) else "":
                 if c in _OPEN:
                     depth += 1
                 elif c in _SHUT:
