@@ -12,7 +12,7 @@ None is lost by that: a wording's own cluster has all its pages.
 Nothing is collected: pages are counted in two steps (first the distinct (source, cluster, page), then their number), and
 a wording meets one representative per band, never all others, so a source or a cluster that holds a third of all rows
 is spread by page and no pairs within a group are formed. Keys with so few lines that all the keys of a representative
-together could not fill enough pages are left out before wordings are compared; this changes no result.
+together could not fill enough pages are left out before wordings are compared; this changes no line found with ``exact``.
 """
 
 from __future__ import annotations
