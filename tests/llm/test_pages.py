@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -249,6 +250,35 @@ def test_texts_of_versions_move_only_if_keys_are_many(spark, monkeypatch):
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
 
 
+def test_sentences_of_long_versions_are_anchored_by_their_words():
+    n = 1500  # 2.25 million pairs of sentences, which took seconds one by one
+    a, b = [["室", f"#{1000 + i}", "library"] for i in range(n)], [["room", f"#{1000 + 7 * i % n}", "library"] for i in range(n)]
+    lexicon = al.Lexicon()
+    began = time.process_time()
+    got = al.anchored(lexicon.code(a), lexicon.code(b), lexicon)
+    assert time.process_time() - began < 1.5
+    assert got == sorted((7 * i % n, i) for i in range(n))
+    assert al.anchored(lexicon.code([]), lexicon.code(b), lexicon) == [] and al.anchored(lexicon.code([[], ["a"]]), lexicon.code([[]]), lexicon) == []
+
+
+def test_ratios_are_sums_over_words():
+    table = al.Table({"甲": {"one": 0.5, "uno": 0.2}, "乙": {"two": 0.9, "one": 0.1}}, {"one": 0.3, "two": 0.2})
+    a, b = [["甲", "乙", "#5"], ["乙", "nasa", "乙"], []], [["one", "two", "one"], ["#5", "nasa", "new"], [], ["#7"]]
+    lexicon = al.Lexicon()
+    got, spans = table.single_and_span(lexicon.code(a), lexicon.code(b), lexicon)
+
+    def ratio(s, t):
+        def word(w):
+            q = max([table.p.get(v, {}).get(w, 0) for v in s] or [0]) or (al.KEPT if w in s and (w[0] == "#" or w.isascii()) else 0)
+            ground = al.NUMBER if w[0] == "#" else max(table.background.get(w, al.NUMBER), 1e-5)
+            return np.log(1 - al.TRUST + al.TRUST * q / ground) if q else np.log(1 - al.TRUST) * (1 if w[0] == "#" else 0.35)
+
+        return sum(map(word, t)) / np.sqrt(1 + len(t) / 12)
+
+    assert np.allclose(got, [[ratio(s, t) for t in b] for s in a])
+    assert np.allclose(spans, [[ratio(s + x, t) for t in b] for s, x in zip(a[:-1], a[1:], strict=True)])
+
+
 def test_few_states_decode_as_many():
     rng = np.random.default_rng(8)
     for n in (1, 3, 80, 90):  # 256 states lie between

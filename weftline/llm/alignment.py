@@ -22,10 +22,13 @@ import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +51,11 @@ TRUST, NUMBER, KEPT = 0.9, 1e-3, 0.7
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _HAN = "㐀-鿿"
 _ONE_HAN, _NO_HAN, _KANA_HANGUL, _ZEROS = re.compile(f"[{_HAN}]"), re.compile(f"[^{_HAN}]+"), re.compile("[ぁ-ヿ가-힣]"), re.compile(r"^#0+(?=\d)")
+#: Words and pieces that cannot belong to a date, a time or a code come first; what begins none is passed at once.
 _TOKEN = re.compile(
-    rf"(?P<roc>\d{{2,3}})(?=(?:學年度?|年))|(?P<pm>下午|晚上|上午|早上|中午)?(?P<hour>\d{{1,2}})(?:時(?:(?P<min>\d{{1,2}})分)?|:(?P<min2>\d\d)(?:\s*(?P<ampm>[ap])\.?m\b\.?)?)"
-    rf"|(?P<month>\b(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec)[a-z]*)\.?(?=\s*\d|\s+\d)|(?P<code>[a-z]{{1,4}}\d{{2,}})|(?P<num>\d+(?:,\d{{3}})*(?:\.\d+)*)|(?P<word>[a-zà-ÿ]+(?:'[a-z]+)?)|(?P<han>[{_HAN}]+)"
+    rf"(?P<run>(?![下晚上早中])[{_HAN}]+)|(?P<plain>[a-zà-ÿ]++(?:'[a-z]+)?+(?=\s[^\d\s]|[,;:!?)]|\Z))"
+    rf"|(?=[\da-zà-ÿ下晚上早中])(?:(?P<roc>\d{{2,3}})(?=(?:學年度?|年))|(?=[\d下晚上早中])(?P<pm>下午|晚上|上午|早上|中午)?(?P<hour>\d{{1,2}})(?:時(?:(?P<min>\d{{1,2}})分)?|:(?P<min2>\d\d)(?:\s*(?P<ampm>[ap])\.?m\b\.?)?)"
+    rf"|(?P<month>(?=[jfmasond])\b(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec)[a-z]*)\.?(?=\s*\d|\s+\d)|(?P<code>(?=[a-z])[a-z]{{1,4}}\d{{2,}})|(?P<num>\d+(?:,\d{{3}})*(?:\.\d+)*)|(?P<word>[a-zà-ÿ]+(?:'[a-z]+)?)|(?P<han>[{_HAN}]+))"
 )
 
 
@@ -61,13 +66,17 @@ def tokens(sentence: str) -> list[str]:
         sentence = sentence.replace("\n", "" if _ONE_HAN.search(sentence) else " ")
     for m in _TOKEN.finditer(sentence.lower()):
         kind = m.lastgroup
-        if kind == "word":
+        if kind == "plain" or kind == "word":
             out.append(m[0])
             continue
-        if kind == "han":
+        if kind == "run" or kind == "han":
             s = m[0]
             out += map(add, s, s[1:]) if len(s) > 1 else s
             continue
+        if kind == "num":
+            text = m[0].replace(",", "")
+            out += [f"#{int(p)}" for p in text.split(".")] if text.count(".") == 2 and len(text.split(".")[0]) == 4 else [_ZEROS.sub("#", f"#{text}") if text[0] == "0" else f"#{text}"]
+            continue
         if m["hour"] is not None:
             kind = "hour"
         if kind == "roc":
@@ -80,84 +89,148 @@ def tokens(sentence: str) -> list[str]:
             out.append(f"#{h}:{mi:02d}")
         elif kind == "month":
             out.append(f"#{_MONTHS[m['month'][:3]]}")
-        elif kind == "num":
-            text = m["num"].replace(",", "")
-            out += [f"#{int(p)}" for p in text.split(".")] if text.count(".") == 2 and "年" not in text and len(text.split(".")[0]) == 4 else [f"#{text}"]
         elif kind == "code":
             out.append(f"#{m['code']}")
-    return [_ZEROS.sub("#", t) if t.startswith("#0") else t for t in out]
+    return out
 
 
 #: Numbers a matrix of a document may hold at once.
 CELLS = 4_000_000
 
 
+class Lexicon(dict):
+    """Words as numbers, in the order they are met; ``names`` has them by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[str] = []
+        self._signs = np.zeros(0, dtype=np.uint8)
+        self._known = 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.names)
+        self.names.append(word)
+        return n
+
+    def code(self, sentences: list[list[str]]) -> Coded:
+        return Coded(self.numbers([w for s in sentences for w in s]), np.array([*map(len, sentences)], dtype=np.int64))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.array([*map(self.__getitem__, words)], dtype=np.int64)
+
+    def signs(self) -> np.ndarray:
+        """Of each word whether it is a number (1), Latin (2), Latin and long (4)."""
+        if self._known < len(self.names):
+            new = self.names[self._known :]
+            self._signs = _room(self._signs, len(self.names))
+            self._signs[self._known : len(self.names)] = [(w[0] == "#") | 2 * w.isascii() | 4 * (w.isascii() and len(w) > 5) for w in new]
+            self._known = len(self.names)
+        return self._signs
+
+
+class Coded(NamedTuple):
+    """Sentences behind each other: the numbers of their words, and how many words each has."""
+
+    words: np.ndarray
+    n: np.ndarray
+
+    def places(self) -> np.ndarray:
+        """Of each word its sentence."""
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """An array of at least ``n`` with what ``a`` holds."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), dtype=a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class _Facts:
+    """What a table says of each word of a lexicon: its translations, and what it counts as a target."""
+
+    def __init__(self, table: Table, lexicon: Lexicon):
+        self.table, self.lexicon, self.known = table, lexicon, 0
+        self.rows = {v: i for i, v in enumerate(table.p)}
+        self.n = np.array([*map(len, table.p.values()), 0], dtype=np.int64)  # the last row has no translation
+        self.first = np.cumsum(self.n) - self.n
+        self.ids = lexicon.numbers([w for d in table.p.values() for w in d])
+        self.p = np.array([x for d in table.p.values() for x in d.values()])
+        self.row, self.place = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ground, self.miss, self.worth = np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def grow(self) -> None:
+        n = len(self.lexicon.names)
+        if self.known == n:
+            return
+        new, some = self.lexicon.names[self.known :], slice(self.known, n)
+        self.row, self.place, self.ground, self.miss, self.worth = (_room(a, n) for a in (self.row, self.place, self.ground, self.miss, self.worth))
+        back, number = self.table.background, [w[0] == "#" for w in new]
+        self.row[some] = [self.rows.get(w, -1) for w in new]
+        self.place[some] = -1
+        self.ground[some] = [NUMBER if x else max(back.get(w, NUMBER), 1e-5) for w, x in zip(new, number, strict=True)]
+        self.miss[some] = np.where(number, math.log(1 - TRUST), math.log(1 - TRUST) * 0.35)
+        self.worth[some] = [math.log(1 - TRUST + TRUST * (KEPT if x else 0.5) / max(NUMBER if x else back.get(w, NUMBER), 1e-5)) for w, x in zip(new, number, strict=True)]
+        self.known = n
+
+
 @dataclass
 class Table:
     """``p[v][w]``: probability that w translates v; ``background``: of w alone."""
 
     p: dict[str, dict[str, float]]
     background: dict[str, float]
-    _arrays: tuple | None = field(default=None, init=False, repr=False, compare=False)
-    _ground: dict[str, tuple[float, float]] = field(default_factory=dict, init=False, repr=False, compare=False)
-    _worth: dict[str, float] = field(default_factory=dict, init=False, repr=False, compare=False)
-
-    def _known(self, sources: list[list[str]], where: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each translation of a source's word that is in ``where``: place of the source, place there, probability."""
-        if self._arrays is None:  # translations of all words behind each other
-            names = {w: k for k, w in enumerate(dict.fromkeys(w for d in self.p.values() for w in d))}
-            n = np.array([*map(len, self.p.values()), 0], dtype=np.int64)
-            ids = np.array([names[w] for d in self.p.values() for w in d], dtype=np.int64)
-            self._arrays = {v: i for i, v in enumerate(self.p)}, names, n, np.cumsum(n) - n, ids, np.array([p for d in self.p.values() for p in d.values()]), np.full(len(names), -1)
-        rows, names, n, first, ids, p, place = self._arrays
-        get = rows.get
-        row = np.array([get(v, -1) for s in sources for v in s], dtype=np.int64)  # the last has none
-        cells = _ranges(first[row], n[row])
-        of = np.repeat(np.repeat(np.arange(len(sources)), [len(s) for s in sources]), n[row])
-        get = names.get
-        name = np.array([get(w, -1) for w in where], dtype=np.int64)
-        some = np.flatnonzero(name >= 0)
-        place[name[some]] = some
-        k = place[ids[cells]]
-        place[name[some]] = -1
-        some = np.flatnonzero(k >= 0)
-        return of[some], k[some], p[cells[some]]
-
-    def ratios(self, sources: list[list[str]], targets: list[list[str]]) -> np.ndarray:
+    _facts: _Facts | None = field(default=None, init=False, repr=False, compare=False)
+
+    def facts(self, lexicon: Lexicon) -> _Facts:
+        if self._facts is None or self._facts.lexicon is not lexicon:
+            self._facts = _Facts(self, lexicon)
+        self._facts.grow()
+        return self._facts
+
+    def ratios(self, sources: Coded, targets: Coded, lexicon: Lexicon) -> np.ndarray:
         """Log-likelihood ratio of each target against noise, for each source."""
-        return self.single_and_span(sources, targets, spans=False)[0]
+        return self.single_and_span(sources, targets, lexicon, spans=False)[0]
 
-    def single_and_span(self, sources: list[list[str]], targets: list[list[str]], spans: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def single_and_span(self, sources: Coded, targets: Coded, lexicon: Lexicon, spans: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ratios for each source, and for each source together with the next (none without ``spans``)."""
-        where: dict[str, int] = {}
-        flat = [where.setdefault(w, len(where)) for t in targets for w in t]
-        words = list(where)
-        q = np.zeros((len(sources), len(words)))
-        at, k, p = self._known(sources, where)
-        np.maximum.at(q.reshape(-1), at * len(words) + k, p)
-        same = {w: k for w, k in where.items() if w[0] == "#" or w.isascii()}
-        kept = np.array([i * len(words) + same[v] for i, s in enumerate(sources) for v in s if v in same], dtype=np.int64)
-        if len(kept):
-            q.reshape(-1)[kept] = np.where(q.reshape(-1)[kept] > 0, q.reshape(-1)[kept], KEPT)
-        known = self._ground
-        for w in words:
-            if w not in known:
-                known[w] = (NUMBER, math.log(1 - TRUST)) if w[0] == "#" else (max(self.background.get(w, NUMBER), 1e-5), math.log(1 - TRUST) * 0.35)
-        ground, miss = np.array([known[w] for w in words]).reshape(-1, 2).T
-        lengths = np.array([len(t) for t in targets])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        known = self.facts(lexicon)
+        place, lengths = known.place, targets.n
+        # the different words of the targets, and of each word of a target its place among them
+        every = np.arange(len(targets.words))
+        place[targets.words] = every
+        words = targets.words[place[targets.words] == every]
+        place[words] = np.arange(len(words))
+        flat = place[targets.words]
+        q = np.zeros((len(sources.n), len(words)))
+        cell = q.reshape(-1)
+        of, row = sources.places() * len(words), known.row[sources.words]
+        n = known.n[row]
+        some = _ranges(known.first[row], n)
+        k = place[known.ids[some]]
+        there = k >= 0
+        np.maximum.at(cell, (np.repeat(of, n) + k)[there], known.p[some[there]])
+        k = place[sources.words]
+        there = (k >= 0) & ((lexicon.signs()[sources.words] & 3) > 0)
+        kept = of[there] + k[there]
+        cell[kept] = np.where(cell[kept] > 0, cell[kept], KEPT)
+        place[words] = -1
+        ground, miss = known.ground[words], known.miss[words]
+        starts = np.cumsum(lengths) - lengths
         scale = np.sqrt(1 + lengths / 12)
 
         def total(q: np.ndarray) -> np.ndarray:
-            out = np.zeros((q.shape[0], len(targets)), dtype=np.float32 if q.shape[0] * len(targets) > CELLS else np.float64)
-            if not q.shape[0] or not flat:
+            out = np.zeros((q.shape[0], len(lengths)), dtype=np.float32 if q.shape[0] * len(lengths) > CELLS else np.float64)
+            if not q.shape[0] or not len(flat):
                 return out
             word = np.where(q > 0, np.log(1 - TRUST + TRUST * q / ground), miss)
             a = 0
-            while a < len(targets):  # so many targets at once that their words fit
+            while a < len(lengths):  # so many targets at once that their words fit
                 z = max(a + 1, int(np.searchsorted(starts, starts[a] + CELLS // q.shape[0])))
-                some = flat[starts[a] : starts[z] if z < len(targets) else len(flat)]
-                if some:
+                some = flat[starts[a] : starts[z] if z < len(lengths) else len(flat)]
+                if len(some):
                     # an empty target has no words: keep its start inside and its sum at nothing
                     part = np.add.reduceat(word[:, some], np.minimum(starts[a:z] - starts[a], len(some) - 1), axis=1)
                     out[:, a:z] = part * (lengths[a:z] > 0) / scale[a:z]
@@ -166,13 +239,10 @@ class Table:
 
         return total(q), total(np.maximum(q[:-1], q[1:]) if spans else q[:0])
 
-    def perfect(self, target: list[str]) -> float:
-        """The ratio of a target every word of which is well translated."""
-        for w in target:
-            if w not in self._worth:
-                self._worth[w] = math.log(1 - TRUST + TRUST * (KEPT if w[0] == "#" else 0.5) / max(NUMBER if w[0] == "#" else self.background.get(w, NUMBER), 1e-5))
-        total = sum([self._worth[w] for w in target])
-        return max(total, 1e-6) / math.sqrt(1 + len(target) / 12)
+    def perfect(self, targets: Coded, lexicon: Lexicon) -> np.ndarray:
+        """The ratio of each target if every word of it were well translated."""
+        total = np.bincount(targets.places(), self.facts(lexicon).worth[targets.words], minlength=len(targets.n))
+        return np.maximum(total, 1e-6) / np.sqrt(1 + targets.n / 12)
 
 
 def fit_table(pairs: list[tuple[list[str], list[str]]], rounds: int = ROUNDS) -> Table:
@@ -211,24 +281,37 @@ def fit_table(pairs: list[tuple[list[str], list[str]]], rounds: int = ROUNDS) ->
     return Table(dict(p), back)
 
 
-def anchored(a: list[list[str]], b: list[list[str]]) -> list[tuple[int, int]]:
-    """Sentence pairs that are each other's best by shared rare numbers."""
-    names = _names(a, b)
-    df = Counter(t for side in (a, b) for s in side for t in set(s) if t[0] == "#" or (t.isascii() and len(t) > 5 and t in names))
-    score = np.zeros((len(a), len(b)))
-    sets_a, sets_b = [{t for t in s if t in df} for s in a], [{t for t in s if t in df} for s in b]
-    for i, x in enumerate(sets_a):
-        for j, y in enumerate(sets_b):
-            score[i, j] = sum(1 / df[t] for t in x & y) / max(1, math.sqrt(max(len(x), len(y))))
-    out = []
-    for i in range(len(a)):
-        if len(b) and (j := int(score[i].argmax())) >= 0 and score[i, j] >= 0.35 and score[:, j].argmax() == i and (np.sort(score[i])[-2] if len(b) > 1 else 0) < 0.7 * score[i, j]:
-            out.append((i, j))
-    return out
-
-
-def _names(a: list[list[str]], b: list[list[str]]) -> set[str]:
-    return {t for s in a for t in s if t.isascii()} & {t for s in b for t in s if t.isascii()}
+def anchored(a: Coded, b: Coded, lexicon: Lexicon) -> list[tuple[int, int]]:
+    """Sentence pairs that are each other's best by shared rare numbers and names."""
+    if not len(a.n) or not len(b.n):
+        return []
+    signs = lexicon.signs()
+
+    def rare(c: Coded) -> tuple[np.ndarray, np.ndarray]:
+        """Word and sentence of each number and long Latin word, by words, once a sentence."""
+        some = np.flatnonzero(signs[c.words] & 5)
+        return np.divmod(np.unique(c.words[some] * len(c.n) + c.places()[some]), len(c.n))
+
+    (word, i), (word_b, j) = rare(a), rare(b)
+    first, last = np.searchsorted(word_b, word), np.searchsorted(word_b, word, side="right")
+    n = last - first
+    held = np.searchsorted(word, word_b, side="right") > np.searchsorted(word, word_b)
+    # a name is what both versions have
+    size_a, size_b = np.bincount(i[(n > 0) | (signs[word] & 1 > 0)], minlength=len(a.n)), np.bincount(j[held | (signs[word_b] & 1 > 0)], minlength=len(b.n))
+    worth = 1 / (np.searchsorted(word, word, side="right") - np.searchsorted(word, word) + n)
+    score = np.zeros((len(a.n), len(b.n)))
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):  # so many words at once that their pairs fit
+        z = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + CELLS, side="right")))
+        np.add.at(score.reshape(-1), np.repeat(i[at:z] * len(b.n), n[at:z]) + j[_ranges(first[at:z], n[at:z])], np.repeat(worth[at:z], n[at:z]))
+        at = z
+    score /= np.sqrt(np.maximum(1, np.maximum(size_a[:, None], size_b)))
+    best, back = score.argmax(axis=1), score.argmax(axis=0)
+    places = np.arange(len(a.n))
+    top = score[places, best]
+    second = np.partition(score, -2, axis=1)[:, -2] if len(b.n) > 1 else 0
+    return [(i, int(best[i])) for i in np.flatnonzero((top >= 0.35) & (back[best] == places) & (second < 0.7 * top)).tolist()]
 
 
 def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
@@ -240,21 +323,15 @@ def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
     n, m = ratio.shape
     if not n or not m:
         return []
-    places = np.arange(n)
-    last = np.r_[places, np.arange(1, n), places]  # of singles, spans, and nothing after each place
-    d = np.arange(-n, n + 1)
-    jump = np.where(d == 1, -0.5, np.where(d == 0, -2.0, -2.2 - 0.5 * np.log(np.abs(d) + 1)))
+    places, jump, last, stay, every = _states(n) if n <= 85 else _states.__wrapped__(n)
     reach = float(jump.max() - jump.min())
-    stay = np.full((3, n), -1)  # what ends at a place: its single state, the span before it, nothing after it
-    stay[0], stay[1, 1:], stay[2] = places, np.arange(n, 2 * n - 1), np.arange(2 * n - 1, 3 * n - 1)
     begin = -0.5 - 0.25 * places
-    score = np.concatenate([begin + ratio[:, 0], begin[: n - 1] + span[:, 0] - 1.5, np.where(places == 0, -1.2, -np.inf)])
+    score = np.concatenate([begin + ratio[:, 0], begin[: n - 1] + span[:, 0] - 1.5, np.where(places == 0, -1.2, -np.inf), [-np.inf]])
     kind = np.int32 if 3 * n > 32767 else np.int16
     back, back_null = np.zeros((m, n), dtype=kind), np.zeros((m, n), dtype=kind)
-    every = jump[places[None, :] - last[:, None] + n] if len(last) <= 256 else None
     for j in range(1, m):
         if every is not None:  # few states: all at once
-            total = score[:, None] + every
+            total = score[:-1, None] + every
             came = total.argmax(axis=0)
             best = total[came, places]
         else:
@@ -267,10 +344,12 @@ def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
                 value = total[at, places]
                 came = np.where(value > best, part[at], came)
                 best = np.maximum(value, best)
-        ends = np.where(stay >= 0, score[stay], -np.inf)
+        ends = score[stay]
         which = ends.argmax(axis=0)
         back[j], back_null[j] = came, stay[which, places]
-        score = np.concatenate([best + ratio[:, j], best[: n - 1] + span[:, j] - 1.5, ends[which, places] - 1.2])
+        score[:n] = best + ratio[:, j]
+        score[n : 2 * n - 1] = best[: n - 1] + span[:, j] - 1.5
+        score[2 * n - 1 : -1] = ends[which, places] - 1.2
     at = int(score.argmax())
     out = []
     for j in range(m - 1, -1, -1):
@@ -286,29 +365,46 @@ def decode(ratio: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+@lru_cache(128)
+def _states(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of ``n`` sentences: their places, the costs of jumps, the place each state ends at, the states that end at each place (the last state of all, which never holds, where there is none), and the costs between few states."""
+    places = np.arange(n)
+    last = np.r_[places, np.arange(1, n), places]  # of singles, spans, and nothing after each place
+    d = np.arange(-n, n + 1)
+    jump = np.where(d == 1, -0.5, np.where(d == 0, -2.0, -2.2 - 0.5 * np.log(np.abs(d) + 1)))
+    stay = np.full((3, n), -1)  # what ends at a place: its single state, the span before it, nothing after it
+    stay[0], stay[1, 1:], stay[2] = places, np.arange(n, 2 * n - 1), np.arange(2 * n - 1, 3 * n - 1)
+    return places, jump, last, stay, jump[places[None, :] - last[:, None] + n] if len(last) <= 256 else None
+
+
 def align(a: list[str], b: list[str], forth: Table, backward: Table) -> list[tuple[int, int]]:
     """Pairs ``(i, j)`` of corresponding sentences of two versions."""
     return align_tokens([tokens(s) for s in a], [tokens(s) for s in b], forth, backward)
 
 
-def align_tokens(ta: list[list[str]], tb: list[list[str]], forth: Table, backward: Table) -> list[tuple[int, int]]:
+def align_tokens(ta: list[list[str]], tb: list[list[str]], forth: Table, backward: Table, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
     """``align`` of sentences as their tokens."""
     if not ta or not tb:
         return []
-    r, r2 = forth.single_and_span(ta, tb)
-    q, q2 = backward.single_and_span(tb, ta)
-    found = set(decode(r, r2)) | {(i, j) for j, i in decode(q, q2)}
-    best_a, best_b = [backward.perfect(t) for t in ta], [forth.perfect(t) for t in tb]
-    return sorted((i, j) for i, j in found if borne_out(ta[i], tb[j], r[i, j] / best_b[j], q[j, i] / best_a[i]))
+    lexicon = Lexicon() if lexicon is None else lexicon
+    a, b = lexicon.code(ta), lexicon.code(tb)
+    r, r2 = forth.single_and_span(a, b, lexicon)
+    q, q2 = backward.single_and_span(b, a, lexicon)
+    found = sorted(set(decode(r, r2)) | {(i, j) for j, i in decode(q, q2)})
+    if not found:
+        return []
+    i, j = np.array(found).T
+    there, back = r[i, j] / forth.perfect(b, lexicon)[j], q[j, i] / backward.perfect(a, lexicon)[i]
+    na, nb = ([{t for t in s if t[0] == "#"} for s in side] for side in (ta, tb))
+    return [(i, j) for (i, j), x, y in zip(found, there.tolist(), back.tolist(), strict=True) if borne_out(na[i], nb[j], x, y)]
 
 
-def borne_out(a: list[str], b: list[str], there: float, back: float) -> bool:
-    """Whether two sentences, one perhaps within the other, say the same: by their shares and their numbers.
+def borne_out(na: set[str], nb: set[str], there: float, back: float) -> bool:
+    """Whether two sentences, one perhaps within the other, say the same: by their shares and their numbers ``na, nb``.
 
     Numbers agree if most of one sentence's are the other's; then little more is asked. Where one has none the words
     must do, and where both have and disagree the words must leave no doubt.
     """
-    na, nb = {t for t in a if t[0] == "#"}, {t for t in b if t[0] == "#"}
     best = max(there, back)
     if na and nb:
         shared = len(na & nb)
@@ -375,10 +471,11 @@ def aligned(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_
     forth, backward = fit_pairs(pairs.select("sentences_z", "sentences_e"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon()
         for b in batches:
             rows = []
             for k, cz, ce, sz, se, z, e in zip(b["key"], b["class_z"], b["class_e"], b["starts_z"], b["starts_e"], b["sentences_z"], b["sentences_e"], strict=True):
-                rows += [(k, cz, ce, int(sz[i]), int(se[j])) for i, j in align_tokens(_split(z), _split(e), forth, backward)]
+                rows += [(k, cz, ce, int(sz[i]), int(se[j])) for i, j in align_tokens(_split(z), _split(e), forth, backward, lexicon)]
             yield pd.DataFrame(rows, columns=["key", "class_z", "class_e", "start_z", "start_e"])
 
     found = pairs.mapInPandas(match, "key string, class_z long, class_e long, start_z int, start_e int")
@@ -392,19 +489,22 @@ def aligned(df: DataFrame, id_col: str = "ext_id", text_col: str = "text", type_
 def fit(pairs: list[tuple[list[str], list[str]]]) -> tuple[Table, Table]:
     """Translation tables of both directions, from anchored sentences, then once more from aligned ones; of pairs in memory."""
     tok = [([tokens(s) for s in a], [tokens(s) for s in b]) for a, b in pairs]
-    anchors = [(a[i], b[j]) for a, b in tok for i, j in anchored(a, b)]
+    lexicon = Lexicon()
+    coded = [(lexicon.code(a), lexicon.code(b)) for a, b in tok]
+    anchors = [(a[i], b[j]) for (a, b), c in zip(tok, coded, strict=True) for i, j in anchored(*c, lexicon)]
     forth, backward = fit_table(anchors), fit_table([(t, s) for s, t in anchors])
-    again = [(a[i], b[j]) for a, b in tok for i, j in mutual(a, b, forth, backward)]
+    again = [(a[i], b[j]) for (a, b), c in zip(tok, coded, strict=True) for i, j in mutual(*c, forth, backward, lexicon)]
     return (fit_table(again), fit_table([(t, s) for s, t in again])) if len(again) > len(anchors) // 4 else (forth, backward)
 
 
-def mutual(a: list[list[str]], b: list[list[str]], forth: Table, backward: Table) -> list[tuple[int, int]]:
+def mutual(a: Coded, b: Coded, forth: Table, backward: Table, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Sentence pairs that are each other's best by the mean of both ratios, if that is high enough."""
-    both = (forth.ratios(a, b) + backward.ratios(b, a).T) / 2
+    both = (forth.ratios(a, b, lexicon) + backward.ratios(b, a, lexicon).T) / 2
     if not both.size:
         return []
     best, back = both.argmax(axis=1), both.argmax(axis=0)
-    return [(i, int(j)) for i, j in enumerate(best) if both[i, j] > LEAST and back[j] == i]
+    places = np.arange(len(best))
+    return [(i, int(best[i])) for i in np.flatnonzero((both[places, best] > LEAST) & (back[best] == places)).tolist()]
 
 
 def _split(sentences: Iterable[str]) -> list[list[str]]:
@@ -415,22 +515,43 @@ def fit_pairs(pairs: DataFrame) -> tuple[Table, Table]:
     """``fit`` over all rows of ``sentences_z, sentences_e`` (tokens with blanks between them), in the executors."""
     spark = pairs.sparkSession
 
-    def through(which: Callable[[list[list[str]], list[list[str]]], list[tuple[int, int]]]) -> DataFrame:
+    def through(which: Callable[[Coded, Coded, Lexicon], list[tuple[int, int]]]) -> DataFrame:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lexicon = Lexicon()
             for b in batches:
-                yield pd.DataFrame([(z[i], e[j]) for z, e in zip(b["sentences_z"], b["sentences_e"], strict=True) for i, j in which(_split(z), _split(e))], columns=["z", "e"])
+                yield pd.DataFrame([(z[i], e[j]) for z, e in zip(b["sentences_z"], b["sentences_e"], strict=True) for i, j in which(lexicon.code(_split(z)), lexicon.code(_split(e)), lexicon)], columns=["z", "e"])
 
         return cut(pairs.mapInPandas(each, "z string, e string"), "anchors")
 
     anchors = through(anchored)
     forth, backward = fitted(anchors)
-    again = through(lambda a, b: mutual(a, b, forth, backward))
+    again = through(lambda a, b, lexicon: mutual(a, b, forth, backward, lexicon))
     if again.count() > anchors.count() // 4:
         forth, backward = fitted(again)
     release(spark, slice(-2, None))
     return forth, backward
 
 
+def _plain(sentences: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different words that are no numbers; which of them stand in which sentence, once each, by sentences; how often each stands in all."""
+    lexicon = Lexicon()
+    c = lexicon.code(_split(sentences))
+    word = np.flatnonzero(lexicon.signs()[: len(lexicon.names)] & 1 == 0)
+    number = np.full(len(lexicon.names), -1)
+    number[word] = np.arange(len(word))
+    flat, at = number[c.words], c.places()
+    at, flat = at[flat >= 0], flat[flat >= 0]
+    once = np.unique(at * len(word) + flat)
+    return [lexicon.names[i] for i in word.tolist()], once % max(1, len(word)), once // max(1, len(word)), np.bincount(flat, minlength=len(word))
+
+
+def _dense(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the places, of numbers below ``most``."""
+    some = np.zeros(most, dtype=bool)
+    some[a] = True
+    return np.flatnonzero(some), (np.cumsum(some) - 1)[a]
+
+
 def _blocks(work: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word its block, by the pairs it has, and of each block the number of its parts: one, or several of a word by itself."""
     block, parts, room = [], [], 0
@@ -482,6 +603,11 @@ def _expected(v: int, w: int, n_s: np.ndarray, s: np.ndarray, n_t: np.ndarray, t
     return p * np.bincount(pair, np.repeat(share, size), minlength=len(keys)), keys
 
 
+def _keys(v: int, w: int, n_s: np.ndarray, s: np.ndarray, n_t: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The pairs ``_expected`` counts."""
+    return np.arange(v * w) if v * w <= 2 * int((n_s.astype(np.int64) * n_t).sum()) else _expected(v, w, n_s, s, n_t, t, None)[1]
+
+
 def _packed(c: np.ndarray) -> bytes:
     """Counts, most of them perhaps nothing: which are more, and these."""
     some = c > 0
@@ -509,16 +635,11 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
     spark = found.sparkSession
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, work = (Counter(), Counter()), (Counter(), Counter())
         for b in batches:
-            for pair in zip(b["z"], b["e"], strict=True):
-                words = [[w for w in x.split() if w[0] != "#"] for x in pair]
-                kinds = [set(x) for x in words]
-                for k in (0, 1):
-                    n[k].update(words[k])
-                    for w in kinds[k]:
-                        work[k][w] += len(kinds[1 - k])
-        yield pd.DataFrame([(k, w, c, work[k][w]) for k in (0, 1) for w, c in n[k].items()], columns=["k", "w", "n", "work"])
+            read = [_plain(b[c]) for c in "ze"]
+            size = [np.bincount(at, minlength=len(b)) for _, _, at, _ in read]
+            parts = [pd.DataFrame({"k": k, "w": names, "n": n, "work": np.bincount(word, size[1 - k][at], minlength=len(names)).astype(np.int64)}) for k, (names, word, at, n) in enumerate(read)]
+            yield pd.concat(parts)
 
     words: tuple[list, list] = ([], [])
     for r in sorted(found.mapInPandas(counted, "k int, w string, n long, work long").groupBy("k", "w").agg(F.sum("n").alias("n"), F.sum("work").alias("work")).collect()):
@@ -529,14 +650,18 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
         return Table({}, back[1]), Table({}, back[0])
     ids = [{r.w: i for i, r in enumerate(x)} for x in words]
     block, parts = zip(*(_blocks([r.work for r in words[1 - d]]) for d in (0, 1)), strict=True)
-    wide = [_narrow(len(x)) for x in words]
+    most = [len(x) for x in words]
+    wide = [_narrow(n) for n in most]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             key = np.array([hash64(f"{z}\t{e}") for z, e in zip(b["z"], b["e"], strict=True)], dtype=np.int64)
-            each = [[sorted({ids[k][w] for w in x.split() if w[0] != "#"}) for x in b[c]] for k, c in enumerate("ze")]
-            size = [np.array([len(x) for x in some], dtype=np.int64) for some in each]
-            flat = [np.array([i for x in some for i in x], dtype=np.int64) for some in each]
+            size, flat = [], []
+            for k, c in enumerate("ze"):
+                names, word, at, _ = _plain(b[c])
+                word = np.array([ids[k][w] for w in names], dtype=np.int64)[word]
+                flat.append(word[np.argsort(at * len(ids[k]) + word)])
+                size.append(np.bincount(at, minlength=len(b)))
             rows = []
             for d in (0, 1):
                 of = np.repeat(np.arange(len(key)), size[1 - d])
@@ -559,8 +684,8 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
         read = lambda c, kind: np.frombuffer(b"".join(b[c]), dtype=kind)
         key, n_s, n_t = read("key", np.int64), read("n_s", np.int32).astype(np.int64), read("n_t", np.int32).astype(np.int64)
         order = np.lexsort((key, n_s))
-        vs, s = np.unique(read("s", wide[d])[_ranges((np.cumsum(n_s) - n_s)[order], n_s[order])], return_inverse=True)
-        ws, t = np.unique(read("t", wide[1 - d])[_ranges((np.cumsum(n_t) - n_t)[order], n_t[order])], return_inverse=True)
+        vs, s = _dense(read("s", wide[d])[_ranges((np.cumsum(n_s) - n_s)[order], n_s[order])], most[d])
+        ws, t = _dense(read("t", wide[1 - d])[_ranges((np.cumsum(n_t) - n_t)[order], n_t[order])], most[1 - d])
         word = int(ws[0]) if parts[d][k] > 1 else -1
         row = (d, k, part, word, vs.astype(np.int32), ws.astype(np.int32), n_s[order].astype(np.int32), s.astype(_narrow(len(vs))), n_t[order].astype(np.int32), t.astype(_narrow(len(ws))))
         return pd.DataFrame([(*row[:4], *(x.tobytes() for x in row[4:]), None, None, None)], columns=[x.split()[0] for x in _ROW.split(", ")])
@@ -577,18 +702,22 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
 
         return weigh
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                vs, ws, n_s, n_t = (np.frombuffer(x, dtype=np.int32) for x in (r.vs, r.ws, r.n_s, r.n_t))
-                s, t = np.frombuffer(r.s, dtype=_narrow(len(vs))), np.frombuffer(r.t, dtype=_narrow(len(ws)))
-                c, keys = _expected(len(vs), len(ws), n_s, s, n_t, t, probabilities(r.d, r.word, vs, len(ws), r.c) if total else None)
-                out.append((*r[:10], _packed(c), vs, np.bincount(keys // len(ws), c, minlength=len(vs))))
-            yield pd.DataFrame(out, columns=b.columns)
+            some = []
+            for i in range(b.num_rows):
+                read = lambda c, kind=np.int32: np.frombuffer(b.column(c)[i].as_buffer(), dtype=kind)  # noqa: B023, E731
+                vs, ws = read("vs"), read("ws")
+                d, word, c = b.column("d")[i].as_py(), b.column("word")[i].as_py(), b.column("c")[i]
+                weigh = probabilities(d, word, vs, len(ws), c.as_buffer() if c.is_valid else b"") if total else None
+                c, keys = _expected(len(vs), len(ws), read("n_s"), read("s", _narrow(len(vs))), read("n_t"), read("t", _narrow(len(ws))), weigh)
+                some.append((_packed(c), vs, np.bincount(keys // len(ws), c, minlength=len(vs))))
+            ends = np.cumsum([0, *(len(vs) for _, vs, _ in some)], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[k] for x in some] or [np.zeros(0)]).astype(kind))) for k, kind in ((1, np.int32), (2, np.float64))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:10], pa.array([c for c, _, _ in some], pa.binary()), *lists], names=b.schema.names)
 
     for _ in range(ROUNDS):
-        rows = cut(rows.mapInPandas(turn, _ROW), "em")
+        rows = cut(rows.mapInArrow(turn, _ROW), "em")
         release(spark, slice(-2, -1))
         each = rows.select("d", "word", "block", "part", F.explode(F.arrays_zip("v", "z")).alias("x")).select("d", "word", F.col("x.v").alias("v"), F.struct("block", "part", F.col("x.z").alias("z")).alias("x"))
         sums = each.groupBy("d", "word", "v").agg(F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda a, x: a + x["z"]).alias("z")).toPandas().sort_values(["d", "word", "v"])
@@ -600,7 +729,7 @@ def fitted(found: DataFrame) -> tuple[Table, Table]:
             for r in b.itertuples(index=False):
                 vs, ws = np.frombuffer(r.vs, dtype=np.int32), np.frombuffer(r.ws, dtype=np.int32)
                 n_s, n_t = np.frombuffer(r.n_s, dtype=np.int32), np.frombuffer(r.n_t, dtype=np.int32)
-                _, keys = _expected(len(vs), len(ws), n_s, np.frombuffer(r.s, dtype=_narrow(len(vs))), n_t, np.frombuffer(r.t, dtype=_narrow(len(ws))), None)
+                keys = _keys(len(vs), len(ws), n_s, np.frombuffer(r.s, dtype=_narrow(len(vs))), n_t, np.frombuffer(r.t, dtype=_narrow(len(ws))))
                 p = probabilities(r.d, r.word, vs, len(ws), r.c)(keys)
                 k = np.flatnonzero(p > LIKELY)
                 yield pd.DataFrame({"d": r.d, "v": vs[keys[k] // len(ws)], "w": ws[keys[k] % len(ws)], "p": p[k]})

@@ -34,10 +34,9 @@ _CLOSE = "”’\"'」』）)\\]】》〉"
 _OPEN = set("“「『（《(【[〈")
 _SHUT = set("”」』）》)】]〉")
 _BRACKETS = _OPEN | _SHUT
-_CANDIDATE = re.compile(
-    rf"(?P<mark>[.!?。！？．｡…]+)(?P<close>[{_CLOSE}{WRAP}]*)(?P<gap>[\s{WRAP}]*)(?=[^\s{WRAP}])"
-    rf"|(?P<space>(?<=[{_D}])[ 　\t]+(?=[{_D}A-Z《「(（])|(?<=[0-9A-Za-z%％）)」])[ 　\t]+(?=[{_D}]))"
-)
+_MARK = rf"(?P<mark>[.!?。！？．｡…][.!?。！？．｡…]*)(?P<close>[{_CLOSE}{WRAP}]*)(?P<gap>[\s{WRAP}]*)(?=[^\s{WRAP}])"
+_CANDIDATE = re.compile(rf"{_MARK}|(?=[ 　\t])(?P<space>(?<=[{_D}])[ 　\t]+(?=[{_D}A-Z《「(（])|(?<=[0-9A-Za-z%％）)」])[ 　\t]+(?=[{_D}]))")
+_CANDIDATE_ASCII = re.compile(rf"{_MARK}(?P<space>(?!))?")  # no gap there is beside a script without spaces
 _TOKEN_BEFORE = re.compile(rf"(?:[^\W{_D}]|[.'’/:-](?=[^\W{_D}]))+$|[^\s]$")
 _TOKEN_AFTER = re.compile(rf"[“‘\"'「『《(（¿¡]*(?P<w>[{_D}]{{1,2}}|[^\W{_D}]+|[^\s])")
 _THAI = re.compile("[ก-๛]")
@@ -78,7 +77,7 @@ def _before(s: str, at: int) -> str:
     near = s[max(0, at - 24) : at].replace(WRAP, "")
     if _THAI.match(near[-1:]):
         return near.rpartition(" ")[2][-6:]  # words of Thai are not parted
-    m = _TOKEN_BEFORE.search(near)
+    m = _TOKEN_BEFORE.search(near, near.rfind(" ") + 1)  # no token holds a space
     return m[0].lower() if m else ""
 
 
@@ -110,17 +109,19 @@ class Splitter:
     ends: dict[str, tuple[int, int]] = field(default_factory=dict)
     memo: dict[tuple, bool] = field(default_factory=dict)
 
-    def features(self, s: str, m: re.Match, marked: bool) -> tuple[str, ...]:
+    def features(self, s: str, m: re.Match, marked: bool, beside: tuple[str, str] | None = None) -> tuple[str, ...]:
+        """``beside``: the tokens before and after, with digits as 0, where they are known."""
         space = m["space"] is not None
         at = m.start()
-        prev, nxt = _DIGITS.sub("0", _before(s, at)), _DIGITS.sub("0", _after(s, m.end()))
+        prev, nxt = beside or (_DIGITS.sub("0", _before(s, at)), _DIGITS.sub("0", _after(s, m.end())))
         kind = ("S" if space else m["mark"][:1]) + ("w" if space and m["space"] == "　" else "" if space else ("n" if not m["gap"] else "g"))
         tail = _DIGITS.sub("0", s[max(0, at - 4) : at].replace(WRAP, ""))[-2:]
         a, b = self.starts.get(nxt, (0, 0)), self.ends.get(prev, (0, 0))
         rate = lambda x: "new" if sum(x) == 0 else "never" if x[0] == 0 else "seldom" if x[0] < 0.1 * x[1] else "often"
+        before, after, short, near, far = _shape(prev), _shape(nxt), prev in ABBREVIATIONS, rate(a), rate(b)
         return (
-            kind, f"{kind} {prev}", f"{kind} {nxt}", f"{kind} {_shape(prev)} {_shape(nxt)}", f"{kind} {prev} {_shape(nxt)}", f"{kind} {_shape(prev)} {nxt}", f"{kind} {tail}",
-            f"{kind} {prev in ABBREVIATIONS} {_shape(nxt)}", f"{kind} {rate(a)}", f"{kind} {rate(b)}", f"{kind} {rate(a)} {rate(b)} {min(len(prev), 4)}", f"{kind} {marked}", f"{kind} {len(prev) == 1} {prev in ABBREVIATIONS} {rate(a)}",
+            kind, f"{kind} {prev}", f"{kind} {nxt}", f"{kind} {before} {after}", f"{kind} {prev} {after}", f"{kind} {before} {nxt}", f"{kind} {tail}",
+            f"{kind} {short} {after}", f"{kind} {near}", f"{kind} {far}", f"{kind} {near} {far} {min(len(prev), 4)}", f"{kind} {marked}", f"{kind} {len(prev) == 1} {short} {near}",
         )
 
     def decide(self, s: str, m: re.Match, depth: int, marked: bool) -> bool | None:
@@ -167,7 +168,7 @@ class Splitter:
         skip = mark.end() if mark else 0
         depth = at = 0
         marked = "。" in s or bool(_SENTENCE_END.search(s))
-        for m in _CANDIDATE.finditer(s):
+        for m in (_CANDIDATE_ASCII if s.isascii() else _CANDIDATE).finditer(s):
             if m.start() < skip or (m["space"] is not None and (m.start() - out[-1] < LEAST or len(s) - m.end() < LEAST)):
                 continue
             inner = s[at : m.start()] if m["space"] is not None else s[at : m.start("gap")]
@@ -246,7 +247,7 @@ def train(records: list[tuple[str, str | None]]) -> Splitter:
     final: Counter = Counter()
     mid_next: Counter = Counter()
     mid_prev: Counter = Counter()
-    seen: list[tuple[str, re.Match, bool]] = []
+    seen: list[tuple[str, re.Match, bool, str, str]] = []
     plain = Splitter()
     for text, kind in records:
         if not text:
@@ -263,7 +264,7 @@ def train(records: list[tuple[str, str | None]]) -> Splitter:
             depth_at = 0
             skip = len(s) - len(body)
             marked = "。" in s or bool(_SENTENCE_END.search(s))
-            for m in _CANDIDATE.finditer(s):
+            for m in (_CANDIDATE_ASCII if s.isascii() else _CANDIDATE).finditer(s):
                 if m.start() < skip:
                     continue
                 depth_at = s.count("「", 0, m.start()) + s.count("《", 0, m.start()) - s.count("」", 0, m.start()) - s.count("》", 0, m.start())
@@ -275,13 +276,12 @@ def train(records: list[tuple[str, str | None]]) -> Splitter:
                 if d is None or (d is False and m["space"] is None and m["mark"] == "."):
                     mid_next[nxt] += 1
                     mid_prev[prev] += 1
-                    seen.append((s, m, marked))
+                    seen.append((s, m, marked, prev, nxt))
     splitter = Splitter(None, {k: (init[k], mid_next[k]) for k in init.keys() | mid_next.keys()}, {k: (final[k], mid_prev[k]) for k in final.keys() | mid_prev.keys()})
     rows, labels = [], []
-    for s, m, marked in seen:
-        nxt, prev = _DIGITS.sub("0", _after(s, m.end())), _DIGITS.sub("0", _before(s, m.start()))
+    for s, m, marked, prev, nxt in seen:
         (i, n), (e, k) = splitter.starts[nxt], splitter.ends[prev]
-        small = _after(s, m.end())[:1].islower()
+        small = nxt[:1].islower()
         by_form = m["space"] is None and bool(m["gap"]) and prev.isalpha() and len(prev) > 2 and prev not in ABBREVIATIONS and s[m.end()].isupper()
         if by_form:
             label = 1  # a word before the stop, a capital after the gap
@@ -293,7 +293,7 @@ def train(records: list[tuple[str, str | None]]) -> Splitter:
             continue
         if m["space"] is not None and label and (i < 3 or i < 0.05 * n):
             continue
-        rows.append(splitter.features(s, m, marked))
+        rows.append(splitter.features(s, m, marked, (prev, nxt)))
         labels.append(label)
     splitter.model = MaxEnt.fit(rows, labels, rounds=12)
     return splitter
